@@ -7,7 +7,7 @@ occur once in both sides anchor the alignment along their longest increasing
 subsequence, and the gaps between anchors are aligned in the same way. The
 coverage is the share of the template's words that are matched. After a find
 the search goes on behind it, so repeated notices are all found; of finds that
-overlap the one with more matched words stays.
+overlap the one with more matched words (then the better coverage) stays.
 
 Defined results: a null, empty or word-free text has no finds; templates
 without words are ignored; of equal finds the template that sorts first wins;
@@ -136,7 +136,7 @@ class Scanner:
         found = []
         for t in np.flatnonzero(enough >= self.need).tolist():
             found += self._find(ids, t)
-        found.sort(key=lambda f: (-f[4], f[1], f[0]))
+        found.sort(key=lambda f: (-f[4], -f[3], f[1], f[0]))
         taken = np.zeros(len(ws) + 1, bool)
         out = []
         for name, start, end, share, _ in found:
