@@ -226,7 +226,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     grouped = nodes.join(labels, "fp").select("fp", "label", "least")
     whole = grouped.groupBy("label").agg(F.min("least").alias("whole"))
     linked = grouped.join(whole, "label").select("fp", "whole")
-    owner = nodes.join(linked, "fp", "left").select("fp", F.coalesce("whole", "least").alias("component_id"))
+    # written first, so that the last join reads two shuffles and its skewed partitions can be split
+    owner = checkpointed(nodes.join(linked, "fp", "left").select("fp", F.coalesce("whole", "least").alias("component_id")))
     return rows.join(owner, "fp").select(id_col, "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
