@@ -1,10 +1,606 @@
-"""The catalogue of queries, with the SQL that an independent engine runs for each."""
+"""The catalogue of queries, with the SQL that an independent engine runs for each.
+
+Driver tables stand in for agent data: ``events`` for executions (a user is a
+case, a day a step, the event type a tool, ``error`` a failed call, ``props.k``
+its target), ``conversations`` for trajectories, ``documents`` and ``benchmark``
+for corpora, ``labels`` for reviews, ``orders`` and ``lineitem`` for paired runs.
+Each docstring names the operators of the survey that the query applies.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tracemill.functions import jsonx, maths, text
+from tracemill.operators import aggregate, events, selection
+from tracemill.operators import tokens as token_ops
+from tracemill.sources import generators
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def executions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event log: case_id, idx, step, tool, target, ok, value, ts, event_id."""
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("case_id"), F.row_number().over(order).cast("bigint").alias("idx"), F.dayofmonth("ts").cast("bigint").alias("step"),
+        F.col("event_type").alias("tool"), jsonx.at_path(F.col("props"), "$.k", "bigint").alias("target"), (F.col("event_type") != "error").alias("ok"), "value", "ts", "event_id",
+    )
+
+
+LOG = """log AS (SELECT user_id AS case_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS idx, day(ts) AS step, event_type AS tool,
+  CAST(json_extract(props, '$.k') AS BIGINT) AS target, event_type <> 'error' AS ok, value, ts, event_id FROM events)"""
+
+
+def tool(name: str):
+    return F.col("tool") == name
+
+
+# scoring and aggregation
+
+
+@query(f"""WITH {LOG} SELECT case_id, count(*)::BIGINT AS executions, count(*) FILTER (NOT ok)::BIGINT AS failed,
+round(count(*) FILTER (ok) / count(*), 9)::DOUBLE AS success_rate FROM log GROUP BY case_id""")
+def execution_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Executions, failures and success rate of each case."""
+    log = executions(spark, sf_dir)
+    return log.groupBy("case_id").agg(F.count(F.lit(1)).alias("executions"), F.count_if(~F.col("ok")).alias("failed"), F.round(F.avg(F.col("ok").cast("double")), 9).alias("success_rate"))
+
+
+_CASES = """cases AS (SELECT user_id AS case_id, CASE WHEN user_id % 5 = 0 THEN NULL ELSE 'c' || (user_id % 5) END AS category,
+  CASE WHEN user_id % 4 = 0 THEN '' ELSE 'd' || (user_id % 4) END AS difficulty,
+  avg((event_type <> 'error')::INT) AS success, avg(value) FILTER (event_type = 'purchase' AND value > 40) AS spend, count(*) FILTER (event_type = 'error') AS failed
+  FROM events GROUP BY user_id)"""
+
+
+def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = F.col("user_id")
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(
+        F.avg((F.col("event_type") != "error").cast("double")).alias("success"),
+        F.avg(F.when((F.col("event_type") == "purchase") & (F.col("value") > 40), F.col("value"))).alias("spend"),
+        F.count_if(F.col("event_type") == "error").alias("failed"),
+    ).select(u.alias("case_id"), F.when(u % 5 != 0, F.concat(F.lit("c"), u % 5)).alias("category"), F.when(u % 4 == 0, "").otherwise(F.concat(F.lit("d"), u % 4)).alias("difficulty"), "success", "spend", "failed")
+
+
+@query(f"""WITH {_CASES}, k AS (SELECT *, coalesce(nullif(category, ''), 'unknown') AS c, coalesce(nullif(difficulty, ''), 'unknown') AS d FROM cases)
+SELECT CASE WHEN grouping(c) = 0 THEN 'category' WHEN grouping(d) = 0 THEN 'difficulty' ELSE 'overall' END AS scope, coalesce(c, d, '') AS key,
+count(*)::BIGINT AS num_cases, round(avg(success), 9) AS success, count(success)::BIGINT AS success_evaluated_cases, round(avg(spend), 9) AS spend,
+count(spend)::BIGINT AS spend_evaluated_cases, coalesce(sum(failed), 0)::BIGINT AS total_failed FROM k GROUP BY GROUPING SETS ((), (c), (d))""")
+def macro_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """means with own denominators, overall and by two keys, in one pass of grouping sets."""
+    aggregates = [F.count(F.lit(1)).alias("num_cases"), *aggregate.mean_with_base({"success": "success", "spend": "spend"}), *aggregate.totals({"total_failed": "failed"})]
+    out = aggregate.grouped(_cases(spark, sf_dir), ["category", "difficulty"], aggregates)
+    return out.withColumns({c: F.round(c, 9) for c in ("success", "spend")})
+
+
+@query("""WITH g AS (SELECT c_mktsegment AS s, avg(o_totalprice) AS price, avg(CASE WHEN o_orderstatus = 'F' AND o_totalprice > 490000 AND c_custkey % 7 = 0 THEN o_totalprice END) AS rare
+FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1)
+SELECT count(*)::BIGINT AS num_groups, round(avg(price), 4) AS price, count(price)::BIGINT AS price_evaluated_groups, round(avg(rare), 4) AS rare, count(rare)::BIGINT AS rare_evaluated_groups FROM g""")
+def category_macro(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """the mean of the categories' means."""
+    rare = (F.col("o_orderstatus") == "F") & (F.col("o_totalprice") > 490000) & (F.col("c_custkey") % 7 == 0)
+    joined = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).withColumn("rare", F.when(rare, F.col("o_totalprice")))
+    return aggregate.macro_of_groups(joined, "c_mktsegment", {"price": "o_totalprice", "rare": "rare"}).withColumns({c: F.round(c, 4) for c in ("price", "rare")})
+
+
+def _reviewed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a verdict as a tri-state outcome: pass, fail, or null while uncertain or pending."""
+    verdict = F.when(F.col("toxic") == 1, "fail").when(F.col("quality") == 1, "pass").when(F.col("quality").isNotNull(), "uncertain").otherwise("pending")
+    joined = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left").withColumn("verdict", verdict)
+    return joined.withColumn("task_success", F.when(F.col("verdict") == "pass", True).when(F.col("verdict") == "fail", False))
+
+
+_REVIEWED = """r AS (SELECT d.doc_id, d.lang, d.source, d.text, CASE WHEN l.toxic = 1 THEN 'fail' WHEN l.quality = 1 THEN 'pass' WHEN l.quality IS NOT NULL THEN 'uncertain' ELSE 'pending' END AS verdict
+  FROM documents d LEFT JOIN labels l USING (doc_id))"""
+
+
+@query(f"""WITH {_REVIEWED} SELECT lang, count(*)::BIGINT AS num_cases, count(*) FILTER (verdict = 'pass')::BIGINT AS task_pass_count, count(*) FILTER (verdict = 'fail')::BIGINT AS task_fail_count,
+count(*) FILTER (verdict IN ('uncertain', 'pending'))::BIGINT AS task_unresolved_count, CASE WHEN count(*) FILTER (verdict IN ('uncertain', 'pending')) = 0 THEN count(*) FILTER (verdict = 'pass') / count(*) END AS task_success_rate,
+count(*) FILTER (verdict = 'pass') / count(*) AS task_success_lower_bound, count(*) FILTER (verdict <> 'fail') / count(*) AS task_success_upper_bound,
+count(*) FILTER (verdict = 'uncertain')::BIGINT AS answer_uncertain_count FROM r GROUP BY lang""")
+def tri_state_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pass, fail and unresolved cases with logical bounds; a missing review is pending."""
+    return _reviewed(spark, sf_dir).groupBy("lang").agg(*aggregate.task_bounds("task_success", "verdict"))
+
+
+@query(f"""WITH {_REVIEWED} SELECT lang, count(*) FILTER (verdict = 'pass')::BIGINT AS pass, count(*) FILTER (verdict = 'fail')::BIGINT AS fail,
+count(*) FILTER (verdict = 'uncertain')::BIGINT AS uncertain, count(*) FILTER (verdict = 'pending')::BIGINT AS pending FROM r GROUP BY lang""")
+def verdict_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """verdicts of each arm, side by side."""
+    verdicts = ["pass", "fail", "uncertain", "pending"]
+    return _reviewed(spark, sf_dir).groupBy("lang").pivot("verdict", verdicts).count().na.fill(0, verdicts)
+
+
+@query(f"""WITH {_REVIEWED} SELECT doc_id AS id, lang, sha256(text) AS record_sha256, 'pending' AS verdict FROM r WHERE verdict = 'pending'""")
+def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is still to be reviewed, with the digest that binds a review to it."""
+    pending = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
+    return pending.select(F.col("doc_id").alias("id"), "lang", F.sha2(F.col("text").cast("binary"), 256).alias("record_sha256"), F.lit("pending").alias("verdict"))
+
+
+@query("""SELECT event_type AS tool, count(*)::BIGINT AS calls, count(*) FILTER (event_type NOT IN ('view', 'click', 'purchase'))::BIGINT AS invalid,
+round(count(*) FILTER (event_type NOT IN ('view', 'click', 'purchase')) / count(*), 9) AS invalid_rate FROM events GROUP BY 1""")
+def tool_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """calls and invalid calls of each tool."""
+    invalid = ~F.col("event_type").isin("view", "click", "purchase")
+    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("tool")).agg(F.count(F.lit(1)).alias("calls"), F.count_if(invalid).alias("invalid"), F.round(F.avg(invalid.cast("double")), 9).alias("invalid_rate"))
+
+
+@query("""SELECT conv_id, count(*)::BIGINT AS turns, count(DISTINCT sha256(text))::BIGINT AS distinct_results FROM conversations GROUP BY conv_id""")
+def distinct_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """distinct results of each group."""
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.countDistinct(F.sha2(F.col("text").cast("binary"), 256)).alias("distinct_results"))
+
+
+@query(f"""WITH {LOG}, last AS (SELECT case_id, arg_max(tool, idx) AS reason, count(*) AS calls, count(*) FILTER (tool = 'purchase') AS mutations FROM log GROUP BY case_id)
+SELECT reason, count(*)::BIGINT AS n, round(avg(calls), 9) AS mean_calls, sum(mutations)::BIGINT AS mutations FROM last GROUP BY reason""")
+def termination_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """how runs ended, with mean calls and mutations."""
+    last = executions(spark, sf_dir).groupBy("case_id").agg(F.max_by("tool", "idx").alias("reason"), F.count(F.lit(1)).alias("calls"), F.count_if(tool("purchase")).alias("mutations"))
+    return last.groupBy("reason").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("calls"), 9).alias("mean_calls"), F.sum("mutations").alias("mutations"))
+
+
+@query("""SELECT source AS group_id, lang AS role, count(*)::BIGINT AS n, count(*) FILTER (quality = 1)::BIGINT AS passed FROM documents JOIN labels USING (doc_id)
+GROUP BY CUBE (source, lang) HAVING grouping(source) + grouping(lang) < 2""")
+def group_role_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pass counts by group and role, and by each alone."""
+    joined = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select(F.col("source").alias("group_id"), F.col("lang").alias("role"), "quality")
+    counts = joined.cube("group_id", "role").agg(F.grouping_id().alias("g"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("quality") == 1).alias("passed"))
+    return counts.filter("g < 3").drop("g")
+
+
+_TOTALS = """t AS (SELECT o_orderkey, o_orderstatus, o_totalprice, coalesce(sum(l_extendedprice), 0) AS own, count(l_orderkey) AS lines, count(DISTINCT l_linestatus) AS kinds, min(l_linestatus) AS status
+  FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2, 3)"""
+
+
+@query(f"""WITH {_TOTALS}, w AS (SELECT unnest(list_concat(CASE WHEN lines = 0 THEN ['missing'] ELSE []::VARCHAR[] END, CASE WHEN abs(own - o_totalprice) > 1 THEN ['total'] ELSE []::VARCHAR[] END,
+CASE WHEN lines > 0 AND o_orderstatus <> CASE WHEN kinds > 1 THEN 'P' ELSE status END THEN ['status'] ELSE []::VARCHAR[] END)) AS field, o_orderstatus FROM t)
+SELECT o_orderstatus, field, count(*)::BIGINT AS n FROM w GROUP BY ALL""")
+def wrong_field_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which fields differ from what the details give, counted."""
+    orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    own = lines.groupBy("l_orderkey").agg(F.sum("l_extendedprice").alias("own"), F.count(F.lit(1)).alias("lines"), F.count_distinct("l_linestatus").alias("kinds"), F.min("l_linestatus").alias("status"))
+    both = orders.join(own, F.col("o_orderkey") == F.col("l_orderkey"), "left").na.fill({"own": 0.0, "lines": 0})
+    expected = F.when(F.col("kinds") > 1, "P").otherwise(F.col("status"))
+    wrong = F.array_compact(F.array(F.when(F.col("lines") == 0, "missing"), F.when(F.abs(F.col("own") - F.col("o_totalprice")) > 1, "total"), F.when((F.col("lines") > 0) & (F.col("o_orderstatus") != expected), "status")))
+    return aggregate.histogram(both, ["o_orderstatus"], wrong, "field")
+
+
+@query("""WITH s AS (SELECT DISTINCT o_orderkey AS k FROM orders), c AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_quantity > 25)
+SELECT count(s.k)::BIGINT AS selected, count(*) FILTER (s.k IS NOT NULL AND c.k IS NOT NULL)::BIGINT AS completed, (count(s.k) - count(*) FILTER (s.k IS NOT NULL AND c.k IS NOT NULL))::BIGINT AS missing,
+count(*) FILTER (s.k IS NULL)::BIGINT AS extra, coalesce(count(*) FILTER (s.k IS NOT NULL AND c.k IS NOT NULL) / nullif(count(s.k), 0), 1.0)::DOUBLE AS coverage FROM s FULL JOIN c ON s.k = c.k""")
+def run_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Completed of selected, missing and extra ids."""
+    done = table(spark, sf_dir, "lineitem").filter("l_quantity > 25").select(F.col("l_orderkey").alias("k"))
+    return aggregate.coverage(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")), done, "k")
+
+
+@query("""SELECT user_id AS case_id, round(epoch(max(ts)) - epoch(min(ts)), 3) AS wall_seconds, count(*)::BIGINT AS n FROM events GROUP BY 1""")
+def wall_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seconds from the first start to the last end."""
+    seconds = F.timestamp_diff("MICROSECOND", F.min("ts"), F.max("ts")) / 1e6
+    return table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("case_id")).agg(F.round(seconds, 3).alias("wall_seconds"), F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT l_partkey AS part, count(*)::BIGINT AS n, count(DISTINCT l_returnflag)::BIGINT AS flags, count(DISTINCT l_linestatus || l_returnflag)::BIGINT AS signatures FROM lineitem GROUP BY 1
+HAVING count(*) >= 15 AND count(DISTINCT l_returnflag) = 3 AND count(DISTINCT l_linestatus || l_returnflag) <= 5""")
+def constraint_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """groups that meet count constraints."""
+    per = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("part")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("l_returnflag").alias("flags"), F.countDistinct(F.concat("l_linestatus", "l_returnflag")).alias("signatures"))
+    return per.filter("n >= 15 AND flags = 3 AND signatures <= 5")
+
+
+@query("""SELECT source, count(*)::BIGINT AS n, round(avg(n_chars), 6) AS mean, round(stddev_pop(n_chars), 6) AS deviation FROM documents GROUP BY source""")
+def mean_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """count, mean and population deviation."""
+    out = table(spark, sf_dir, "documents").groupBy("source").agg(*aggregate.mean_and_deviation("n_chars"))
+    return out.withColumns({"mean": F.round("mean", 6), "deviation": F.round("deviation", 6)})
+
+
+# paired runs
+
+
+_HALVES = """h AS (SELECT user_id AS case_id, avg((event_type = 'error')::INT) FILTER (ts < TIMESTAMP '2024-01-16') <= 0.2 AS base, avg((event_type = 'error')::INT) FILTER (ts >= TIMESTAMP '2024-01-16') <= 0.2 AS treatment
+  FROM events GROUP BY 1 HAVING base IS NOT NULL AND treatment IS NOT NULL)"""
+
+
+def _halves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    half = lambda late: F.avg(F.when((F.col("ts") >= F.lit("2024-01-16").cast("timestamp_ntz")) == late, (F.col("event_type") == "error").cast("double"))) <= 0.2
+    per = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("case_id")).agg(half(False).alias("base"), half(True).alias("treatment"))
+    return per.filter("base is not null and treatment is not null")
+
+
+@query(f"WITH {_HALVES} SELECT base::INT::VARCHAR || '->' || treatment::INT::VARCHAR AS transition, count(*)::BIGINT AS n FROM h GROUP BY 1")
+def paired_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes of the same case in two runs."""
+    return selection.transitions(_halves(spark, sf_dir), "base", "treatment")
+
+
+@query(f"""WITH {_HALVES} SELECT case_id % 3 AS arm, count(*) FILTER (NOT base AND treatment)::BIGINT AS improved, count(*) FILTER (base AND NOT treatment)::BIGINT AS regressed,
+count(*) FILTER (base AND treatment)::BIGINT AS both_pass, count(*) FILTER (NOT base AND NOT treatment)::BIGINT AS both_fail FROM h GROUP BY 1""")
+def paired_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Improved, regressed, both pass and both fail, by arm."""
+    return _halves(spark, sf_dir).groupBy((F.col("case_id") % 3).alias("arm")).agg(*selection.paired_outcomes("base", "treatment"))
+
+
+@query("""WITH p AS (SELECT l_partkey AS context, sum(l_quantity) FILTER (l_returnflag = 'A') AS a, sum(l_quantity) FILTER (l_returnflag = 'R') AS b FROM lineitem GROUP BY 1)
+SELECT context, a AS first_arm, b AS second_arm FROM p WHERE a IS NOT NULL AND b IS NOT NULL""")
+def arm_self_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contexts that both arms have."""
+    lines = table(spark, sf_dir, "lineitem").withColumnRenamed("l_partkey", "context")
+    return selection.arm_pairs(lines, "context", "l_returnflag", F.col("l_quantity"), ("A", "R"))
+
+
+_STALE = """now AS (SELECT doc_id, sha256(text) AS d FROM documents), then_ AS (SELECT doc_id + CASE WHEN doc_id % 50 = 0 THEN 1000000 ELSE 0 END AS doc_id, sha256(CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END) AS d FROM documents)"""
+
+
+@query(f"WITH {_STALE} SELECT t.doc_id, CASE WHEN n.d IS NULL THEN 'unknown' ELSE 'stale' END AS reason FROM then_ t LEFT JOIN now n USING (doc_id) WHERE n.d IS NULL OR n.d <> t.d")
+def stale_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviews whose record is unknown or has changed."""
+    docs = table(spark, sf_dir, "documents")
+    digest = lambda c: F.sha2(c.cast("binary"), 256).alias("digest")
+    moved = F.col("doc_id") + F.when(F.col("doc_id") % 50 == 0, 1000000).otherwise(0)
+    reviews = docs.select(moved.alias("doc_id"), digest(F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))))
+    return selection.stale(reviews, docs.select("doc_id", digest(F.col("text"))), "doc_id", "digest").select("doc_id", "reason")
+
+
+# ordered analytics
+
+
+@query(f"""WITH {LOG}, c AS (SELECT case_id, step, tool AS name, count(*) AS n FROM log GROUP BY ALL),
+b AS (SELECT coalesce(p.case_id, r.case_id) AS case_id, coalesce(p.step, r.step + 1) AS step, coalesce(r.n, 0) AS r, coalesce(p.n, 0) AS p FROM c p FULL JOIN c r ON p.case_id = r.case_id AND p.step = r.step + 1 AND p.name = r.name),
+s AS (SELECT case_id, step, sum(least(r, p)) AS tp, sum(greatest(p - r, 0)) AS fp, sum(greatest(r - p, 0)) AS fn FROM b WHERE step BETWEEN 2 AND 30 GROUP BY ALL),
+m AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 1.0) AS pr, coalesce(tp / nullif(tp + fn, 0), 1.0) AS rc FROM s)
+SELECT case_id, step, tp::BIGINT AS tp, fp::BIGINT AS fp, fn::BIGINT AS fn, round(pr, 9)::DOUBLE AS precision, round(rc, 9)::DOUBLE AS recall, round(coalesce(2 * pr * rc / nullif(pr + rc, 0), 0), 9)::DOUBLE AS f1 FROM m""")
+def multiset_prf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """a day's tools against those of the day before, as multisets."""
+    counts = executions(spark, sf_dir).groupBy("case_id", "step", F.col("tool").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    at = lambda shift: counts.select(F.struct("case_id", (F.col("step") + shift).alias("step")).alias("case"), "name", "n").filter("case.step between 2 and 30")
+    scored = events.multiset_scores(at(1), at(0), case="case")
+    return scored.select("case.case_id", "case.step", "tp", "fp", "fn", *(F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")))
+
+
+@query()
+def tool_order_lcs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest common subsequence of each day's tools with a fixed sequence."""
+    days = executions(spark, sf_dir).groupBy("case_id", "step").agg(F.array_sort(F.collect_list(F.struct("idx", "tool"))).alias("e")).withColumn("tools", F.transform("e", lambda x: x["tool"]))
+    expected = F.array(*map(F.lit, ("view", "click", "view", "purchase")))
+    length = events.lcs_length(expected, F.col("tools"))
+    return days.select("case_id", "step", length.cast("bigint").alias("lcs"), (length / 4).alias("score"), (length == 4).alias("ordered"))
+
+
+@query()
+def call_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each odd event (as a call) the place of its execution among the even ones, by a forward cursor."""
+    log = executions(spark, sf_dir).withColumn("sig", F.concat_ws(":", "tool", (F.col("target") % 5).cast("string")))
+    part = lambda odd: F.transform(F.array_sort(F.collect_list(F.when(F.col("idx") % 2 == odd, F.struct("idx", "sig")))), lambda x: x["sig"])
+    packed = log.groupBy("case_id").agg(part(1).alias("calls"), part(0).alias("executions"))
+    return packed.select("case_id", F.size("calls").cast("bigint").alias("calls"), events.align(F.col("calls"), F.col("executions")).alias("places"))
+
+
+@query(f"""WITH {LOG}, a AS (SELECT case_id, min(idx) AS i FROM log WHERE tool = 'view' GROUP BY 1), b AS (SELECT l.case_id, min(idx) AS i FROM log l JOIN a ON a.case_id = l.case_id AND idx > a.i WHERE tool = 'click' GROUP BY 1),
+c AS (SELECT l.case_id, min(idx) AS i FROM log l JOIN b ON b.case_id = l.case_id AND idx > b.i WHERE tool = 'purchase' AND value > 50 GROUP BY 1)
+SELECT u.case_id, ((a.i IS NOT NULL)::INT + (b.i IS NOT NULL)::INT + (c.i IS NOT NULL)::INT)::BIGINT AS milestones, c.i IS NOT NULL AS complete
+FROM (SELECT DISTINCT case_id FROM log) u LEFT JOIN a USING (case_id) LEFT JOIN b USING (case_id) LEFT JOIN c USING (case_id)""")
+def ordered_milestones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """View, then click, then a large purchase, greedily."""
+    return events.milestones(executions(spark, sf_dir), [tool("view"), tool("click"), tool("purchase") & (F.col("value") > 50)])
+
+
+@query(f"""WITH {LOG} SELECT f.event_id, f.case_id, f.target, EXISTS (SELECT 1 FROM log s WHERE s.case_id = f.case_id AND s.target = f.target AND s.ok AND s.idx > f.idx AND s.step > f.step) AS recovered
+FROM log f WHERE NOT f.ok""")
+def retry_after_failure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failures that a success on the same target follows in a later step."""
+    return events.retried_later(executions(spark, sf_dir), "target", ~F.col("ok"), F.col("ok")).select("event_id", "case_id", "target", "recovered")
+
+
+@query(f"""WITH {LOG}, g AS (SELECT *, target % 10 AS t FROM log),
+r AS (SELECT f.*, (SELECT min(n.idx) FROM g n WHERE n.case_id = f.case_id AND n.t = f.t AND n.idx > f.idx) AS retry_idx FROM g f WHERE NOT f.ok),
+q AS (SELECT r.*, n.step AS retry_step FROM r LEFT JOIN g n ON n.case_id = r.case_id AND n.idx = r.retry_idx)
+SELECT event_id, retry_idx, CASE WHEN retry_idx IS NULL THEN 'retry_missing' WHEN NOT EXISTS (SELECT 1 FROM g o WHERE o.case_id = q.case_id AND o.tool = 'view' AND o.idx > q.idx AND o.idx < retry_idx AND o.step > q.step AND o.step < retry_step)
+THEN 'observation_missing' END AS reason FROM q""")
+def observe_before_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first retry of each failure, and whether a view lies strictly between by step."""
+    log = executions(spark, sf_dir).withColumn("t", F.col("target") % 10)
+    return events.observed_before_retry(log, "t", ~F.col("ok"), tool("view")).select("event_id", "retry_idx", "reason")
+
+
+@query(f"""WITH {LOG}, m AS (SELECT case_id, min(idx) AS i, arg_min(step, idx) AS s FROM log WHERE tool = 'purchase' GROUP BY 1)
+SELECT l.case_id, count(*) FILTER (tool = 'view' AND (m.i IS NULL OR (idx < m.i AND step < m.s)))::BIGINT AS evidence, any_value(m.i) AS first_mutation FROM log l LEFT JOIN m USING (case_id) GROUP BY 1""")
+def evidence_before_mutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views before the first purchase, by index and step."""
+    return events.evidence_before(executions(spark, sf_dir), tool("purchase"), tool("view"))
+
+
+@query(f"""WITH {LOG}, m AS (SELECT case_id, max(idx) FILTER (tool = 'purchase') AS i, count(*) FILTER (tool = 'purchase') AS n FROM log GROUP BY 1)
+SELECT l.case_id, any_value(m.n)::BIGINT AS mutations, arg_max(value, idx) FILTER (tool = 'click' AND idx >= coalesce(m.i, 0)) AS clicked, arg_max(target, idx) FILTER (tool = 'view' AND idx >= coalesce(m.i, 0)) AS viewed
+FROM log l JOIN m USING (case_id) GROUP BY 1""")
+def fresh_state_since_mutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was last seen since the last purchase."""
+    fields = {"clicked": F.when(tool("click"), F.col("value")), "viewed": F.when(tool("view"), F.col("target"))}
+    return events.fresh_state(executions(spark, sf_dir), tool("purchase"), fields)
+
+
+@query(f"""WITH {LOG}, m AS (SELECT case_id, max(idx) FILTER (tool IN ('purchase', 'error')) AS i FROM log GROUP BY 1)
+SELECT l.case_id, count(*) FILTER (tool = 'view' AND idx > coalesce(m.i, -1))::BIGINT AS reads_after FROM log l JOIN m USING (case_id) GROUP BY 1""")
+def logs_after_last_attempt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views after the last attempt, failed ones included."""
+    return events.after_last(executions(spark, sf_dir), tool("purchase") | tool("error"), tool("view"))
+
+
+@query(f"""WITH {LOG}, s AS (SELECT *, last_value(CASE WHEN tool = 'error' THEN true WHEN tool = 'view' THEN false END IGNORE NULLS) OVER (PARTITION BY case_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS f FROM log)
+SELECT case_id, count(*) FILTER (f AND tool = 'purchase')::BIGINT AS violations, count(*) FILTER (tool = 'purchase')::BIGINT AS writes FROM s GROUP BY 1""")
+def blocked_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases while an error has blocked the case and no view has freed it."""
+    return events.writes_while_blocked(executions(spark, sf_dir), tool("error"), tool("view"), tool("purchase"))
+
+
+@query(f"""WITH {LOG}, k AS (SELECT case_id, target, arg_max(tool = 'error', idx) AS open FROM log WHERE tool IN ('error', 'view') GROUP BY 1, 2)
+SELECT case_id, count(*) FILTER (open)::BIGINT AS unresolved, count(*)::BIGINT AS operations FROM k GROUP BY 1""")
+def unresolved_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets whose last error no view has resolved."""
+    return events.unresolved(executions(spark, sf_dir), "target", tool("error"), tool("view"))
+
+
+@query(f"""WITH {LOG} SELECT case_id, coalesce(arg_max(target, idx) FILTER (tool = 'purchase' AND value > 60), arg_max(target, idx) FILTER (tool = 'click')) AS state,
+CASE WHEN count(*) FILTER (tool = 'purchase' AND value > 60) > 0 THEN 0 WHEN count(*) FILTER (tool = 'click') > 0 THEN 1 END::BIGINT AS priority FROM log GROUP BY 1""")
+def final_state_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest full state, else the newest partial one."""
+    return events.newest_of(executions(spark, sf_dir), [tool("purchase") & (F.col("value") > 60), tool("click")], F.col("target"))
+
+
+@query(f"""WITH {LOG}, e AS (SELECT event_id, case_id, idx, ts AS s, ts + to_microseconds(CAST(round(value * 60000000) AS BIGINT)) AS f FROM log),
+o AS (SELECT *, s < lag(f) OVER (PARTITION BY case_id ORDER BY idx) AS late FROM e) SELECT event_id, case_id FROM o WHERE f < s OR late""")
+def chronology_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events that start before the one before them ended."""
+    rows = executions(spark, sf_dir).withColumn("done", F.timestamp_add("MICROSECOND", F.round(F.col("value") * 60000000).cast("bigint"), F.col("ts")))
+    return events.chronology(rows, "ts", "done").filter("backwards or overlaps").select("event_id", "case_id")
+
+
+@query(f"""WITH {LOG}, r AS (SELECT case_id, target % 5 AS t, row_number() OVER (PARTITION BY case_id, target % 5 ORDER BY idx) AS n FROM log WHERE NOT ok)
+SELECT case_id, count(*) FILTER (n <= t % 3 + 1)::BIGINT AS expected_failures, count(*) FILTER (n > t % 3 + 1)::BIGINT AS unexpected_failures FROM r GROUP BY 1""")
+def expected_failure_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failures that a plan explains, up to its times per target."""
+    log = executions(spark, sf_dir).withColumn("t", F.col("target") % 5)
+    return events.within_budget(log, ["t"], ~F.col("ok"), F.col("t") % 3 + 1)
+
+
+# selection and splits
+
+
+_RANKED = """r AS (SELECT doc_id, lang, source, row_number() OVER (PARTITION BY lang ORDER BY sha256(doc_id::VARCHAR), doc_id) AS rank, count(*) OVER (PARTITION BY lang) AS n FROM documents),
+s AS (SELECT *, CASE WHEN rank <= floor(n * 0.8 + 1e-9) THEN 'train' WHEN rank <= floor(n * 0.9 + 1e-9) THEN 'dev' ELSE 'confirmation' END AS split FROM r)"""
+
+
+def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.hash_split(table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), ["lang"], F.col("doc_id"), [("train", 0.8), ("dev", 0.1), ("confirmation", 0.1)])
+
+
+@query(f"WITH {_RANKED} SELECT doc_id, lang, rank::INT AS rank, split FROM s")
+def hash_rank_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stratified splits by hash rank."""
+    return _split(spark, sf_dir).select("doc_id", "lang", "rank", "split")
+
+
+@query(f"WITH {_RANKED} SELECT source, count(DISTINCT split)::BIGINT AS splits, count(*)::BIGINT AS n FROM s GROUP BY 1 HAVING count(DISTINCT split) > 1")
+def leakage_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups that several splits share."""
+    return selection.in_several(_split(spark, sf_dir), "source")
+
+
+@query("""WITH l AS (SELECT DISTINCT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), b AS (SELECT DISTINCT unnest(string_split(text, chr(10))) AS line FROM benchmark)
+SELECT doc_id, count(*)::BIGINT AS lines FROM l JOIN b USING (line) WHERE length(line) >= 20 GROUP BY 1""")
+def contamination_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a line of a benchmark item, by digest."""
+    lines = lambda t, *k: table(spark, sf_dir, t).select(*k, F.explode(F.split("text", "\n", -1)).alias("line")).filter("length(line) >= 20").distinct()
+    found = selection.seen_before(lines("documents", "doc_id"), lines("benchmark"), F.col("line"), F.col("line"))
+    return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"))
+
+
+@query("SELECT sha256(text) AS key, count(*)::BIGINT AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
+def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that occur more than once."""
+    return selection.repeated(table(spark, sf_dir, "documents"), F.sha2(F.col("text").cast("binary"), 256))
+
+
+@query("""SELECT doc_id, source, rank FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY sha256(doc_id::VARCHAR), doc_id)::INT AS rank FROM documents) WHERE rank <= 4""")
+def first_n_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first four of each group by hash."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return selection.first_n(docs, ["source"], [selection.digest(F.col("doc_id")), F.col("doc_id")], 4)
+
+
+@query("""WITH b AS (SELECT doc_id, lang, source FROM (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY sha256(doc_id::VARCHAR), doc_id) AS n FROM documents) WHERE n = 1),
+p AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY sha256(source), source)::INT AS rank FROM b)
+SELECT doc_id, lang, source, rank, row_number() OVER (PARTITION BY lang ORDER BY rank % 2 = 1, rank)::INT AS place FROM p WHERE rank <= 6""")
+def quota_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per group, six groups per category, even places first."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    return selection.quota(docs, "lang", "source", F.col("doc_id"), 6).select("doc_id", "lang", "source", "rank", "place")
+
+
+@query("""SELECT 'replay' AS origin, doc_id AS id, sha256(text) AS digest FROM documents WHERE doc_id % 10 = 0 UNION ALL SELECT 'repaired', item_id, sha256(text) FROM benchmark""")
+def replay_mix_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tagged corpora as one."""
+    tagged = lambda df, origin, key: df.select(F.lit(origin).alias("origin"), F.col(key).alias("id"), F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
+    return tagged(table(spark, sf_dir, "documents").filter("doc_id % 10 = 0"), "replay", "doc_id").unionByName(tagged(table(spark, sf_dir, "benchmark"), "repaired", "item_id"))
+
+
+@query("""SELECT doc_id, lang, rank, ((rank - 1) % 3)::INT AS layout FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha256(doc_id::VARCHAR), doc_id)::INT AS rank FROM documents)""")
+def layout_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three layouts in turn by hash rank."""
+    rows = selection.ranked(table(spark, sf_dir, "documents").select("doc_id", "lang"), ["lang"], [selection.digest(F.col("doc_id")), F.col("doc_id")])
+    return rows.withColumn("layout", selection.layout(F.col("rank"), 3))
+
+
+@query("""SELECT conv_id, turn, role FROM conversations WHERE role <> 'system' AND role <> CASE turn % 2 WHEN 0 THEN 'user' ELSE 'assistant' END""")
+def interleave_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns whose role is not the one of their place."""
+    return selection.wrong_order(table(spark, sf_dir, "conversations").filter("role <> 'system'"), "turn", "role", ["user", "assistant"]).select("conv_id", "turn", "role")
+
+
+@query("""SELECT doc_id, lang, n_chars FROM documents ORDER BY n_chars DESC, doc_id DESC LIMIT 25""")
+def top_k_longest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H2: the 25 longest, later ids first among equals (a top-k report)."""
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars").orderBy(F.desc("n_chars"), F.desc("doc_id")).limit(25)
+
+
+# preferences and policy optimisation
+
+
+@query("""WITH l AS (SELECT d.source, d.doc_id, quality FROM documents d JOIN labels USING (doc_id)), p AS (SELECT source, min(doc_id) FILTER (quality = 1) AS chosen, min(doc_id) FILTER (quality <> 1) AS rejected FROM l GROUP BY 1)
+SELECT * FROM p WHERE chosen IS NOT NULL AND rejected IS NOT NULL""")
+def preference_in_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first success over the first failure of each group."""
+    joined = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    return selection.in_group_preferences(joined, "source", "doc_id", F.col("quality") == 1)
+
+
+@query("""WITH l AS (SELECT d.doc_id, d.lang, sha256(d.text) AS digest, quality = 1 AS b, toxic = 0 AS c FROM labels JOIN documents d USING (doc_id))
+SELECT doc_id, lang, CASE WHEN b THEN 'base' ELSE 'candidate' END AS chosen, CASE WHEN b THEN 'candidate' ELSE 'base' END AS rejected, digest FROM l WHERE b <> c""")
+def preference_cross_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of two policies wins on the same case, with the record's digest."""
+    pairs = selection.cross_preferences(table(spark, sf_dir, "labels"), F.col("quality") == 1, F.col("toxic") == 0)
+    return pairs.join(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "lang", "chosen", "rejected", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
+
+
+_REWARDS = "w AS (SELECT doc_id, source, quality::DOUBLE AS r FROM labels JOIN documents USING (doc_id))"
+
+
+def _rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "source", F.col("quality").cast("double").alias("r"))
+
+
+@query(f"""WITH {_REWARDS}, s AS (SELECT *, avg(r) OVER (PARTITION BY source) AS m, stddev_pop(r) OVER (PARTITION BY source) AS d FROM w)
+SELECT doc_id, source, round(m, 9) AS mean, round(d, 9) AS deviation, round(CASE WHEN d = 0 THEN 0 ELSE (r - m) / (d + 1e-8) END, 6) AS advantage FROM s""")
+def group_advantages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """advantages within groups, by population deviation."""
+    out = selection.advantages(_rewards(spark, sf_dir), "source", "r")
+    return out.select("doc_id", "source", F.round("mean", 9).alias("mean"), F.round("deviation", 9).alias("deviation"), F.round("advantage", 6).alias("advantage"))
+
+
+@query(f"""WITH {_REWARDS}, s AS (SELECT source, stddev_pop(r) AS d, count(*) AS n FROM w GROUP BY 1)
+SELECT count(*)::BIGINT AS groups, count(*) FILTER (d > 0)::BIGINT AS mixed_groups, count(*) FILTER (d = 0)::BIGINT AS zero_variance_groups, sum(n)::BIGINT AS rollouts FROM s""")
+def rollout_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """groups with and without variance."""
+    return selection.rollout_groups(_rewards(spark, sf_dir), "source", "r")
+
+
+_DPO = "z AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 0.1 * ((-l_extendedprice / 1000 + l_quantity) - (-l_discount * 100 - l_tax * 50)) AS z FROM lineitem)"
+
+
+@query(f"""WITH {_DPO} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(z, 6) AS margin, round(greatest(-z, 0) + ln(1 + exp(-abs(z))), 6) AS loss, round(0.1 / (1 + exp(z)), 6) AS coefficient FROM z""")
+def dpo_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Margin, stable loss and coefficient."""
+    c = F.col
+    terms = maths.dpo_terms(-c("l_extendedprice") / 1000, -c("l_quantity"), -c("l_discount") * 100, c("l_tax") * 50, 0.1)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *(F.round(v, 6).alias(n) for n, v in terms.items()))
+
+
+@query("""WITH t AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, -l_quantity / 50 AS logp, -l_discount * 10 AS old, -l_tax * 10 AS ref, (l_extendedprice - 40000) / 39999.7::DOUBLE AS a FROM lineitem),
+s AS (SELECT *, least(exp(logp - old) * a, least(greatest(exp(logp - old), 0.8), 1.2) * a) AS g, exp(ref - logp) - (ref - logp) - 1 AS k FROM t)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(exp(logp - old), 6) AS ratio, round(g, 6) AS surrogate, round(k, 6) AS kl, round(g - 0.04 * k, 6) AS objective FROM s""")
+def grpo_objective(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ratio, clipped surrogate, divergence and objective of each token."""
+    c = F.col
+    terms = maths.grpo_terms(-c("l_quantity") / 50, -c("l_discount") * 10, -c("l_tax") * 10, (c("l_extendedprice") - 40000) / 39999.7, 0.2, 0.04)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *(F.round(v, 6).alias(n) for n, v in terms.items()))
+
+
+@query("""SELECT doc_id, s AS start, least(s + 512, n_chars) AS "end" FROM (SELECT doc_id, n_chars, unnest(generate_series(0, n_chars - 1, 512)) AS s FROM documents)""")
+def token_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges of at most 512 that cover each document."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(maths.chunk_ranges(F.col("n_chars"), 512)).alias("c")).select("doc_id", "c.start", "c.end")
+
+
+@query("""SELECT conv_id, turn, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS prefix, length(text)::BIGINT AS target, role FROM conversations QUALIFY role = 'assistant'""")
+def next_turn_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M1, L4: an example per assistant turn, with the masked prefix's length."""
+    return token_ops.next_turns(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", F.length("text"))
+
+
+@query("""WITH e AS (SELECT role, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS p, length(text) AS t FROM conversations)
+SELECT count(*)::BIGINT AS examples, sum(p + t)::BIGINT AS tokens, sum(t)::BIGINT AS supervised, max(p + t)::BIGINT AS longest FROM e WHERE role = 'assistant'""")
+def masked_token_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """examples, tokens, supervised tokens and the longest example."""
+    examples = token_ops.next_turns(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", F.length("text"))
+    return token_ops.statistics(examples)
+
+
+# text, JSON and search
+
+
+_TERMS = ("the", "elle", "schaft", "heit", "tion")
+
+
+@query("WITH s AS (SELECT item_id, " + " + ".join(f"CASE WHEN contains(lower(text), '{t}') THEN {max(1, len(t) - 1)} ELSE 0 END" for t in _TERMS if t != "the") + """ AS score, text FROM benchmark)
+SELECT item_id, score::INT AS score FROM s WHERE score > 0 ORDER BY score DESC, item_id DESC, text DESC LIMIT 10""")
+def knowledge_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items that contain the query's terms, by score (a top-k report)."""
+    scored = table(spark, sf_dir, "benchmark").withColumn("score", text.search_score(F.col("text"), text.search_terms(F.lit(" ".join(_TERMS)))))
+    return scored.filter("score > 0").orderBy(F.desc("score"), F.desc("item_id"), F.desc("text")).limit(10).select("item_id", "score")
+
+
+@query("""SELECT doc_id, contains(replace(lower(text), 'ß', 'ss'), 'tion') AND (contains(lower(text), 'the') OR contains(lower(text), 'le')) AND regexp_matches(text, '(?i)\\b(and|et)\\b')
+AND NOT contains(lower(text), 'token') AND NOT regexp_matches(text, '(?i)[0-9]{12}') AS matched FROM documents""")
+def answer_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contains-all, contains-any, patterns, forbidden words and patterns."""
+    rule = text.answer_matches(F.col("text"), required=True, contains_all=["TION"], contains_any=["the", "le"], regex_any=[r"\b(and|et)\b"], forbidden_any=["token"], regex_none=["[0-9]{12}"])
+    return table(spark, sf_dir, "documents").select("doc_id", rule.alias("matched"))
+
+
+@query("""SELECT user_id AS case_id, bool_or(event_type <> 'error' AND CAST(json_extract(props, '$.k') AS BIGINT) = 42) AS equals_rule, bool_or(event_type <> 'error' AND contains(props, '7')) AS contains_rule FROM events GROUP BY 1""")
+def json_path_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether any successful execution has the value at a path."""
+    ok = F.col("event_type") != "error"
+    return table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("case_id")).agg(
+        F.bool_or(ok & F.coalesce(jsonx.at_path(F.col("props"), "$.k", "bigint") == 42, F.lit(False))).alias("equals_rule"), F.bool_or(ok & F.contains("props", F.lit("7"))).alias("contains_rule"))
+
+
+@query("""SELECT event_id, sha256('{"k":' || json_extract(props, '$.k') || '}') AS fingerprint, ('0x' || left(sha256('{"k":' || json_extract(props, '$.k') || '}'), 8))::BIGINT AS seed FROM events""")
+def canonical_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of canonical JSON, and a seed from them."""
+    own = jsonx.canonical(F.col("props"))
+    return table(spark, sf_dir, "events").select("event_id", jsonx.canonical_digest(F.col("props")).alias("fingerprint"), jsonx.digest_seed(own).alias("seed"))
+
+
+@query("""WITH t AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'go <tool_call> ' || props || ' </tool_call> then <tool_call>{oops</tool_call>' WHEN event_id % 3 = 1 THEN 'x <TOOL_CALL' ELSE props END AS o FROM events)
+SELECT event_id, (CASE WHEN event_id % 3 = 0 THEN 2 ELSE 0 END)::BIGINT AS calls, (CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END)::BIGINT AS valid, event_id % 3 <> 2 AS marked, regexp_extract(o, '<tool_call>\\s*(.*?)\\s*</tool_call>', 1) AS first_raw FROM t""")
+def parse_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tool calls in model output, valid ones among them, and markers that parse to nothing."""
+    third = F.col("event_id") % 3
+    output = F.when(third == 0, F.concat(F.lit("go <tool_call> "), "props", F.lit(" </tool_call> then <tool_call>{oops</tool_call>"))).when(third == 1, "x <TOOL_CALL").otherwise(F.col("props"))
+    calls = table(spark, sf_dir, "events").select("event_id", text.tool_calls(output).alias("c"), text.has_call_marker(output).alias("marked"))
+    return calls.select("event_id", F.size("c").cast("bigint").alias("calls"), F.size(F.filter("c", lambda x: x["valid"])).cast("bigint").alias("valid"), "marked", F.coalesce(F.get("c", F.lit(0))["raw"], F.lit("")).alias("first_raw"))
+
+
+@query("""SELECT doc_id, len(list_filter(list_transform(regexp_split_to_array(text, '[。\\n；;]'), lambda x: trim(x, ' ')), lambda x: x <> ''))::BIGINT AS clauses FROM documents""")
+def clause_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clauses of each document."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(text.clauses(F.col("text"))).cast("bigint").alias("clauses"))
+
+
+@query("""WITH g AS (SELECT c.v AS c, t.v AS t, u.v AS u, d.v AS d, p.v AS p FROM (SELECT unnest([0, 1]) AS v) c, (SELECT unnest(generate_series(0, 3)) AS v) t, (SELECT unnest([0, 1]) AS v) u, (SELECT unnest(generate_series(0, 2)) AS v) d, (SELECT unnest([0, 1]) AS v) p)
+SELECT c::INT AS concurrent, t::INT AS transient, u::INT AS timeout, d::INT AS delay, p::INT AS passes, (1 + 4 * (c + t) + 3 + u + 1 + (d + 1) + (1 - p) + 1)::BIGINT AS calls, (c + t + u)::BIGINT AS tool_errors, (1 - p)::BIGINT AS check_failures,
+CASE WHEN p = 1 THEN 'applied' ELSE 'rolled_back' END AS outcome, (1 + c + 1 + (1 - p))::BIGINT AS revision FROM g""")
+def txn_oracle_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The closed form of the transaction teacher over a grid of scenarios."""
+    return generators.transaction_grid(spark)
