@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracemill.functions import jsonx, maths, text
-from tracemill.operators import aggregate, events, selection
+from tracemill.operators import aggregate, events, replay, scoring, selection, trace
 from tracemill.operators import tokens as token_ops
 from tracemill.sources import generators
 
@@ -604,3 +604,80 @@ CASE WHEN p = 1 THEN 'applied' ELSE 'rolled_back' END AS outcome, (1 + c + 1 + (
 def txn_oracle_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The closed form of the transaction teacher over a grid of scenarios."""
     return generators.transaction_grid(spark)
+
+
+_PROFILES = """g AS (SELECT t.v AS transient, u.v AS timeout, c.v AS concurrent, p.v AS passes, d.v AS delay,
+  left(sha256('{"check_delay":' || d.v || ',"check_passes":' || p.v || ',"concurrent":' || c.v || ',"timeout_after_commit":' || u.v || ',"transient_commits":' || t.v || '}'), 16) AS group_id
+  FROM (SELECT unnest([0, 1, 2]) AS v) t, FLAG u, FLAG c, FLAG p, (SELECT unnest([0, 1, 2, 3]) AS v) d),
+s AS (SELECT *, row_number() OVER (PARTITION BY timeout = 'true' AND concurrent = 'true', passes ORDER BY sha256('[20260917,"' || group_id || '"]')) AS place FROM g),
+k AS (SELECT *, CASE WHEN timeout = 'true' AND concurrent = 'true' THEN 'confirmation_ood' WHEN place <= 24 THEN 'train' WHEN place <= 32 THEN 'dev' ELSE 'confirmation_id' END AS split,
+  9 + 4 * ((concurrent = 'true')::INT + transient) - 2 + (timeout = 'true')::INT + delay + (passes = 'false')::INT AS calls FROM s),
+a AS (SELECT split, group_id, calls, passes FROM k UNION ALL SELECT * FROM (VALUES ('train', 'p1', 2, 'blocked'), ('confirmation_ood', 'p2', 5, 'blocked')) v(split, group_id, calls, passes))""".replace("FLAG", "(SELECT unnest(['false', 'true']) AS v)")
+
+
+@query(f"""WITH {_PROFILES}, n AS (SELECT *, CASE WHEN split = 'train' THEN 42 ELSE 16 END AS n FROM a)
+SELECT split, sum(n)::BIGINT AS cases, count(*)::BIGINT AS groups, sum(n * (calls + 1))::BIGINT AS examples, min(calls)::BIGINT AS min_calls, max(calls)::BIGINT AS max_calls,
+sum(n) FILTER (passes = 'true')::BIGINT AS applied, sum(n) FILTER (passes = 'false')::BIGINT AS rolled_back, coalesce(sum(n) FILTER (passes = 'blocked'), 0)::BIGINT AS blocked FROM n GROUP BY split""")
+def txn_split_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The transaction study's cases by split: groups, examples, calls and outcomes, in closed form."""
+    cases = generators.transaction_cases(spark)
+    flag = lambda c: (F.col(c) == "true").cast("int")
+    made = generators.transaction_outcome(flag("concurrent"), F.col("transient"), flag("timeout"), F.col("delay"), flag("passes"), writable=~F.coalesce(F.col("permission") == "initial_readonly", F.lit(False)), revoked=F.coalesce(F.col("permission") == "revoke_before_commit", F.lit(False)))
+    count = lambda o: F.count_if(F.col("outcome") == o)
+    return cases.withColumns({n: made[n] for n in ("calls", "outcome")}).groupBy("split").agg(
+        F.count(F.lit(1)).alias("cases"), F.countDistinct("group_id").alias("groups"), F.sum(F.col("calls") + 1).alias("examples"), F.min("calls").alias("min_calls"), F.max("calls").alias("max_calls"),
+        count("applied").alias("applied"), count("rolled_back").alias("rolled_back"), count("blocked").alias("blocked"))
+
+
+@query(f"""WITH {_PROFILES}, n AS (SELECT *, CASE WHEN split = 'train' THEN 42 ELSE 16 END AS n FROM a)
+SELECT split, sum(n)::BIGINT AS cases, sum(n)::BIGINT AS passed, 0::BIGINT AS mismatched, 0::BIGINT AS violations, sum(n * calls)::BIGINT AS tool_calls FROM n GROUP BY split""")
+def txn_replay_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K2-K4, M8: the teacher's traces of all cases, replayed and judged; the closed form says what must come out."""
+    cases = generators.transaction_cases(spark)
+    judged = replay.audit(replay.teacher_traces(cases.repartition("case_id")))
+    return judged.join(cases.select("case_id", "split"), "case_id").groupBy("split").agg(
+        F.count(F.lit(1)).alias("cases"), F.count_if("task_success").alias("passed"), F.count_if(F.col("mismatch_at").isNotNull()).alias("mismatched"), F.sum("policy_violations").alias("violations"), F.sum("tool_calls").alias("tool_calls"))
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record per user: the events as a trajectory by day, the case asking for tools, calls and a final value."""
+    log = executions(spark, sf_dir)
+    call = F.struct(F.col("tool").alias("name"), F.struct(F.col("target").alias("k")).alias("arguments"))
+    result = F.struct(F.col("ok").alias("ok"), F.when(F.col("ok"), F.struct("value")).alias("result"), F.when(~F.col("ok"), "RuntimeError").alias("error_type"))
+    days = log.groupBy("case_id", "step").agg(F.array_sort(F.collect_list(F.struct("idx", F.struct(call.alias("tool_call"), result.alias("result")).alias("e")))).alias("x"))
+    steps = days.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("step", F.transform("x", lambda e: F.struct(F.lit(True).alias("valid"), e["e"]["tool_call"].alias("tool_call"))).alias("parsed_tool_calls"), F.transform("x", lambda e: e["e"]).alias("tool_results")))).alias("trajectory"))
+    case = F.format_string('{"id":"%d","category":"%s","difficulty":"%s","required_tools":["view","click","purchase"],"required_calls":[{"name":"view","arguments":{"k":%d}}],"expected_tools":["view","click","view"],"requires_recovery":%s,"success_criteria":{"max_tool_calls":%d},"tags":[]}',
+        "case_id", F.concat(F.lit("c"), F.col("case_id") % 3), F.concat(F.lit("d"), F.col("case_id") % 2), F.col("case_id") % 100, F.when(F.col("case_id") % 4 == 0, "true").otherwise("false"), F.lit(60) + F.col("case_id") % 20)
+    return steps.select(case.alias("case"), F.to_json(F.struct("trajectory")).alias("result"))
+
+
+@query(f"""WITH {LOG}, n AS (SELECT case_id, count(*) AS calls, count(*) FILTER (NOT ok) AS failed, count(DISTINCT step) AS steps, count(*) FILTER (tool = 'view') AS v, count(*) FILTER (tool = 'click') AS c, count(*) FILTER (tool = 'purchase') AS p,
+count(*) FILTER (tool = 'view' AND target = case_id % 100) AS hit FROM log GROUP BY 1)
+SELECT case_id::VARCHAR AS id, steps::BIGINT AS num_steps, calls::BIGINT AS tool_call_count, failed::BIGINT AS failed_tool_calls, round((calls - failed) / calls, 9) AS execution_success_rate,
+(least(v, 1) + least(c, 1) + least(p, 1))::BIGINT AS tool_true_positives, (calls - least(v, 1) - least(c, 1) - least(p, 1))::BIGINT AS tool_false_positives, least(hit, 1)::DOUBLE AS argument_accuracy, calls <= 60 + case_id % 20 AS task_success FROM n""")
+def case_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records scored under protocol 2.0."""
+    scored = scoring.score_records(_records(spark, sf_dir))
+    return scored.select("id", "num_steps", "tool_call_count", "failed_tool_calls", F.round("execution_success_rate", 9).alias("execution_success_rate"), "tool_true_positives", "tool_false_positives", "argument_accuracy", "task_success")
+
+
+@query(f"""WITH {LOG}, n AS (SELECT case_id, count(*) AS calls, count(*) FILTER (NOT ok) AS failed FROM log GROUP BY 1), k AS (SELECT 'c' || (case_id % 3) AS c, 'd' || (case_id % 2) AS d, *, (calls - failed) / calls AS rate, (calls <= 60 + case_id % 20)::INT AS task FROM n)
+SELECT CASE WHEN grouping(c) = 0 THEN 'category' WHEN grouping(d) = 0 THEN 'difficulty' ELSE 'overall' END AS scope, coalesce(c, d, '') AS key, count(*)::BIGINT AS num_cases, round(avg(rate), 9) AS execution_success_rate,
+round(avg(task), 9) AS task_success_rate, sum(failed)::BIGINT AS total_failed_tool_calls FROM k GROUP BY GROUPING SETS ((), (c), (d))""")
+def record_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F1, F2, F4 over scored records: the whole path from JSON records to the summary."""
+    out = aggregate.summary(scoring.score_records(_records(spark, sf_dir)), ("category", "difficulty"))
+    return out.select("scope", "key", "num_cases", F.round("execution_success_rate", 9).alias("execution_success_rate"), F.round("task_success_rate", 9).alias("task_success_rate"), "total_failed_tool_calls")
+
+
+@query(f"""WITH {LOG} SELECT case_id::VARCHAR AS case_id, kind, idx::BIGINT - 1 AS idx, tool, CASE WHEN kind = 'execution' THEN ok END AS ok, '{{"k":' || target || '}}' AS args_json FROM log, (SELECT unnest(['attempt', 'execution']) AS kind)""")
+def normalised_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records as attempt and execution events."""
+    records = _records(spark, sf_dir).withColumn("id", F.get_json_object("case", "$.id"))
+    return trace.event_tables(records).select("case_id", "kind", "idx", "tool", "ok", "args_json")
+
+
+@query()
+def spec_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Argument accuracy of each case."""
+    return scoring.score_records(_records(spark, sf_dir)).select("id", "argument_matches", "argument_total", "argument_accuracy", "repeated_tool_calls", "retry_calls", "tool_order_score")

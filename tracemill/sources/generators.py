@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -50,8 +50,43 @@ def disjoint_draw(spark: SparkSession, groups: list[str], pool: list[str], each:
         raise ValueError("the pool is too small for disjoint draws")
     order = lambda c: F.sha2(c.cast("binary"), 256)
     ranked = lambda values: spark.createDataFrame([(v,) for v in values], "v string").select("v", order(F.col("v")).alias("h"))
-    from pyspark.sql import Window
-
     place = F.row_number().over(Window.orderBy("h", "v"))  # both lists are literals of the caller
     drawn = ranked(pool).withColumn("slot", F.floor((place - 1) / each) + 1)
     return ranked(groups).withColumn("slot", place.cast("bigint")).join(drawn.select("slot", F.col("v").alias("parameter")), "slot").select(F.col("v").alias("group_id"), "parameter")
+
+
+# fixed values: the seed and the splits of the transaction study, and configurations in its order
+SEED = 20260917
+CONFIGS = [f'{{"cache_enabled":{c},"quality":"{q}"}}' for q in ("low", "standard", "high") for c in ("false", "true")]
+
+
+def _sha(text: Column) -> Column:
+    return F.sha2(text.cast("binary"), 256)
+
+
+def transaction_profiles(spark: SparkSession) -> DataFrame:
+    """The fault profiles, each a group, split by hash rank; timeout with a concurrent change is out of distribution."""
+    flags = ["false", "true"]
+    grid = product(spark, {"transient": [0, 1, 2], "timeout": flags, "concurrent": flags, "passes": flags, "delay": [0, 1, 2, 3]})
+    text = F.format_string('{"check_delay":%d,"check_passes":%s,"concurrent":%s,"timeout_after_commit":%s,"transient_commits":%d}', "delay", "passes", "concurrent", "timeout", "transient")
+    grid = grid.withColumn("group_id", F.substring(_sha(text), 1, 16)).withColumn("ood", (F.col("timeout") == "true") & (F.col("concurrent") == "true"))
+    place = F.row_number().over(Window.partitionBy("ood", "passes").orderBy(_sha(F.concat(F.lit(f'[{SEED},"'), F.col("group_id"), F.lit('"]')))))
+    split = F.when(F.col("ood"), "confirmation_ood").when(place <= 24, "train").when(place <= 32, "dev").otherwise("confirmation_id")
+    usual = grid.withColumn("split", split).withColumn("permission", F.lit(None).cast("string")).drop("ood")
+    kinds = spark.createDataFrame([("initial_readonly", "train"), ("revoke_before_commit", "confirmation_ood")], "permission string, split string")
+    special = kinds.withColumns({"transient": F.lit(0), "timeout": F.lit("false"), "concurrent": F.lit("false"), "passes": F.lit("true"), "delay": F.lit(1), "group_id": F.substring(_sha(F.concat(F.lit('"'), "permission", F.lit('"'))), 1, 16)})
+    return usual.unionByName(special.select(usual.columns))
+
+
+def transaction_cases(spark: SparkSession) -> DataFrame:
+    """The study's cases: of each profile the first 42 (train) or 16 variants of start, goal and revision by hash."""
+    pairs = product(spark, {"initial": CONFIGS, "desired": CONFIGS, "revision": [7, 19]}).filter("initial <> desired")
+    # a small literal table against a small literal table: 98 profiles by 60 variants
+    both = transaction_profiles(spark).crossJoin(F.broadcast(pairs))
+    key = F.format_string('[%d,"%s",[%s,%s,%d]]', F.lit(SEED), "group_id", "initial", "desired", "revision")
+    ranked = both.withColumn("n", F.row_number().over(Window.partitionBy("group_id").orderBy(_sha(key))) - 1).filter("n < CASE WHEN split = 'train' THEN 42 ELSE 16 END")
+    other = F.element_at(F.filter(F.array(*map(F.lit, CONFIGS)), lambda c: (c != F.col("initial")) & (c != F.col("desired"))), 1)
+    scenario = F.format_string('{"initial_config":%s,"revision":%d%s}', "initial", "revision", F.when(F.col("permission") == "initial_readonly", ',"writable":false').when(F.col("permission").isNotNull(), ',"revoke_before_commit":true').otherwise(
+        F.concat(F.format_string(',"transient_commits":%d,"timeout_after_commit":%s,"check_passes":%s,"check_delay":%d', "transient", "timeout", "passes", "delay"), F.when(F.col("concurrent") == "true", F.concat(F.lit(',"concurrent_config":'), other)).otherwise(""))))
+    category = F.when(F.col("permission").isNotNull(), "permission").when(F.col("passes") == "true", "apply").otherwise("rollback")
+    return ranked.withColumns({"case_id": F.format_string("txn1_%s_%02d", "group_id", "n"), "scenario": scenario, "category": category})
