@@ -42,16 +42,17 @@ def answer_matches(text: Column, *, required: bool = False, contains_all: list[s
 
 
 # fixed values: words without weight in a search
-STOP_WORDS = ("a", "an", "and", "in", "is", "of", "or", "the", "to")
+STOP_WORDS = ("一个", "一下", "什么", "是否", "当前", "帮我", "怎么", "怎样", "版本", "问题", "请问", "这个")
 
 
-def search_terms(text: Column) -> Column:
-    """Latin words and dotted versions, and CJK runs; runs of over four characters as all their 2-, 3- and 4-grams; lone integers and stop words are dropped."""
-    latin = F.regexp_extract_all(F.lower(text), F.lit(r"([a-z][a-z0-9_]*|[0-9]+(?:\.[0-9]+)+)"), F.lit(1))
-    runs = F.regexp_extract_all(text, F.lit(r"([\x{4e00}-\x{9fff}]+)"), F.lit(1))
+def search_terms(query: Column) -> Column:
+    """Latin words, dotted versions and CJK runs; runs of over four characters as all their 2-, 3- and 4-grams; stop words and lone integers are dropped."""
+    low = F.lower(query)
+    latin = F.regexp_extract_all(low, F.lit(r"([a-z]+|[0-9]+(?:\.[0-9]+)+)"), F.lit(1))
+    runs = F.filter(F.regexp_extract_all(low, F.lit(r"([\x{4e00}-\x{9fff}]+)"), F.lit(1)), lambda r: ~r.isin(*STOP_WORDS))
     grams = lambda r: F.flatten(F.transform(F.array(F.lit(2), F.lit(3), F.lit(4)), lambda n: F.transform(F.sequence(F.lit(1), F.length(r) - n + 1), lambda i: F.substring(r, i, n))))
     cjk = F.flatten(F.transform(runs, lambda r: F.when(F.length(r) > 4, grams(r)).otherwise(F.array(r))))
-    return F.array_distinct(F.concat(F.filter(latin, lambda t: ~t.isin(*STOP_WORDS)), cjk))
+    return F.array_distinct(F.filter(F.concat(latin, cjk), lambda t: ~t.isin(*STOP_WORDS)))
 
 
 def search_score(text: Column, terms: Column) -> Column:

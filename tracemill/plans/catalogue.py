@@ -551,7 +551,7 @@ def masked_token_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TERMS = ("the", "elle", "schaft", "heit", "tion")
 
 
-@query("WITH s AS (SELECT item_id, " + " + ".join(f"CASE WHEN contains(lower(text), '{t}') THEN {max(1, len(t) - 1)} ELSE 0 END" for t in _TERMS if t != "the") + """ AS score, text FROM benchmark)
+@query("WITH s AS (SELECT item_id, " + " + ".join(f"CASE WHEN contains(lower(text), '{t}') THEN {max(1, len(t) - 1)} ELSE 0 END" for t in _TERMS) + """ AS score, text FROM benchmark)
 SELECT item_id, score::INT AS score FROM s WHERE score > 0 ORDER BY score DESC, item_id DESC, text DESC LIMIT 10""")
 def knowledge_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items that contain the query's terms, by score (a top-k report)."""
