@@ -25,7 +25,7 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_automaton.verdicts(suffix_automaton.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
-    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,4 +86,20 @@ SELECT page_id, host, path, CASE {rule} END AS rule,
 FROM c"""
 
 
-SQL: dict[str, str] = {"op7_url_filter": _url_sql()}
+def _decontamination_sql() -> str:
+    words = lambda c: rf"regexp_extract_all(translate(coalesce({c}, ''), '{UPPER}', '{UPPER.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return f"""
+WITH i AS (SELECT item_id, {words("text")} AS w FROM benchmark),
+s AS (SELECT item_id, w, least(len(w), {suffix_automaton.WINDOW}) AS size FROM i WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, size, array_to_string(w[p:p + size - 1], ' ') AS gram FROM (SELECT *, unnest(generate_series(1, len(w) - size + 1)) AS p FROM s)),
+d AS (SELECT doc_id, {words("text")} AS w FROM documents),
+g AS (SELECT doc_id, size, p, array_to_string(w[p:p + size - 1], ' ') AS gram FROM (SELECT doc_id, w, size, unnest(generate_series(1, len(w) - size + 1)) AS p FROM d, (SELECT DISTINCT size FROM win) WHERE len(w) >= size)),
+m AS (SELECT DISTINCT g.doc_id, g.p, g.size, win.item_id FROM g JOIN win USING (size, gram)),
+h AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(generate_series(p, p + size - 1)) AS q FROM m) GROUP BY doc_id),
+t AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM m GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)"""
+
+
+SQL: dict[str, str] = {"op3_decontamination": _decontamination_sql(), "op7_url_filter": _url_sql()}

@@ -36,6 +36,7 @@ from tracemill.llm.common import LOWER_BYTES, checkpointed, map_texts
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Fingerprints of a shard (or slice of one) that one tree holds at most.
 SHARD_ROWS = 4096
+_KEPT, _PLACE = "__tracemill_kept", "__tracemill_place"  # names that no input has
 _PAIRS = 2_000_000  # query-node pairs that a search holds at a time
 
 
@@ -234,8 +235,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents that stand for their component (least id); rows of an equal id count as one document, rows of a null id stay."""
     marked = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
-    kept = marked.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept")).distinct()
+    kept = marked.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias(_KEPT)).distinct()
     row = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col)))
-    once = docs.join(kept, docs[id_col] == kept["_kept"], "left_semi").withColumn("_n", row).filter("_n = 1").drop("_n")
+    once = docs.join(kept, docs[id_col] == kept[_KEPT], "left_semi").withColumn(_PLACE, row).filter(F.col(_PLACE) == 1).drop(_PLACE)
     return once.unionByName(docs.filter(F.col(id_col).isNull()))
 
