@@ -24,7 +24,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """The documents whose id is among kept's; both are shuffled by id, nothing is broadcast."""
-    return docs.join(kept.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi").select(*COLUMNS)
+    return docs.select(*COLUMNS).join(kept.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi").select(*COLUMNS)
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +32,7 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs).select(*COLUMNS)
+    return simhash.keep_one(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = pii.detect(docs).filter(F.size("all_spans") > 0).select("doc_id", "all_spans")
     clean = pii.redacted(F.col("text"), F.col("all_spans"))
-    marked = docs.join(found, "doc_id", "left").withColumn("text", F.when(F.col("all_spans").isNotNull(), clean).otherwise(F.col("text")))
+    marked = docs.select(*COLUMNS).join(found, "doc_id", "left").withColumn("text", F.when(F.col("all_spans").isNotNull(), clean).otherwise(F.col("text")))
     return marked.withColumn("n_chars", F.when(F.col("all_spans").isNotNull(), F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
