@@ -67,7 +67,7 @@ _ARROW = {
 }
 
 
-def slices(batch: pa.RecordBatch, most_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each part holds about ``most_bytes`` at most (a longer row stands alone)."""
     rows = batch.num_rows
     step = max(1, min(rows, int(rows * most_bytes / max(batch.nbytes, 1))))
