@@ -69,3 +69,77 @@ def decided(df: DataFrame, table: dict[str, str], key: str = "id") -> DataFrame:
     for k, v in table.items():
         verdict = F.when(F.col(key) == k, v).otherwise(verdict)
     return df.withColumn("verdict", verdict)
+
+
+def dpo_drift(log: DataFrame, reference: DataFrame, *, beta: float = 0.1, key: str = "case_id", tolerance: float = 1e-6) -> DataFrame:
+    """Logged steps (key, chosen, rejected, loss, margin, coefficient, tokens) whose terms or token counts the reference scores do not give."""
+    from tracemill.functions.maths import dpo_terms, is_close
+
+    ref = reference.select(key, F.col("chosen").alias("_c"), F.col("rejected").alias("_r"), F.col("tokens").alias("_t"))
+    both = log.join(ref, key, "left")
+    terms = dpo_terms(F.col("chosen"), F.col("rejected"), F.col("_c"), F.col("_r"), beta)
+    wrong = F.array_compact(F.array(F.when(F.col("_c").isNull(), "unknown"), F.when(F.col("tokens") != F.col("_t"), "tokens"), *(F.when(F.col("_c").isNotNull() & ~is_close(F.col(n), v, tolerance, tolerance), n) for n, v in terms.items())))
+    return both.withColumn("wrong", wrong).filter(F.size("wrong") > 0).drop("_c", "_r", "_t")
+
+
+def inherited(old: DataFrame, new: DataFrame, reviews: DataFrame, key: str = "id", result: str = "result") -> DataFrame:
+    """Reviews that a rerun may keep, because its result is exactly the reviewed one."""
+    same = old.select(key, canonical(F.col(result)).alias("a")).join(new.select(key, canonical(F.col(result)).alias("b")), key).filter("a = b").select(key)
+    return reviews.join(same, key, "left_semi")
+
+
+def trace_facts(executions: DataFrame, case: str = "case_id") -> DataFrame:
+    """what each trace's executions (idx, tool, ok, error_type, payload_json) show: failures, refusals, checks, changes, logs read, latest state."""
+    tool = lambda *names: F.col("tool").isin(*names)
+    state = F.when(tool("verify_state"), F.get_json_object("payload_json", "$.current_state")).when(tool("inspect_ui_state", "navigate_ui", "execute_action", "get_build_info"), F.col("payload_json"))
+    bad_check = tool("verify_state") & (F.get_json_object("payload_json", "$.success") == "false")
+    return executions.groupBy(case).agg(
+        F.count_if(~F.col("ok")).alias("failures"), F.count_if(F.col("error_type") == "policy_blocked").alias("policy_blocks"), F.count_if(F.col("ok") & bad_check).alias("failed_checks"),
+        F.count_if(F.col("ok") & tool("navigate_ui", "execute_action")).alias("mutations"), F.count_if(F.col("ok") & tool("query_logs")).alias("logs_read"),
+        F.max_by(state, F.when(F.col("ok") & state.isNotNull(), F.col("idx"))).alias("latest_state"),
+    )
+
+
+def folder_digest(path: str, block: int = 1 << 20) -> str:
+    """F32: sorted relative paths and bytes folded into one digest; the fold has an order, so this is driver work on one folder."""
+    import hashlib
+    from pathlib import Path
+
+    fold = hashlib.sha256()
+    for p in sorted(x for x in Path(path).rglob("*") if x.is_file()):
+        fold.update(p.relative_to(path).as_posix().encode() + b"\0")
+        with p.open("rb") as f:
+            while part := f.read(block):
+                fold.update(part)
+    return fold.hexdigest()
+
+
+# fixed values: what a revision of a protocol puts into a case
+INCIDENTS = {"knowledge_hud": "INC-102"}
+INCIDENT_TEXT, OTHER_INCIDENT = "用事件编号", "INC-101"
+
+
+def revised_queries(cases: DataFrame) -> DataFrame:
+    """C13, 2.1: queries that name the incident they only hint at, and whether the case must be run again."""
+    incident = F.lit(OTHER_INCIDENT)
+    for family, name in INCIDENTS.items():
+        incident = F.when(F.col("scenario_family") == family, name).otherwise(incident)
+    new = F.replace(F.col("query"), F.lit(INCIDENT_TEXT), F.concat(F.lit(f"{INCIDENT_TEXT} "), incident))
+    return cases.withColumns({"query": new, "source_case_id": F.col("id"), "requires_new_inference": new != F.col("query"), "protocol_version": F.lit("2.1")})
+
+
+def process_contracts(cases: DataFrame) -> DataFrame:
+    """C13, 2.2: the process rule of recovery cases; a fault for a family that has none."""
+    known = F.col("scenario_family").isin("recovery_action", "recovery_navigation")
+    rules = F.when(F.col("requires_recovery") & known, F.array(F.lit("observe_state_before_retry"))).otherwise(F.array().cast("array<string>"))
+    return cases.withColumns({"process_constraints": rules, "fault": F.when(F.col("requires_recovery") & ~known, "recovery family without contract"), "protocol_version": F.lit("2.2")})
+
+
+def public_contracts(cases: DataFrame) -> DataFrame:
+    """C13, 2.3: the switches that a case's text and required tools (array) give."""
+    has = lambda text: F.contains(F.col("query"), F.lit(text))
+    contract = F.struct(
+        has("不要改变界面").alias("read_only"), has("不做多余跳转").alias("no_navigation"), has("不重复改设置").alias("no_set_graphics"),
+        F.col("scenario_family").isin(*KNOWLEDGE_FAMILIES).alias("knowledge_before_mutation"), F.array_contains("tools", "get_build_info").alias("build_evidence"),
+    )
+    return cases.withColumns({"public_contract": contract, "tags": F.array_remove("tags", "held_out"), "protocol_version": F.lit("2.3"), "requires_new_inference": F.lit(True)})

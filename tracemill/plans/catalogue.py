@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracemill.functions import jsonx, maths, text
-from tracemill.operators import aggregate, events, replay, scoring, selection, trace
+from tracemill.operators import aggregate, events, replay, scoring, selection, studies, trace
 from tracemill.operators import tokens as token_ops
 from tracemill.sources import generators
 
@@ -681,3 +681,21 @@ def normalised_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def spec_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Argument accuracy of each case."""
     return scoring.score_records(_records(spark, sf_dir)).select("id", "argument_matches", "argument_total", "argument_accuracy", "repeated_tool_calls", "retry_calls", "tool_order_score")
+
+
+@query("""SELECT * FROM (VALUES ('confirmation', 80::BIGINT, 4::BIGINT, 80::BIGINT, 1.0::DOUBLE, 0::BIGINT), ('train', 320, 16, 320, 1.0, 0), ('validation', 80, 4, 80, 1.0, 0)) v(split, cases, groups, passed, tool_f1, faults)""")
+def pilot_oracle_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A13, O, F10, K1: the pilot's generated cases run by their own calls; under protocol 2.3 all must pass."""
+    made = studies.pilot_records(spark)
+    scored = scoring.score_records(made).join(made.select("id", "split", "group_id"), "id")
+    return scored.groupBy("split").agg(F.count(F.lit(1)).alias("cases"), F.countDistinct("group_id").alias("groups"), F.count_if("execution_success").alias("passed"), F.round(F.avg("tool_f1"), 9).alias("tool_f1"), F.count("fault").alias("faults"))
+
+
+@query("""SELECT p AS pattern, s AS split, n::BIGINT AS cases, (CASE p WHEN 'transient_once' THEN 1 WHEN 'transient_twice' THEN 2 WHEN 'policy_once' THEN 1 WHEN 'policy_twice' THEN 2 WHEN 'bad_arguments' THEN 1 WHEN 'mixed_policy_check' THEN 1 ELSE 0 END * n)::BIGINT AS tool_errors,
+CASE WHEN p LIKE '%policy%' THEN 'stop_mutations' WHEN p = 'bad_arguments' THEN 'repair_arguments' WHEN p LIKE 'transient%' THEN 'inspect_before_retry' ELSE 'no_retry_needed' END AS decision
+FROM (SELECT unnest(['clean', 'transient_once', 'transient_twice', 'policy_once', 'policy_twice', 'bad_arguments', 'negative_check', 'mixed_policy_check']) AS p), (VALUES ('train', 24), ('validation', 6), ('confirmation', 6)) v(s, n)""")
+def evidence_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The evidence set's traces by pattern and split: failures and the decision that follows from them."""
+    target = lambda p: F.get_json_object("target", f"$.{p}")
+    cases = studies.evidence_cases(spark)
+    return cases.groupBy("pattern", "split").agg(F.count(F.lit(1)).alias("cases"), F.sum(target("tool_errors").cast("bigint")).alias("tool_errors"), F.max(target("decision")).alias("decision"))

@@ -89,3 +89,16 @@ def rendered(summary: DataFrame, rates: list[str]) -> DataFrame:
     """A line of text per group: percentages with one decimal, n/a for what was not measured."""
     shown = [F.concat(F.lit(f"{r}="), F.coalesce(F.concat(F.format_number(F.col(r) * 100, 1), F.lit("%")), F.lit("n/a"))) for r in rates]
     return summary.select("scope", "key", F.concat_ws("  ", F.concat_ws(":", "scope", F.nullif("key", F.lit(""))), F.concat(F.lit("n="), F.col("num_cases").cast("string")), *shown).alias("text"))
+
+
+def example_store(examples: DataFrame, path: str, per_file: int = 10_000) -> int:
+    """Examples as numbered rows in sorted files, for reads of single rows by number; gives their count."""
+    n = examples.count()
+    examples.repartitionByRange(max(1, n // per_file), "ordinal").sortWithinPartitions("ordinal").write.mode("errorifexists").parquet(path)
+    return n
+
+
+def example(spark: SparkSession, path: str, ordinal: int) -> dict | None:
+    """One example; the files' statistics leave only its row group to be read."""
+    row = spark.read.parquet(path).filter(F.col("ordinal") == ordinal).first()
+    return row.asDict(recursive=True) if row else None
