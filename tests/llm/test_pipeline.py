@@ -51,3 +51,16 @@ def test_same_columns_and_types(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert dict(stage(spark, docs, sf_dir).dtypes) == dict(docs.dtypes), name
+
+
+def test_rows_without_an_id_or_with_another_ones_are_decided_by_their_text(spark, sf_dir):
+    item = read(spark, sf_dir, "benchmark").first().text
+    clean = read(spark, sf_dir, "documents").first().text
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    docs = spark.createDataFrame([(None, item, "en", "s", 1), (None, clean, "en", "s", 2), (5, item, "en", "s", 3), (5, clean, "en", "s", 4), (6, clean + " a@b.org", "en", "s", 5), (None, "a@b.org", "en", "s", 6)], schema)
+    kept = corpus_pipeline.decontamination(spark, docs, sf_dir)
+    assert sorted(r.n_chars for r in kept.collect()) == [2, 4, 5, 6]
+    texts = {r.text for r in corpus_pipeline.personal_data(spark, kept, sf_dir).collect()}
+    assert texts == {clean, clean + " <EMAIL>", "<EMAIL>"}
+    again = corpus_pipeline.personal_data(spark, docs.union(docs), sf_dir)
+    assert again.count() == 12
