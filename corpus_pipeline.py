@@ -22,13 +22,23 @@ from tracemill.llm.queries import PATTERN, RANKS
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+KEY = "__tracemill_key"  # a name that no input has
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The documents with a key of id and text, so that decisions also find rows without an id, or with another's."""
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))
+    return docs.select(*COLUMNS, F.concat_ws(":", name, F.xxhash64(F.coalesce("text", F.lit(""))).cast("string")).alias(KEY))
+
+
 def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The documents whose id is among kept's; both are shuffled by id, nothing is broadcast."""
-    return docs.select(*COLUMNS).join(kept.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi").select(*COLUMNS)
+    """The documents whose key is among kept's; both are shuffled by it, nothing is broadcast."""
+    return docs.join(kept.select(KEY).distinct().hint("shuffle_hash"), KEY, "left_semi").select(*COLUMNS)
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _only(docs, language_id.identify(docs).filter(~F.col("rejected")))
+    docs = _keyed(docs)
+    return _only(docs, language_id.identify(docs, id_col=KEY, fold_col="doc_id").filter(~F.col("rejected")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,14 +46,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = suffix_automaton.verdicts(suffix_automaton.decontaminate(docs, read(spark, sf_dir, "benchmark")))
+    docs = _keyed(docs)
+    found = suffix_automaton.verdicts(suffix_automaton.decontaminate(docs, read(spark, sf_dir, "benchmark"), id_col=KEY))
     return _only(docs, found.filter(~F.col("contaminated")))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = pii.detect(docs).filter(F.size("all_spans") > 0).select("doc_id", "all_spans")
+    docs = _keyed(docs)
+    found = pii.detect(docs, id_col=KEY).filter(F.size("all_spans") > 0).select(KEY, "all_spans").dropDuplicates([KEY])
     clean = pii.redacted(F.col("text"), F.col("all_spans"))
-    marked = docs.select(*COLUMNS).join(found, "doc_id", "left").withColumn("text", F.when(F.col("all_spans").isNotNull(), clean).otherwise(F.col("text")))
+    marked = docs.join(found, KEY, "left").withColumn("text", F.when(F.col("all_spans").isNotNull(), clean).otherwise(F.col("text")))
     return marked.withColumn("n_chars", F.when(F.col("all_spans").isNotNull(), F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
