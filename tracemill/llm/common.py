@@ -34,6 +34,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows and bytes of an Arrow batch, at most: what a task holds beside its own state, in the JVM and in Python.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's limits of Arrow batches to those above; texts are large, so the defaults would take much memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the two columns an operator needs, under names nothing can clash with."""
     return df.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
@@ -45,6 +55,7 @@ def map_texts(df: DataFrame, id_col: str, text_col: str, fields: list[tuple[str,
     raw: the column is binary and stays so. Arrow batches pass through one by one, so a task holds one batch at a time.
     """
     source = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")) if raw else id_and_text(df, id_col, text_col)
+    small_batches(df.sparkSession)
     id_type = source.schema["_id"].dataType
     out = T.StructType([T.StructField(id_col, id_type), *(T.StructField(n, T._parse_datatype_string(t)) for n, t in fields)])
     kinds = [_ARROW[t] for _, t in fields]
