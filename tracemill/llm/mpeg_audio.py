@@ -5,8 +5,8 @@ checksum: 216 bytes and 36 ms each) whose ancillary data hold 192 payload bytes
 each, after an ID3v2 tag and an Info frame with frame count, byte count and a
 table of contents. The parser takes any MPEG-1/2/2.5 stream of Layer I, II or
 III: it reads ID3v2 and ID3v1 tags, finds frame headers again after junk (a
-header counts if its checksum holds and the next frame, the end or an ID3v1
-tag follows it), reads Xing, Info and VBRI tables, verifies CRC-16 checksums,
+header counts if the next frame, the end or an ID3v1 tag follows it, the first
+one only if its checksum holds too; later broken checksums are counted), reads Xing, Info and VBRI tables, verifies CRC-16 checksums,
 and gives exact durations and the byte offset of every frame.
 
 Defined results: a null or empty text is 192 spaces, as the shortest payload;
@@ -268,8 +268,6 @@ def store_column(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
 def probe_column(media: DataFrame, *, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
     """What the parser finds in each stream: exact duration, checksum counts, seek offset of every frame, tags' length, feature."""
-    from pyspark.sql import functions as F
-
     fields = [("n_frames", "bigint"), ("duration_num", "bigint"), ("duration_den", "bigint"), ("crc_good", "bigint"), ("crc_broken", "bigint"), ("skipped", "bigint"), ("table_frames", "bigint"), ("seek_offsets", "array<bigint>"), ("feature", "string")]
 
     def rows_of(streams: list[bytes]) -> Iterable[tuple]:
@@ -277,12 +275,7 @@ def probe_column(media: DataFrame, *, id_col: str = "doc_id", media_col: str = "
             s = parse(data)
             yield len(s.offsets), s.duration.numerator, s.duration.denominator, s.checked, s.broken, s.skipped, s.vbr.get("frames"), s.offsets, feature(s)
 
-    # the texts' helper takes strings; as latin-1 they would grow, so the binary column goes in unchanged
-    return _map_binary(media.select(F.col(id_col).alias("_id"), F.col(media_col).alias("_text")), id_col, fields, rows_of)
-
-
-def _map_binary(source: DataFrame, id_col: str, fields: list[tuple[str, str]], rows_of) -> DataFrame:
-    return map_texts(source, "_id", "_text", fields, rows_of, raw=True).withColumnRenamed("_id", id_col)
+    return map_texts(media, id_col, media_col, fields, rows_of, raw=True)
 
 
 def store_and_read(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", with_media: bool = False) -> DataFrame:
