@@ -73,10 +73,9 @@ def clauses(text: Column) -> Column:
 
 
 def rendered(entries: Column, style: str) -> Column:
-    """Evidence (array of structs with name, status, detail) as JSON, records or a table."""
+    """Evidence (array of structs of the texts tool_call and result, canonical JSON) as JSON, numbered records or a table."""
     if style == "json":
-        return F.to_json(entries)
-    if style == "records":
-        return F.array_join(F.transform(entries, lambda e: F.concat(F.lit("- tool="), e["name"], F.lit("; status="), e["status"], F.lit("; detail="), e["detail"])), "\n")
-    rows = F.transform(entries, lambda e: F.concat(F.lit("| "), e["name"], F.lit(" | "), e["status"], F.lit(" | "), e["detail"], F.lit(" |")))
-    return F.concat(F.lit("| tool | status | detail |\n| --- | --- | --- |\n"), F.array_join(rows, "\n"))
+        return F.concat(F.lit("["), F.array_join(F.transform(entries, lambda e: F.format_string('{"result":%s,"tool_call":%s}', e["result"], e["tool_call"])), ","), F.lit("]"))
+    # fixed values: the layouts' words
+    pattern, head = ("记录%d 输入：%s\n返回：%s", "") if style == "records" else ("%d | %s | %s", "序号 | 工具输入JSON | 实际返回JSON\n")
+    return F.concat(F.lit(head), F.array_join(F.transform(entries, lambda e, i: F.format_string(pattern, i + 1, e["tool_call"], e["result"])), "\n"))
