@@ -1,10 +1,11 @@
 import hashlib
 import json
+from collections import Counter
 
 import pytest
 
 from tracemill.functions.jsonx import dumps
-from tracemill.operators import diagnostics, machines, studies
+from tracemill.operators import diagnostics, machines, scoring, studies
 
 
 def lines_digest(texts):
@@ -59,3 +60,29 @@ def test_arguments_that_do_not_fit():
     machine = machines.AppMachine({})
     assert machine.run({"name": "navigate_ui", "arguments": {}})["error"] == "navigate_ui() missing 1 required positional argument: 'target_page'"
     assert machine.run({"name": "query_logs", "arguments": {"n": 1}})["error"] == "query_logs() got an unexpected keyword argument 'n'"
+
+
+def test_challenge_counts_and_every_case_passes_by_its_own_calls(spark):
+    rows = diagnostics.challenge_records(spark).collect()
+    assert Counter(r.category for r in rows) == {"expression": 40, "structure": 40, "constraints": 20, "recovery": 20}
+    assert len({r.id for r in rows}) == 120 and len({r.group_id for r in rows}) == 18
+    for r in rows:
+        assert scoring.score_record(json.loads(r.case), json.loads(r.result))["execution_success"], r.id
+
+
+def test_controls_counts_and_every_case_passes_by_its_own_calls(spark):
+    rows = diagnostics.control_records(spark).collect()
+    assert Counter(r.control_arm for r in rows) == {"original_explicit": 20, "reordered_explicit": 20, "reordered_checklist": 20, "readonly_explicit": 8, "readonly_checklist": 8}
+    assert len({json.loads(r.case)["context_id"] for r in rows}) == 28 and len({r.id for r in rows}) == 76
+    for r in rows:
+        case, result = json.loads(r.case), json.loads(r.result)
+        assert scoring.score_record(case, result)["execution_success"], r.id
+        late = result | {"trajectory": [t for t in result["trajectory"] if t["parsed_tool_calls"][0]["tool_call"]["name"] != "query_logs"]}
+        assert not scoring.score_record(case, late)["execution_success"], r.id
+
+
+def test_rewrites_keep_every_sentence():
+    pairs = [(diagnostics.challenge_case(n), diagnostics.challenge_case(n + 1)) for n in range(0, 40, 2)]
+    for told, anew in pairs:
+        body = anew["query"].removeprefix(diagnostics.CHALLENGE_TEXTS["rewrite"]).replace("\n", "")
+        assert told["pair_id"] == anew["pair_id"] and sorted(told["query"].split("。")) == sorted(body.split("。")) and told["query"] != body

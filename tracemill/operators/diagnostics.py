@@ -1,4 +1,4 @@
-"""Case sets of the later studies: repaired transactions, the layout ablation and the stress arms.
+"""Case sets of the later studies: challenge, controls, repaired transactions, layout ablation, stress arms.
 
 As in the first studies, a set is a range of numbers whose rows are made where
 they are needed; only the draws without replacement, a few hundred literals, are
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tracemill.functions.jsonx import dumps, loads
 from tracemill.functions.text import rendered
 from tracemill.operators.machines import QUALITIES, AppMachine, evidence_report, guarded
-from tracemill.operators.studies import _generated, _sha, evidence_case, evidence_request, step
+from tracemill.operators.studies import PILOT_PAGES, PILOT_SEED, _generated, _sha, evidence_case, evidence_request, legs, pilot_case, play, step
 from tracemill.sources.generators import CONFIGS, variants
 
 # the repaired set
@@ -165,3 +165,123 @@ def stress_cases(spark: SparkSession) -> DataFrame:
         return c["id"], c["context_id"], c["arm"], c["pattern"], dumps(c)
 
     return _generated(spark, 4 * len(anchors), row, ["id", "context_id", "arm", "pattern", "case"])
+
+
+# the challenge and its controls
+
+# fixed values: orders of presets, planned faults, and the words of the requests
+CHALLENGE_ORDERS = (("low",), ("high", "low"), ("low", "high", "low", "standard"), ("standard", "low", "high", "low", "standard"))
+CHALLENGE_FAULTS = (("navigate", "graphics"), ("navigate", "multiplayer_dungeon"), ("action", "back_home"), ("action", "start_multiplayer_dungeon"))
+CHALLENGE_TEXTS = {
+    "report": "查询本轮日志，读取最终状态；报告最终页面、画质、HUD、黑屏和实际工具失败次数。只陈述本次工具证据支持的事实。",
+    "rewrite": "请按下面验收单执行，叙述顺序不代表操作顺序。\n",
+    "start": "android 3.1.0，起点{page}，初始画质standard。请按顺序成功设置画质：{order}。重复出现的档位也必须分别执行，不能跳过。",
+    "home": "随后返回首页并停留。", "battle": "随后先返回首页，再进入并启动多人副本。", "calm": "本次没有预设临时故障。",
+    "fault": "首次合法执行{operation}:{target}将临时失败一次；失败后必须读取实际状态，并在后续轮次重试。",
+    "place": "{platform} 3.1.0，当前页面{page}、画质standard。",
+    "read_only": "全程只读：禁止导航和所有应用动作，即使恢复原状态也不允许。保持当前状态。", "no_set_graphics": "返回首页并停留，全程禁止set_graphics，不得改变画质。",
+}
+CONTROL_TEXTS = {
+    "contract": "\n本轮取证约定：必须实际取得最终页面、画质、HUD和黑屏的工具返回；可使用状态检查、验证或最后一次成功应用操作返回的完整状态，不要求固定工具名。状态证据不能早于最后一次成功状态变更。所有导航或应用动作尝试结束后（包含失败尝试），再查询本轮日志，不能只使用开始时的日志。若全程只读，则读取当前状态和本轮日志即可。实际失败次数包括工具错误及验证返回失败；最终回答必须完整、一致地报告这些事实。",
+    "checklist": "\n执行前后参考检查清单（不改变任务目标，也不要求输出思维过程）：先确认当前页面与禁令，再安排合法的页面路径；按用户要求逐次执行设置，重复档位也不能省略；遇到失败后读取状态再决定下一步；全部操作结束后取日志及有效终态证据；统计整个轨迹的失败，不把没有预设故障当作零失败；最终核对报告中的数字与文字是否自相矛盾。",
+}
+EXPRESSION_ARMS = (("original_explicit", "control"), ("reordered_explicit", "rewrite"), ("reordered_checklist", "rewrite"))
+READ_ONLY_ARMS = ("readonly_explicit", "readonly_checklist")
+
+
+def _challenge(base: dict, dimension: str, group: str, suffix: str, **changed) -> dict:
+    name = f"challenge_{dimension}_{group}_{suffix}"
+    case = base | {"id": name, "scenario_id": name, "group_id": f"{dimension}_{group}", "scenario_family": f"challenge_{dimension}", "challenge_dimension": dimension, "category": dimension, "split": "post_training_diagnostic"} | changed
+    tools = [c["name"] for c in case["required_calls"]]
+    return case | {"required_tools": tools, "expected_tools": tools, "max_steps": base["max_steps"] if dimension == "expression" else len(tools) + 5}
+
+
+def _transaction(seed: str, order: tuple[str, ...], ending: str, page: str, told: str = CHALLENGE_TEXTS["calm"]) -> dict:
+    """A case without faults on the pilot's frame, with other orders of presets."""
+    t, frame = CHALLENGE_TEXTS, pilot_case(400, seed)
+    start = {"version": "3.1.0", "platform": "android", "current_page": page, "graphics_preset": "standard", "battle_hud_visible": False, "black_screen": False}
+    before, changes, after, milestones = legs(page, order, ending)
+    return frame | {
+        "environment": {"initial_state": start}, "required_calls": [*before, *changes, *after], "requires_recovery": False, "process_constraints": [],
+        "public_contract": {k: False for k in frame["public_contract"]} | {"ordered_calls": milestones},
+        "success_criteria": {"final_state": start | {"current_page": ending, "graphics_preset": order[-1], "battle_hud_visible": ending == "battle"}, "required_tool_results": [{"tool": "query_logs", "path": "$", "contains": [f"set_graphics:{v}" for v in order]}], "final_answer": {"required": True}},
+        "query": t["start"].format(page=page, order=" → ".join(order)) + t[ending] + told + t["report"],
+    }
+
+
+def _expression(n: int, seed: str) -> dict:
+    """A confirmation case of the pilot as it is, or with its sentences in another order."""
+    source = pilot_case(400 + n // 10 * 20 + n % 10 // 2 * 2, seed)
+    variant = ("control", "rewrite")[n % 2]
+    start, task, fault, report = source["query"].split("。")[:4]
+    query = source["query"] if variant == "control" else CHALLENGE_TEXTS["rewrite"] + "。\n".join([report, task, start, fault]) + "。"
+    page = source["environment"]["initial_state"]["current_page"]
+    return _challenge(source, "expression", source["group_id"], f"{page}_{variant}", source_case_id=source["id"], pair_id=source["id"], expression_variant=variant, query=query)
+
+
+def _constraint(n: int, seed: str) -> dict:
+    kind, platform, page = list(product(("read_only", "no_set_graphics"), ("android", "ios"), PILOT_PAGES))[n]
+    t, frame, locked = CHALLENGE_TEXTS, _transaction(seed, ("low",), "home", page), kind == "read_only"
+    start = frame["environment"]["initial_state"] | {"platform": platform}
+    moves = [] if locked else [step("execute_action", action="back_home")]
+    proof = {"tool": "query_logs", "path": "$", "contains": [c["arguments"]["action"] for c in moves]}
+    return _challenge(
+        frame, "constraints", kind, f"{platform}_{page}", environment={"initial_state": start}, required_calls=[step("inspect_ui_state"), *moves, step("query_logs"), step("inspect_ui_state")],
+        public_contract=frame["public_contract"] | {kind: True, "ordered_calls": moves}, query=t["place"].format(platform=platform, page=page) + t[kind] + t["report"],
+        success_criteria=frame["success_criteria"] | {"final_state": start if locked else start | {"current_page": "home"}, "required_tool_results": [proof]},
+    )
+
+
+def _recovery(n: int, seed: str) -> dict:
+    (operation, target), page = list(product(CHALLENGE_FAULTS, (*PILOT_PAGES[:2], *PILOT_PAGES[3:], "battle")))[n]
+    frame = _transaction(seed, ("low", "high"), "battle", page, CHALLENGE_TEXTS["fault"].format(operation=operation, target=target))
+    calls = frame["required_calls"]
+    hit = next(i for i, c in enumerate(calls) if target in (c["arguments"].get("target_page"), c["arguments"].get("action")))
+    environment = frame["environment"] | {"fault_injections": [{"operation": operation, "target": target, "times": 1, "error": "transient_failure"}]}
+    return _challenge(frame, "recovery", f"{operation}_{target}", page, environment=environment, required_calls=[*calls[: hit + 1], step("inspect_ui_state"), *calls[hit:]], requires_recovery=True, process_constraints=["observe_state_before_retry"])
+
+
+def challenge_case(n: int, seed: str = PILOT_SEED) -> dict:
+    """The n-th of 120 cases: 40 of expression, 40 of structure, 20 of constraints, 20 of recovery."""
+    if n < 40:
+        return _expression(n, seed)
+    if n < 80:
+        order, ending, page = list(product(CHALLENGE_ORDERS, ("home", "battle"), PILOT_PAGES))[n - 40]
+        return _challenge(_transaction(seed, order, ending, page), "structure", f"length{len(order)}_{ending}", page)
+    return _constraint(n - 80, seed) if n < 100 else _recovery(n - 100, seed)
+
+
+def control_case(n: int, seed: str = PILOT_SEED) -> dict:
+    """The n-th of 76 controls under protocol 2.4: 20 contexts of expression in three arms, 8 read-only ones in two."""
+    if n < 60:
+        (arm, variant), family = EXPRESSION_ARMS[n % 3], "expression_control"
+        source = challenge_case(n // 3 * 2 + 1, seed)  # the rewrite; the first arm only takes the words of its pair
+        context, query = source["pair_id"], challenge_case(n // 3 * 2 + (variant == "rewrite"), seed)["query"]
+    else:
+        arm, family = READ_ONLY_ARMS[n % 2], "observation_control"
+        at = (n - 60) // 2
+        source = challenge_case(80 + at // 4 * 5 + at % 4 + 1, seed)  # every start but home, on either platform
+        context, query = source["id"], source["query"]
+    words = CONTROL_TEXTS["contract"] + CONTROL_TEXTS["checklist"] * arm.endswith("checklist")
+    return {k: v for k, v in source.items() if k not in ("pair_id", "expression_variant")} | {
+        "id": f"control_{context}_{arm}", "context_id": context, "control_arm": arm, "category": family, "scenario_family": family, "protocol_version": "2.4", "split": "post_hoc_control_not_heldout", "source_case_id": source["id"],
+        "query": query + words, "observation_contract": {"final_state_fields": ["current_page", "graphics_preset", "battle_hud_visible", "black_screen"], "logs_after_last_mutation": True},
+    }
+
+
+def _played(spark: SparkSession, n: int, case_of: Callable[[int], dict], group: str) -> DataFrame:
+    def row(i: int) -> tuple:
+        case = case_of(i)
+        return case["id"], case["category"], case[group], dumps(case), dumps(play(case, lambda state, failures: f"{state['current_page']} {state['graphics_preset']} {failures}"))
+
+    return _generated(spark, n, row, ["id", "category", group, "case", "result"])
+
+
+def challenge_records(spark: SparkSession, seed: str = PILOT_SEED) -> DataFrame:
+    """The challenge with the records of its own calls: id, category, group_id, case, result."""
+    return _played(spark, 120, lambda n: challenge_case(n, seed), "group_id")
+
+
+def control_records(spark: SparkSession, seed: str = PILOT_SEED) -> DataFrame:
+    """The controls with the records of their own calls: id, category, control_arm, case, result."""
+    return _played(spark, 76, lambda n: control_case(n, seed), "control_arm")
