@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracemill.functions import jsonx, maths, text
-from tracemill.operators import aggregate, events, replay, scoring, selection, studies, trace
+from tracemill.operators import aggregate, diagnostics, events, replay, scoring, selection, studies, trace
 from tracemill.operators import tokens as token_ops
 from tracemill.sources import generators
 
@@ -699,3 +699,53 @@ def evidence_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = lambda p: F.get_json_object("target", f"$.{p}")
     cases = studies.evidence_cases(spark)
     return cases.groupBy("pattern", "split").agg(F.count(F.lit(1)).alias("cases"), F.sum(target("tool_errors").cast("bigint")).alias("tool_errors"), F.max(target("decision")).alias("decision"))
+
+
+@query("""WITH RECURSIVE conf AS (SELECT list('{"cache_enabled":' || c || ',"quality":"' || q || '"}') AS l FROM (SELECT unnest(['low', 'standard', 'high']) AS q), (SELECT unnest(['false', 'true']) AS c)),
+pool AS (SELECT list({k: a || ',' || b || ',' || r, a: a, b: b, r: r}) AS l FROM (SELECT unnest(l) AS a FROM conf), (SELECT unnest(l) AS b FROM conf), (SELECT unnest([11, 23, 37, 53, 71, 89, 101, 127]) AS r) WHERE a <> b),
+g AS (SELECT i, CASE WHEN i < 12 THEN 'train' WHEN i < 16 THEN 'id' ELSE 'ood' END AS split FROM range(20) t(i)),
+n AS (SELECT i, split, left(sha256('repaired-v1:' || split || ':' || i), 16) AS gid FROM g),
+d AS (SELECT -1::BIGINT AS i, []::VARCHAR[] AS taken, []::VARCHAR[] AS got
+  UNION ALL
+  SELECT n.i, list_concat(taken, fresh), fresh FROM (
+    SELECT n.i, d.taken, list_transform(list_sort(list_transform(list_filter(pool.l, lambda p: NOT list_contains(d.taken, p.k)), lambda p: {h: sha256('20260921:' || n.gid || ':[' || p.k || ']'), k: p.k}))[1:8], lambda s: s.k) AS fresh
+    FROM d JOIN n ON n.i = d.i + 1, pool) n)
+SELECT 'rv1_' || gid || '_' || lpad((p - 1)::VARCHAR, 2, '0') AS case_id, split, x.a AS initial, x.b AS desired, x.r::BIGINT AS revision, ((n.i + p - 1) % 4)::BIGINT AS check_delay, (n.i % 3)::BIGINT AS transient_commits
+FROM (SELECT i, unnest(got) AS k, unnest(range(1, 9)) AS p FROM d WHERE i >= 0) e JOIN n USING (i) JOIN (SELECT unnest(l) AS x FROM pool) ON x.k = e.k""")
+def repaired_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The repaired set's parameters, drawn without replacement over all groups."""
+    at = lambda p: F.get_json_object("scenario", f"$.{p}")
+    return diagnostics.repaired_cases(spark).select("case_id", "split", at("initial_config").alias("initial"), "desired", *(at(c).cast("bigint").alias(c) for c in ("revision", "check_delay", "transient_commits")))
+
+
+@query("""WITH g AS (SELECT f AS family, r, t, f || '_r' || r || '_t' || t AS gid, row_number() OVER (PARTITION BY f ORDER BY sha256('20260916:' || f || ':(' || r || ', ' || t || ')')) AS place
+  FROM (SELECT unnest(['clean', 'transient', 'arguments', 'policy']) AS f), (SELECT unnest([1, 2, 3]) AS r), (SELECT unnest([0, 1, 2, 3]) AS t)),
+v AS (SELECT *, row_number() OVER (PARTITION BY gid ORDER BY sha256('20260916:' || gid || ':' || v)) - 1 AS nth FROM g, (SELECT unnest([0, 1, 2, 3, 4, 5]) AS v))
+SELECT 'audit2_' || gid || '_' || v || '_' || s AS id, family, CASE WHEN place <= 8 THEN 'train' WHEN place <= 10 THEN 'validation' ELSE 'confirmation' END AS split, s AS style, s = ['json', 'records', 'table'][nth % 3 + 1] AS in_mixed_arm,
+  (4 * r + 5 + (family <> 'policy')::INT)::BIGINT AS entries
+FROM v, (SELECT unnest(['json', 'records', 'table']) AS s)""")
+def ablation_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The layout ablation's requests: split by hash rank, layout of the mixed arm, entries that the text shows."""
+    cases = diagnostics.ablation_cases(spark)
+    shown = F.size(F.array_distinct(F.regexp_extract_all("query", F.lit(r"(?m)(^记录\d+ |^\d+ \| )"), F.lit(1))))
+    entries = F.when(F.col("style") == "json", F.size(F.regexp_extract_all("query", F.lit(r'("tool_call":)'), F.lit(1)))).otherwise(shown)
+    return cases.select("id", "family", "split", "style", (F.col("style") == F.col("mixed_style")).alias("in_mixed_arm"), entries.cast("bigint").alias("entries"))
+
+
+@query("""SELECT a AS arm, p AS pattern, 3::BIGINT AS cases, locked <> (a = 'current_policy_flip') AS read_only,
+  (CASE WHEN p LIKE '%_once' OR p IN ('bad_arguments', 'mixed_policy_check') THEN 1 WHEN p LIKE '%_twice' THEN 2 ELSE 0 END * 3)::BIGINT AS tool_errors,
+  CASE WHEN locked <> (a = 'current_policy_flip') THEN 'stop_mutations' WHEN p = 'bad_arguments' THEN 'repair_arguments' WHEN p LIKE 'transient%' THEN 'inspect_before_retry' ELSE 'no_retry_needed' END AS decision
+FROM (SELECT unnest(['original', 'surface', 'extended_history', 'current_policy_flip']) AS a), (SELECT p, p LIKE '%policy%' AS locked FROM (SELECT unnest(['clean', 'transient_once', 'transient_twice', 'policy_once', 'policy_twice', 'bad_arguments', 'negative_check', 'mixed_policy_check']) AS p))""")
+def stress_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stress arms of the evidence set: failures and the decision under the permission that holds."""
+    at = lambda p: F.get_json_object("case", f"$.{p}")
+    cases = diagnostics.stress_cases(spark)
+    return cases.groupBy("arm", "pattern").agg(F.count(F.lit(1)).alias("cases"), F.bool_and(at("read_only").cast("boolean")).alias("read_only"), F.sum(at("target.tool_errors").cast("bigint")).alias("tool_errors"), F.max(at("target.decision")).alias("decision"))
+
+
+@query()
+def challenge_oracle_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A13, E20, O, G4, G5: the challenge and its controls run by their own calls; under protocols 2.3 and 2.4 all must pass."""
+    sets = [(v, made(spark)) for v, made in (("2.3", diagnostics.challenge_records), ("2.4", diagnostics.control_records))]
+    scored = [scoring.score_records(made).join(made.select("id", "category"), "id").withColumn("protocol", F.lit(v)) for v, made in sets]
+    return scored[0].unionByName(scored[1]).groupBy("protocol", "category").agg(F.count(F.lit(1)).alias("cases"), F.count_if("execution_success").alias("passed"))
