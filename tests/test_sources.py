@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tracemill.functions import maths, text
 from tracemill.operators import audits, selection, tokens
-from tracemill.sources import generators, jsonl, sinks
+from tracemill.sources import jsonl, sinks
 
 
 def put(path, rows, end="\n"):
@@ -109,8 +109,6 @@ def test_arrays_and_text(spark):
 def test_selection_helpers(spark):
     a, b = spark.range(5), spark.range(3, 7)
     assert {(r.id, r.side) for r in selection.differing(a, b).collect()} == {(0, "left"), (1, "left"), (2, "left"), (5, "right"), (6, "right")}
-    drawn = generators.disjoint_draw(spark, ["g1", "g2"], [f"p{i}" for i in range(6)], 3)
-    assert drawn.count() == 6 and drawn.select("parameter").distinct().count() == 6
     weights = tokens.episode_weights(spark.createDataFrame([("u", "e1"), ("u", "e1"), ("u", "e2")], "u string, e string"), "u", "e")
     assert sorted(r.weight for r in weights.collect()) == [0.25, 0.25, 0.5]
     turns = spark.createDataFrame([([1], [2], [0.1], [0.2]), ([1], [], [], []), ([1], [2], [float("nan")], [0.1])], "prompt_ids array<int>, generated_ids array<int>, old_logprobs array<double>, token_entropies array<double>")

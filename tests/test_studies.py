@@ -26,6 +26,25 @@ def test_facts_of_traces(spark):
         assert r.failures == sum(not t["tool_results"][0]["result"]["ok"] for t in by[r.case_id]["trajectory"])
 
 
+def test_fact_sheets_show_only_what_returns_prove(spark):
+    state = '{"current_page":"home","graphics_preset":"low","battle_hud_visible":false,"black_screen":false}'
+    log = [
+        ("a", 0, "inspect_ui_state", True, None, state), ("a", 1, "execute_action", True, None, '{"graphics_preset":"high"}'), ("a", 2, "verify_state", True, None, '{"success":false,"current_state":{"black_screen":1,"battle_hud_visible":true}}'),
+        ("a", 3, "query_logs", True, None, "[]"), ("a", 4, "navigate_ui", False, "policy_blocked", None),
+        ("b", 0, "inspect_ui_state", True, None, state), ("b", 1, "get_build_info", True, None, '{"version":"1"}'), ("b", 2, "query_logs", True, None, '["x"]'),
+        ("c", 0, "query_logs", None, None, None),
+    ]
+    rows = spark.createDataFrame(log, "case_id string, idx bigint, tool string, ok boolean, error_type string, payload_json string")
+    got = {r.case_id: r for r in audits.fact_sheet(audits.observed_facts(rows)).collect()}
+    a, b, c = got["a"], got["b"], got["c"]
+    assert (a.current_page, a.graphics_preset, a.battle_hud_visible, a.black_screen) == (None, '"high"', "true", None)
+    assert (a.failures, a.policy_blocks, a.mutations, a.inspections, a.logs_read, a.logs_after_last_attempt) == (2, 1, 1, 1, 1, False)
+    assert (b.current_page, b.black_screen, b.failures, b.logs_after_last_attempt, b.unknown_status) == ('"home"', "false", 0, True, 0)
+    assert c.unknown_status == 1 and c.current_page is None
+    assert '画质="high"。' in a.sheet and "最终页面=未知（缺少有效观测）。" in a.sheet and "实际失败2次，其中策略拦截1次；" in a.sheet and b.sheet.count("\n") == 8
+    assert audits.observed_facts(rows.limit(0)).count() == 0
+
+
 def test_dpo_logs_and_inherited_reviews(spark):
     log = spark.createDataFrame([("a", 0.0, 0.0, 0.6931471805599453, 0.0, 0.05, 7), ("b", 0.0, 0.0, 0.5, 0.0, 0.05, 7), ("c", 0.0, 0.0, 0.0, 0.0, 0.0, 1)], "case_id string, chosen double, rejected double, loss double, margin double, coefficient double, tokens int")
     ref = spark.createDataFrame([("a", 0.0, 0.0, 7), ("b", 0.0, 0.0, 8)], "case_id string, chosen double, rejected double, tokens int")

@@ -1,4 +1,4 @@
-"""Audits and gates."""
+"""Audits and gates."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracemill.functions.jsonx import canonical
 from tracemill.functions.text import clauses
+from tracemill.operators.events import so_far
 
 
 def record_digest(case: Column, result: Column) -> Column:
@@ -100,6 +101,53 @@ def trace_facts(executions: DataFrame, case: str = "case_id") -> DataFrame:
     )
 
 
+# fixed values: state fields with their types and labels
+FACT_FIELDS = {"current_page": ("STRING", "最终页面"), "graphics_preset": ("STRING", "画质"), "battle_hud_visible": ("BOOLEAN", "HUD"), "black_screen": ("BOOLEAN", "黑屏")}
+
+
+def observed_facts(executions: DataFrame, case: str = "case_id") -> DataFrame:
+    """Only what returns show: a field (as JSON) counts if it was seen, rightly typed, no earlier than the last successful change.
+
+    unknown_status counts executions without a plain success or failure; no sheet should be published where it is not 0.
+    """
+    tool = lambda *names: F.col("tool").isin(*names)
+    acts = tool("navigate_ui", "execute_action")
+    tells = F.col("ok") & (acts | tool("inspect_ui_state", "verify_state", "get_build_info"))
+    payload = F.try_parse_json("payload_json")
+    told = F.when(tells, F.when(tool("verify_state"), F.try_variant_get(payload, "$.current_state", "variant")).otherwise(payload))
+    changed = F.coalesce(acts & F.col("ok"), F.lit(False)).cast("int")
+    epoch = F.coalesce(F.sum(changed).over(so_far(case)), F.lit(0)) + changed  # what a change itself returns is seen after it
+    rows = executions.withColumns({"_told": told, "_epoch": epoch})
+    failed_check = F.col("ok") & tool("verify_state") & (F.get_json_object("payload_json", "$.success") == "false")
+    logs = F.col("ok") & tool("query_logs") & F.startswith(F.ltrim("payload_json"), F.lit("["))
+
+    def newest(field: str, kind: str) -> Column:
+        value = F.try_variant_get("_told", f"$.{field}", "variant")
+        is_a = F.schema_of_variant(value)
+        return F.max(F.when(is_a.isNotNull(), F.struct("_epoch", "idx", F.when(is_a == kind, F.to_json(value)).alias("value")))).alias(field)
+
+    found = rows.groupBy(case).agg(
+        *(newest(f, kind) for f, (kind, _) in FACT_FIELDS.items()), F.max("_epoch").alias("mutations"),
+        (F.count_if(~F.col("ok")) + F.count_if(failed_check)).alias("failures"), F.count_if(~F.col("ok") & (F.col("error_type") == "policy_blocked")).alias("policy_blocks"),
+        F.count_if(F.col("ok") & tool("inspect_ui_state")).alias("inspections"), F.count_if(logs).alias("logs_read"),
+        (F.max(F.when(logs, F.col("idx"))) > F.coalesce(F.max(F.when(acts, F.col("idx"))), F.lit(-1))).alias("_late"), F.count_if(F.col("ok").isNull()).alias("unknown_status"),
+    )
+    valid = {f: F.when(F.col(f"{f}._epoch") == F.col("mutations"), F.col(f"{f}.value")) for f in FACT_FIELDS}
+    return found.withColumns(valid | {"logs_after_last_attempt": F.coalesce("_late", F.lit(False))}).drop("_late")
+
+
+def fact_sheet(facts: DataFrame) -> DataFrame:
+    """The facts as the text that accompanies an answer, in column sheet."""
+    shown = [F.concat(F.lit(f"{label}="), F.coalesce(f, F.lit("未知（缺少有效观测）")), F.lit("。")) for f, (_, label) in FACT_FIELDS.items()]
+    return facts.withColumn("sheet", F.concat_ws(
+        "\n", F.lit("系统工具事实摘要（不是模型原回答，也不自动证明任务完成）："), *shown,
+        F.format_string("实际失败%d次，其中策略拦截%d次；inspect_ui_state成功调用%d次。", "failures", "policy_blocks", "inspections"),
+        F.format_string("成功导航/应用动作%d次；成功日志查询%d次。", "mutations", "logs_read"),
+        F.concat(F.lit("最后一次应用操作尝试后的日志证据："), F.when(F.col("logs_after_last_attempt"), "已取得。").otherwise("未取得。")),
+        F.lit("失败统计来自完整工具返回（含验证失败），不是仅从应用日志计数。"),
+    ))
+
+
 def folder_digest(path: str, block: int = 1 << 20) -> str:
     """F32: sorted relative paths and bytes folded into one digest; the fold has an order, so this is driver work on one folder."""
     import hashlib

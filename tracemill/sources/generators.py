@@ -1,4 +1,4 @@
-"""Generated sources (A13, E21, I5, I6, K5): cartesian products with derived columns."""
+"""Generated sources (A13, E21, I6, K5): cartesian products with derived columns."""
 
 from __future__ import annotations
 
@@ -44,17 +44,6 @@ def variants(df: DataFrame, name: str, values: list[str]) -> DataFrame:
     return df.withColumn(name, F.explode(F.array(*map(F.lit, values))))
 
 
-def disjoint_draw(spark: SparkSession, groups: list[str], pool: list[str], each: int) -> DataFrame:
-    """Parameters drawn without replacement across groups, in the order of the groups' and the pool's digests."""
-    if len(groups) * each > len(pool):
-        raise ValueError("the pool is too small for disjoint draws")
-    order = lambda c: F.sha2(c.cast("binary"), 256)
-    ranked = lambda values: spark.createDataFrame([(v,) for v in values], "v string").select("v", order(F.col("v")).alias("h"))
-    place = F.row_number().over(Window.orderBy("h", "v"))  # both lists are literals of the caller
-    drawn = ranked(pool).withColumn("slot", F.floor((place - 1) / each) + 1)
-    return ranked(groups).withColumn("slot", place.cast("bigint")).join(drawn.select("slot", F.col("v").alias("parameter")), "slot").select(F.col("v").alias("group_id"), "parameter")
-
-
 # fixed values: the seed and the splits of the transaction study, and configurations in its order
 SEED = 20260917
 CONFIGS = [f'{{"cache_enabled":{c},"quality":"{q}"}}' for q in ("low", "standard", "high") for c in ("false", "true")]
