@@ -100,3 +100,20 @@ def test_small_models_still_judge(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
     got = li.identify(df, max_ngrams=12).collect()
     assert all(r.lang_pred == ("aa" if r.doc_id % 2 else "zz") for r in got)
+
+
+def test_a_model_over_the_bound_loses_nothing(spark, odd):
+    rng = random.Random(7)
+    letters = {"aa": "abcdefgh", "bb": "cdefghij", "cc": "日月火水木金土本"}  # mostly 4-grams that occur once or twice
+    rows = [(i, "".join(rng.choice(letters[lang] + " ") for _ in range(300)), lang) for i in range(150) for lang in [rng.choice(list(letters))]]
+    rows += [(1000, "zzzz qqqq" * 20, None), (1001, "12", None), (1002, None, "aa"), (None, "bad cab", None), (None, "bad cab", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    docs = docs.unionByName(odd.selectExpr("doc_id + 2000 as doc_id", "text", "'aa' as lang"))
+    order = lambda df: sorted((tuple(r) for r in df.collect()), key=lambda r: (str(r[:3]), r[3:5] != (0.0, None), r[3]))
+    whole = order(li.identify(docs))
+    for bound in (12, 300):
+        joined = order(li.identify(docs, max_ngrams=bound))
+        assert len(joined) == len(whole) == docs.count()
+        for a, b in zip(joined, whole, strict=True):
+            assert a[:3] == b[:3] and a[5:] == b[5:] and a[3] == pytest.approx(b[3], abs=1e-4)
+            assert a[4] == pytest.approx(b[4], abs=1e-5) if b[4] is not None else a[4] is None

@@ -9,9 +9,13 @@ with one column of log-probabilities per language; a text's score under a
 language is its cross-entropy per character, over all its characters, and the
 lowest wins (ties: the first language by name).
 
-The model holds ``max_ngrams`` distinct 4-grams per language at most, the most
-frequent ones; rarer ones are scored through the lower orders. That bounds what
-the driver collects and the executors hold; no text is left out.
+A model of at most ``max_ngrams`` distinct 4-grams in every language is fitted
+on the driver and broadcast. A larger one stays in Spark tables: discounts,
+totals and continuation counts come from all 4-grams, the most frequent 4-grams
+(``max_ngrams`` times the languages, at most) are broadcast with their
+probabilities, and a text's other 4-grams find theirs by joins. Nothing is pruned, so the two ways agree (to the
+2^-24 bits to which the second rounds each 4-gram); ``max_ngrams`` only bounds
+what the driver collects and the executors hold.
 
 Rejection is calibrated per language: the limit lies midway between the upper
 quartile of the training documents' own cross-entropies and the entropy of the
@@ -27,13 +31,13 @@ than those that are named are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemill.llm.common import checkpointed, map_texts, slices, small_batches
@@ -211,15 +215,79 @@ def fit(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
     return model
 
 
-def train(labelled: DataFrame, *, lang_col: str = "lang", text_col: str = "text", max_ngrams: int = MAX_NGRAMS) -> Model:
+@dataclass
+class Joined:
+    """A model too large for the driver: the frequent 4-grams at hand, the others by joins."""
+
+    langs: list[str]
+    entropy: list[float]  # of single characters, by language
+    hot: np.ndarray  # sorted keys of the frequent 4-grams
+    bits: np.ndarray  # of each, log2 probabilities in units of 2^-24, one column per language
+    logs: Callable[[DataFrame], DataFrame]  # distinct keys to (key, such logs)
+
+
+UNIT = 1 << 24
+
+
+def join_model(counts: DataFrame, langs: list[str], max_ngrams: int) -> Joined:
+    """What ``fit`` gives, from checkpointed counts, with tables in place of arrays."""
+    low = lambda i: F.col("key").bitwiseAND(F.lit((1 << 16 * (3 - i)) - 1))  # noqa: E731 - a key's part of the next order
+    context = F.shiftrightunsigned("key", 16)
+    wide = lambda c: F.array(*(F.coalesce(F.max(F.when(F.col("lang") == x, F.col(c))), F.lit(0)) for x in langs))
+    orders = [counts]
+    for i in range(3):
+        orders.append(checkpointed(orders[-1].groupBy("lang", low(i).alias("key")).agg(F.count(F.lit(1)).alias("n"))))
+    discounts = []  # of each order, by language
+    for o in orders:
+        found = {r["lang"]: (r["ones"], r["twos"]) for r in o.groupBy("lang").agg(F.count_if(F.col("n") == 1).alias("ones"), F.count_if(F.col("n") == 2).alias("twos")).collect()}
+        discounts.append([min(max(ones / (ones + 2 * twos), 0.1), 0.95) if ones else 0.5 for ones, twos in (found[x] for x in langs)])
+    grams = [checkpointed(o.groupBy("key").agg(wide("n").alias("of"))) for o in orders]
+    sums = [o.groupBy("lang", context.alias("context")).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("types")) for o in orders]
+    sums = [checkpointed(x.groupBy("context").agg(wide("total").alias("total"), wide("types").alias("types"))) for x in sums]  # the context of a single character is 0
+    floor = 1.0 / (grams[3].count() + 1)
+
+    def probs(rows: DataFrame, i: int, lower: Callable[[int], Column]) -> DataFrame:
+        """(key, p) of distinct keys of an order; lower gives a row's probability of the order below."""
+
+        def p(j: int) -> Column:
+            d, total = discounts[i][j], F.coalesce(F.col("total")[j], F.lit(0))
+            own = F.greatest(F.coalesce(F.col("of")[j], F.lit(0)) - F.lit(d), F.lit(0.0)) / F.greatest(total, F.lit(1))
+            return own + F.when(total > 0, d * F.col("types")[j] / total).otherwise(1.0) * lower(j)
+
+        rows = rows.withColumn("context", context).join(grams[i], "key", "left").join(sums[i], "context", "left")
+        return rows.select("key", F.array(*map(p, range(len(langs)))).alias("p"))
+
+    single = checkpointed(probs(grams[3].select("key"), 3, lambda j: F.lit(floor)))
+    table = single.toArrow().sort_by("key")  # 65,536 rows at most
+    at_hand = np.array(table.column("p").to_pylist())
+    entropy = [float(x) for x in -(at_hand * np.log2(at_hand)).sum(axis=0)]
+
+    def logs(keys: DataFrame) -> DataFrame:
+        levels = [keys]
+        for i in range(2):
+            levels.append(levels[-1].select(low(i).alias("key")).distinct())
+        below = single
+        for i in (2, 1, 0):
+            rows = levels[i].withColumn("low", low(i)).join(below.select(F.col("key").alias("low"), F.col("p").alias("lower")), "low", "left")
+            below = checkpointed(probs(rows, i, lambda j: F.coalesce(F.col("lower")[j], F.lit(floor))))
+        return below.select("key", F.transform("p", lambda x: F.round(F.log2(x) * UNIT).cast("bigint")).alias("logs"))
+
+    # the most frequent keys: the count they need comes from a histogram of counts
+    total = grams[0].select("key", F.aggregate("of", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n"))
+    share = total.groupBy("n").count().withColumn("upto", F.sum("count").over(Window.orderBy(F.col("n").desc())))
+    least = share.filter(F.col("upto") <= max_ngrams * len(langs)).agg(F.min("n")).first()[0]
+    hot = logs(total.filter(F.lit(False) if least is None else F.col("n") >= least).select("key")).toArrow()
+    keys_at_hand = hot.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(keys_at_hand)
+    flat = hot.column("logs").combine_chunks().flatten().to_numpy().astype(np.int32)
+    return Joined(langs, entropy, keys_at_hand[order], flat.reshape(-1, len(langs))[order], logs)
+
+
+def train(labelled: DataFrame, *, lang_col: str = "lang", text_col: str = "text", max_ngrams: int = MAX_NGRAMS) -> Model | Joined:
     counts = checkpointed(count_ngrams(labelled, lang_col, text_col))
     size = counts.groupBy("lang").count().collect()  # a row per language
     if any(r["count"] > max_ngrams for r in size):
-        # the count that a 4-gram needs, per language: its max_ngrams-th largest, from a histogram of counts
-        by = Window.partitionBy("lang").orderBy(F.col("n").desc())
-        share = counts.groupBy("lang", "n").count().withColumn("upto", F.sum("count").over(by))
-        least = share.filter(F.col("upto") <= max_ngrams).groupBy("lang").agg(F.min("n").alias("least"))
-        counts = counts.join(F.broadcast(least), "lang").filter("n >= least").select("lang", "key", "n")
+        return join_model(counts, sorted(r["lang"] for r in size), max_ngrams)
     table = counts.toArrow()
     found = {}
     lang, key, n = (table.column(c).combine_chunks() for c in ("lang", "key", "n"))
@@ -246,7 +314,42 @@ def judge(text: str, model: Model) -> tuple[str, float, float | None, int]:
     return model.langs[best], float(min(max(share, 0.0), 1.0)), float(rate[best]), n
 
 
-def score_texts(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _part_scores(text: str, hot: np.ndarray, bits: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """Characters of a text, the summed logs of its 4-grams at hand, and its other 4-grams with their counts."""
+    s = symbols(text)
+    done = np.zeros(bits.shape[1], np.int64)
+    other, times = np.empty(0, np.uint64), np.empty(0, np.int64)
+    for part in key_parts(s):
+        k, n = _tally(part)
+        hit = np.zeros(len(k), bool)
+        if len(hot):
+            at = np.minimum(np.searchsorted(hot, k), len(hot) - 1)
+            hit = hot[at] == k
+            done += n[hit] @ bits[at[hit]].astype(np.int64)
+        other, times = _tally(np.concatenate([other, k[~hit]]), np.concatenate([times, n[~hit]]))
+    return max(len(s) - 3, 0), done, other.view(np.int64), times
+
+
+def _join_scores(docs: DataFrame, model: Joined, id_col: str, text_col: str) -> DataFrame:
+    sent = docs.sparkSession.sparkContext.broadcast((model.hot, model.bits))
+    rows_of = lambda texts: [_part_scores(t.decode("utf-8", "replace"), *sent.value) for t in texts]
+    held = map_texts(docs, id_col, text_col, [("n_symbols", "bigint"), ("done", "array<bigint>"), ("other", "array<bigint>"), ("times", "array<bigint>")], rows_of)
+    held = checkpointed(held.withColumn("row", F.monotonically_increasing_id()))
+    other = held.select("row", F.explode(F.arrays_zip("other", "times")).alias("o")).select("row", F.col("o.other").alias("key"), F.col("o.times").alias("times"))
+    found = other.join(model.logs(other.select("key").distinct()), "key")
+    size = range(len(model.langs))
+    rest = found.groupBy("row").agg(F.array(*(F.sum(F.col("logs")[j] * F.col("times")) for j in size)).alias("rest"))
+    rate = F.array(*((F.col("done")[j] + F.coalesce(F.col("rest")[j], F.lit(0))) / (F.lit(-float(UNIT)) * F.col("n_symbols")) for j in size))
+    rows = held.join(rest, "row", "left").withColumn("rate", F.when(F.col("n_symbols") > 0, rate)).withColumn("best", F.array_min("rate"))
+    ways = F.aggregate("rate", F.lit(0.0), lambda a, x: a + F.pow(F.lit(2.0), (F.col("best") - x) * F.least("n_symbols", F.lit(32))))
+    name = F.element_at(F.array(*map(F.lit, model.langs)), F.array_position("rate", F.col("best")).cast("int"))
+    some = F.col("n_symbols") > 0
+    return rows.select(id_col, F.when(some, name).otherwise(UND).alias("lang_pred"), F.when(some, 1.0 / ways).otherwise(0.0).alias("score"), F.col("best").alias("cross_entropy"), "n_symbols")
+
+
+def score_texts(docs: DataFrame, model: Model | Joined, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    if isinstance(model, Joined):
+        return _join_scores(docs, model, id_col, text_col)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def rows_of(texts: list[bytes]) -> Iterable[tuple]:
