@@ -24,6 +24,17 @@ def test_payload_that_looks_like_frames():
     assert m.parse(m.write(data), m.UNIT).body == m.payload(data)
 
 
+@pytest.mark.parametrize("size", [192, 2 * 192, 150])
+def test_payload_that_looks_like_a_trailer(size):
+    for at in range(size - 2):
+        data = (b"." * at + b"TAG").ljust(size, b"-")
+        s = m.parse(m.write(data), m.UNIT)
+        assert s.body == m.payload(data) and s.skipped == 0 and len(s.offsets) == s.vbr["frames"] and set(s.tags) == {"payload-bytes"}
+    small = b"\xff\xff\x14\xc0" + bytes(28)  # a frame of 32 bytes that ends where the trailer would start
+    data = b"." * 33 + small + b"TAG" + b"-" * 124
+    assert m.parse(m.write(data), m.UNIT).body == m.payload(data)
+
+
 def frame(kbps_index, fill=0):
     head = bytes([0xFF, 0xFA, kbps_index << 4 | 0x08, 0xC0])
     h = m.header(head, 0)

@@ -181,13 +181,20 @@ def _table_frame(data: bytes, at: int, h: Header) -> dict:
 
 def parse(data: bytes, unit: int = 0) -> Stream:
     """Read a stream; with ``unit``, also the first so many ancillary bytes of every frame, as one body."""
+    end = len(data) - 128
+    if data[-128:-125] != b"TAG":
+        return _parse(data, unit, len(data))
+    out, plain = _parse(data, unit, end), _parse(data, unit, len(data))
+    if plain.skipped < out.skipped:  # the bytes lie within a frame
+        return plain
+    for name, a, b in (("TIT2", 3, 33), ("TPE1", 33, 63), ("TALB", 63, 93)):
+        out.tags.setdefault(name, data[end + a : end + b].rstrip(b"\0 ").decode("latin-1"))
+    return out
+
+
+def _parse(data: bytes, unit: int, end: int) -> Stream:
     out = Stream()
     out.tags, at = _id3v2(data)
-    end = len(data)
-    if data[-128:-125] == b"TAG":
-        end -= 128
-        for name, a, b in (("TIT2", 3, 33), ("TPE1", 33, 63), ("TALB", 63, 93)):
-            out.tags.setdefault(name, data[end + a : end + b].rstrip(b"\0 ").decode("latin-1"))
     view, offsets, sizes, bodies = np.frombuffer(data, np.uint8), [], [], []
     while at < end:
         h = header(data, at)
