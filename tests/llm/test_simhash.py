@@ -113,3 +113,10 @@ def test_odd_rows(odd, nothing):
     assert simhash.near_duplicates(nothing).count() == 0
     kept = simhash.keep_one(odd)
     assert kept.columns == odd.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "5", "6", "8", "None", "None"]
+
+
+def test_keep_one_decides_by_row(spark):
+    x, near, y, z = "the quick brown fox jumps over", "The quick brown FOX jumps OVER", "an entirely different line of words", "something else that nobody wrote before"
+    rows = [(3, x, 1), (5, near, 2), (5, y, 3), (5, y, 4), (None, z, 5), (None, z, 6), (None, z.upper(), 7), (None, x, 8), (7, z, 9)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string, n int")).collect()
+    assert sorted((str(r.doc_id), r.text.lower()) for r in kept) == sorted([("3", x), ("5", y), ("7", z), ("None", z), ("None", x)])

@@ -36,7 +36,7 @@ from tracemill.llm.common import LOWER_BYTES, checkpointed, map_texts
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Fingerprints of a shard (or slice of one) that one tree holds at most.
 SHARD_ROWS = 4096
-_KEPT, _PLACE = "__tracemill_kept", "__tracemill_place"  # names that no input has
+_KEY, _KEPT, _PLACE = "__tracemill_row", "__tracemill_kept", "__tracemill_place"  # names that no input has
 _PAIRS = 2_000_000  # query-node pairs that a search holds at a time
 
 
@@ -233,10 +233,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents that stand for their component (least id); rows of an equal id count as one document, rows of a null id stay."""
-    marked = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
-    kept = marked.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias(_KEPT)).distinct()
-    row = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col)))
-    once = docs.join(kept, docs[id_col] == kept[_KEPT], "left_semi").withColumn(_PLACE, row).filter(F.col(_PLACE) == 1).drop(_PLACE)
-    return once.unionByName(docs.filter(F.col(id_col).isNull()))
+    """The rows that stand for their component: the first by id, then by the text's digest; of copies of such a row, one.
 
+    Rows of a null id are judged among themselves: each component keeps its first one too.
+    """
+    digest = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
+    keyed = docs.withColumn(_KEY, F.struct(F.col(id_col).isNull().alias("unnamed"), F.col(id_col).alias("id"), digest.alias("digest")))
+    # a key has one text and so one component, which makes the least key the component's own
+    marked = near_duplicates(keyed, id_col=_KEY, text_col=text_col, **options)
+    kept = marked.groupBy("component_id", F.col(f"{_KEY}.unnamed").alias("unnamed")).agg(F.min(_KEY).alias(_KEPT)).select(_KEPT)
+    row = F.row_number().over(Window.partitionBy(_KEY).orderBy(F.xxhash64(*(c for c, t in docs.dtypes if "map<" not in t))))
+    once = keyed.join(kept, keyed[_KEY] == kept[_KEPT], "left_semi").withColumn(_PLACE, row)
+    return once.filter(F.col(_PLACE) == 1).drop(_PLACE, _KEY)
