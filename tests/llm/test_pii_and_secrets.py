@@ -85,3 +85,13 @@ def test_random_strings_are_told_from_identifiers(spark):
     words = [(10 + i, "we update the user account report table number and request the final version of the content page") for i in range(50)]
     got = {r.doc_id: r.spans for r in secrets.detect(spark.createDataFrame(rows + words, "doc_id bigint, text string")).collect()}
     assert got[1] == "random:7:35" and got[4].startswith("random:0:") and got[2] == got[3] == got[10] == ""
+
+
+def test_random_strings_need_no_digit(spark, sf_dir):
+    rows = [(1, "key is qXvRtLmZpKwYsBnHjDcGf ok"), (2, "XqZvKjWpRtLmYsBnHjDcGfQw"), (3, "-" * 40 + " " + "_" * 30 + " " + "A" * 30 + "\n" + "/" * 25), (4, "THIS_IS_A_CONSTANT_NAME internationalization_of_things Donaudampfschifffahrtsgesellschaft")]
+    words = [(10 + i, "we update the user account report table number and request the final version of the content page") for i in range(50)]
+    got = {r.doc_id: r.spans for r in secrets.detect(spark.createDataFrame(rows + words, "doc_id bigint, text string")).collect()}
+    assert got[1] == "random:7:28" and got[2] == "random:0:24" and got[3] == got[10] == ""
+    usual = secrets.train(read(spark, sf_dir, "documents"))  # the words above are too few to know other names by
+    got = {r.doc_id: r.spans for r in secrets.detect(spark.createDataFrame(rows, "doc_id bigint, text string"), model=usual).collect()}
+    assert got[1] and got[2] and got[3] == got[4] == ""
