@@ -188,7 +188,7 @@ def wrong_field_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT count(s.k)::BIGINT AS selected, count(*) FILTER (s.k IS NOT NULL AND c.k IS NOT NULL)::BIGINT AS completed, (count(s.k) - count(*) FILTER (s.k IS NOT NULL AND c.k IS NOT NULL))::BIGINT AS missing,
 count(*) FILTER (s.k IS NULL)::BIGINT AS extra, coalesce(count(*) FILTER (s.k IS NOT NULL AND c.k IS NOT NULL) / nullif(count(s.k), 0), 1.0)::DOUBLE AS coverage FROM s FULL JOIN c ON s.k = c.k""")
 def run_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Completed of selected, missing and extra ids."""
+    """Completed of selected, missing and extra ids; a run completes the orders that have a line of more than 25 items."""
     done = table(spark, sf_dir, "lineitem").filter("l_quantity > 25").select(F.col("l_orderkey").alias("k"))
     return aggregate.coverage(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")), done, "k")
 
@@ -271,7 +271,7 @@ s AS (SELECT case_id, step, sum(least(r, p)) AS tp, sum(greatest(p - r, 0)) AS f
 m AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 1.0) AS pr, coalesce(tp / nullif(tp + fn, 0), 1.0) AS rc FROM s)
 SELECT case_id, step, tp::BIGINT AS tp, fp::BIGINT AS fp, fn::BIGINT AS fn, round(pr, 9)::DOUBLE AS precision, round(rc, 9)::DOUBLE AS recall, round(coalesce(2 * pr * rc / nullif(pr + rc, 0), 0), 9)::DOUBLE AS f1 FROM m""")
 def multiset_prf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """a day's tools against those of the day before, as multisets."""
+    """a day's tools against those of the day before, as multisets; from the second day on, the days that have one before them."""
     counts = executions(spark, sf_dir).groupBy("case_id", "step", F.col("tool").alias("name")).agg(F.count(F.lit(1)).alias("n"))
     at = lambda shift: counts.select(F.struct("case_id", (F.col("step") + shift).alias("step")).alias("case"), "name", "n").filter("case.step between 2 and 30")
     scored = events.multiset_scores(at(1), at(0), case="case")
@@ -407,10 +407,10 @@ def leakage_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH l AS (SELECT DISTINCT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), b AS (SELECT DISTINCT unnest(string_split(text, chr(10))) AS line FROM benchmark)
-SELECT doc_id, count(*)::BIGINT AS lines FROM l JOIN b USING (line) WHERE length(line) >= 20 GROUP BY 1""")
+SELECT doc_id, count(*)::BIGINT AS lines FROM l JOIN b USING (line) WHERE line <> '' GROUP BY 1""")
 def contamination_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with a line of a benchmark item, by digest."""
-    lines = lambda t, *k: table(spark, sf_dir, t).select(*k, F.explode(F.split("text", "\n", -1)).alias("line")).filter("length(line) >= 20").distinct()
+    """Documents with a line of a benchmark item (any but empty ones), by digest."""
+    lines = lambda t, *k: table(spark, sf_dir, t).select(*k, F.explode(F.split("text", "\n", -1)).alias("line")).filter("line <> ''").distinct()
     found = selection.seen_before(lines("documents", "doc_id"), lines("benchmark"), F.col("line"), F.col("line"))
     return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"))
 
@@ -437,11 +437,11 @@ def quota_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.quota(docs, "lang", "source", F.col("doc_id"), 6).select("doc_id", "lang", "source", "rank", "place")
 
 
-@query("""SELECT 'replay' AS origin, doc_id AS id, sha256(text) AS digest FROM documents WHERE doc_id % 10 = 0 UNION ALL SELECT 'repaired', item_id, sha256(text) FROM benchmark""")
+@query("""SELECT 'replay' AS origin, doc_id AS id, sha256(text) AS digest FROM documents UNION ALL SELECT 'repaired', item_id, sha256(text) FROM benchmark""")
 def replay_mix_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two tagged corpora as one."""
     tagged = lambda df, origin, key: df.select(F.lit(origin).alias("origin"), F.col(key).alias("id"), F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
-    return tagged(table(spark, sf_dir, "documents").filter("doc_id % 10 = 0"), "replay", "doc_id").unionByName(tagged(table(spark, sf_dir, "benchmark"), "repaired", "item_id"))
+    return tagged(table(spark, sf_dir, "documents"), "replay", "doc_id").unionByName(tagged(table(spark, sf_dir, "benchmark"), "repaired", "item_id"))
 
 
 @query("""SELECT doc_id, lang, rank, ((rank - 1) % 3)::INT AS layout FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha256(doc_id::VARCHAR), doc_id)::INT AS rank FROM documents)""")
@@ -683,12 +683,20 @@ def spec_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.score_records(_records(spark, sf_dir)).select("id", "argument_matches", "argument_total", "argument_accuracy", "repeated_tool_calls", "retry_calls", "tool_order_score")
 
 
-@query("""SELECT * FROM (VALUES ('confirmation', 80::BIGINT, 4::BIGINT, 80::BIGINT, 1.0::DOUBLE, 0::BIGINT), ('train', 320, 16, 320, 1.0, 0), ('validation', 80, 4, 80, 1.0, 0)) v(split, cases, groups, passed, tool_f1, faults)""")
+_PILOT = """q AS (SELECT unnest(['low', 'standard', 'high']) AS q),
+pg AS (SELECT *, row_number() OVER (ORDER BY sha256('configuration-pilot' || k)) AS place FROM (
+  SELECT a.q || '/' || b.q || '/' || c.q || ':' || e || ':' || f AS k, e AS ending, f AS fault FROM q a, q b, q c, (SELECT unnest(['home', 'battle']) AS e), (SELECT unnest([0, 1]) AS f) WHERE a.q <> b.q AND b.q <> c.q AND a.q <> c.q)),
+pages AS (SELECT * FROM (VALUES ('home', 2), ('settings', 1), ('graphics', 0), ('dungeon_select', 3), ('multiplayer_dungeon', 3)) v(page, way)),
+pilot AS (SELECT k, ending, fault, page, CASE WHEN place <= 16 THEN 'train' WHEN place <= 20 THEN 'validation' ELSE 'confirmation' END AS split, 1 + way + 3 + 2 * fault + 1 + CASE ending WHEN 'battle' THEN 3 ELSE 0 END + 2 AS calls FROM pg, pages)"""
+
+
+@query(f"""WITH {_PILOT} SELECT split, count(*)::BIGINT AS cases, count(DISTINCT k)::BIGINT AS groups, count(*)::BIGINT AS passed, sum(calls)::BIGINT AS tool_calls, sum(fault)::BIGINT AS failed_calls, 1.0::DOUBLE AS tool_f1, 0::BIGINT AS faults
+FROM pilot, (SELECT unnest(['android', 'ios']) AS platform), (SELECT unnest([0, 1]) AS surface) GROUP BY split""")
 def pilot_oracle_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A13, O, F10, K1: the pilot's generated cases run by their own calls; under protocol 2.3 all must pass."""
+    """A13, O, F10, K1: the pilot's generated cases run by their own calls; under protocol 2.3 all must pass. The SQL counts calls and failures by rule."""
     made = studies.pilot_records(spark)
     scored = scoring.score_records(made).join(made.select("id", "split", "group_id"), "id")
-    return scored.groupBy("split").agg(F.count(F.lit(1)).alias("cases"), F.countDistinct("group_id").alias("groups"), F.count_if("execution_success").alias("passed"), F.round(F.avg("tool_f1"), 9).alias("tool_f1"), F.count("fault").alias("faults"))
+    return scored.groupBy("split").agg(F.count(F.lit(1)).alias("cases"), F.countDistinct("group_id").alias("groups"), F.count_if("execution_success").alias("passed"), F.sum("tool_call_count").alias("tool_calls"), F.sum("failed_tool_calls").alias("failed_calls"), F.round(F.avg("tool_f1"), 9).alias("tool_f1"), F.count("fault").alias("faults"))
 
 
 @query("""SELECT p AS pattern, s AS split, n::BIGINT AS cases, (CASE p WHEN 'transient_once' THEN 1 WHEN 'transient_twice' THEN 2 WHEN 'policy_once' THEN 1 WHEN 'policy_twice' THEN 2 WHEN 'bad_arguments' THEN 1 WHEN 'mixed_policy_check' THEN 1 ELSE 0 END * n)::BIGINT AS tool_errors,
@@ -743,9 +751,19 @@ def stress_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cases.groupBy("arm", "pattern").agg(F.count(F.lit(1)).alias("cases"), F.bool_and(at("read_only").cast("boolean")).alias("read_only"), F.sum(at("target.tool_errors").cast("bigint")).alias("tool_errors"), F.max(at("target.decision")).alias("decision"))
 
 
-@query()
+@query(f"""WITH {_PILOT}, legs AS (SELECT ending, CASE ending WHEN 'battle' THEN 3 ELSE 0 END AS more FROM (SELECT unnest(['home', 'battle']) AS ending)),
+kept AS (SELECT * FROM pilot WHERE split = 'confirmation'),
+made AS (
+  SELECT '2.3' AS protocol, 'expression' AS category, calls, fault AS failed FROM kept, (SELECT unnest(['control', 'rewrite']) AS variant)
+  UNION ALL SELECT '2.3', 'structure', 1 + way + n + 1 + more + 2, 0 FROM (SELECT unnest([1, 2, 4, 5]) AS n), legs, pages
+  UNION ALL SELECT '2.3', 'constraints', 3 + back, 0 FROM (SELECT unnest([0, 1]) AS back), (SELECT unnest(['android', 'ios']) AS platform), pages
+  UNION ALL SELECT '2.3', 'recovery', 1 + way + 2 + 2 + 1 + 3 + 2, 1 FROM (SELECT unnest([1, 2, 3, 4]) AS planned), (SELECT page, way FROM pages WHERE page <> 'graphics' UNION ALL SELECT 'battle', 3)
+  UNION ALL SELECT '2.4', 'expression_control', calls, fault FROM kept, (SELECT unnest([1, 2, 3]) AS arm)
+  UNION ALL SELECT '2.4', 'observation_control', 3, 0 FROM (SELECT unnest([1, 2]) AS arm), (SELECT unnest(['android', 'ios']) AS platform), pages WHERE page <> 'home' AND platform <> '')
+SELECT protocol, category, count(*)::BIGINT AS cases, count(*)::BIGINT AS passed, sum(calls)::BIGINT AS tool_calls, sum(failed)::BIGINT AS failed_calls FROM made GROUP BY ALL""")
 def challenge_oracle_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A13, E20, O, G4, G5: the challenge and its controls run by their own calls; under protocols 2.3 and 2.4 all must pass."""
-    sets = [(v, made(spark)) for v, made in (("2.3", diagnostics.challenge_records), ("2.4", diagnostics.control_records))]
-    scored = [scoring.score_records(made).join(made.select("id", "category"), "id").withColumn("protocol", F.lit(v)) for v, made in sets]
-    return scored[0].unionByName(scored[1]).groupBy("protocol", "category").agg(F.count(F.lit(1)).alias("cases"), F.count_if("execution_success").alias("passed"))
+    """A13, E20, O, G4, G5: the challenge and its controls run by their own calls; under protocols 2.3 and 2.4 all must pass. The SQL counts calls and failures by rule."""
+    sets = {"2.3": diagnostics.challenge_records, "2.4": diagnostics.control_records}
+    scored = [scoring.score_records(made(spark)).withColumn("protocol", F.lit(v)) for v, made in sets.items()]
+    return scored[0].unionByName(scored[1]).groupBy("protocol", "category").agg(
+        F.count(F.lit(1)).alias("cases"), F.count_if("execution_success").alias("passed"), F.sum("tool_call_count").alias("tool_calls"), F.sum("failed_tool_calls").alias("failed_calls"))
