@@ -4,12 +4,15 @@ Candidates are the strict matches of four kinds (email, ip, card, phone) and
 looser shapes of the same kinds. Three labelers vote on each: a regex labeler
 (strict shape and checksum), a gazetteer labeler (known top-level domains, card
 issuer prefixes, dialling plans, reserved networks) and a context labeler (cue
-words before the candidate). Spark counts the vote patterns of the whole
-corpus; expectation-maximisation over these counts (their number is fixed by
-the votes, not by the data) estimates how reliable each labeler is per class,
-and its posteriors train a logistic span classifier. Strict matches always
-stay; looser candidates that overlap none of them are added where two labelers
-at least vote and the classifier is sure.
+words before the candidate). Spark counts the votes and span features of the
+whole corpus (the number of different rows is fixed by their values, not by
+the data). Expectation-maximisation over the votes estimates, for each kind,
+how reliable each labeler is per class; its posteriors are the targets of a
+logistic span classifier per kind, which sees what a span looks like (length,
+share of digits, parts, what stands before it), its gazetteer entry and its
+context, but not the regex vote. Strict matches always stay; looser candidates
+that overlap none of them are added where two labelers at least vote and the
+classifier is sure.
 
 Defined results: a null text counts as empty and has no spans; overlapping
 strict matches of different kinds all stay; rows are independent but for the
@@ -27,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.llm.common import checkpointed, id_and_text
-from tracemill.llm.spans import all_matches, apart, joined, let, positions, tagged
+from tracemill.llm.spans import all_matches, apart, joined, let, part, pieces, positions, replaced, tagged
 
 KINDS = ("email", "ip", "card", "phone")
 #: The least probability at which the classifier adds a span.
@@ -90,11 +93,21 @@ def _gazetteer(kind: str, c: Column) -> Column:
     return F.when(known, 1).otherwise(-1)
 
 
-def _context(kind: str, text: Column, start: Column) -> Column:
-    before = F.lower(F.substring(text, F.greatest(start - 39, F.lit(1)), F.least(start, F.lit(40))))
+def _context(kind: str, before: Column) -> Column:
     return F.when(before.rlike(AGAINST), -1).when(before.rlike(rf"(?:{CUES[kind]})[^a-z]{{0,6}}$|(?:^|[^a-z])(?:{CUES[kind]})[^a-z]"), 1).otherwise(0)
 
 
+def _features(text: Column, before: Column) -> dict[str, Column]:
+    """What a span looks like, each as one of a few small numbers."""
+    step = lambda c, *limits: sum((F.when(c >= x, 1).otherwise(0) for x in limits), F.lit(0))
+    share = F.length(_digits(text)) / F.length(text)
+    edge = F.right(before, F.lit(1))
+    return {
+        "size": step(F.length(text), 10, 16, 24), "digits": step(share, 0.01, 0.5, 0.8), "parts": step(F.size(F.split(text, "[^A-Za-z0-9]+")), 2, 3, 4),
+        "edge": F.when((edge == "") | edge.rlike(r"\s"), 0).when(edge.rlike("[A-Za-z0-9]"), 2).otherwise(1),
+    }
+
+
 def candidates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, base (strict matches) and loose (other candidates, with the votes); both ordered by kind."""
     text = F.col("_text")
@@ -125,81 +138,124 @@ def candidates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     out = out.withColumn("other", apart(F.col("other"), F.col("base")))
 
     def voted(spans: str, regex: Callable[[Column], Column]) -> Column:
-        def one(s: Column) -> Column:
+        def one(s: Column, before: Column) -> Column:
             gaz, ctx = F.lit(0), F.lit(0)
             for k in KINDS:
                 gaz = F.when(s["kind"] == k, _gazetteer(k, s["text"])).otherwise(gaz)
-                ctx = F.when(s["kind"] == k, _context(k, text, s["start"])).otherwise(ctx)
-            return F.struct(s["start"].alias("start"), s["order"].alias("order"), s["end"].alias("end"), s["kind"].alias("kind"), regex(s).alias("regex"), gaz.alias("gazetteer"), ctx.alias("context"))
+                ctx = F.when(s["kind"] == k, _context(k, before)).otherwise(ctx)
+            own = {n: s[n] for n in ("start", "order", "end", "kind")} | {"regex": regex(s), "gazetteer": gaz, "context": ctx} | _features(s["text"], before)
+            return F.struct(*(c.alias(n) for n, c in own.items()))
 
-        return F.transform(spans, one)
+        before = lambda cut, s: F.lower(part(cut, F.greatest(s["start"] - 40, F.lit(0)), s["start"]))
+        every = let(pieces(text), lambda cut: F.transform(spans, lambda s: let(before(cut, s), lambda b: one(s, b))))
+        return F.when(F.size(spans) > 0, every).otherwise(F.array().cast(VOTED))
 
     return out.select(F.col("_id").alias(id_col), voted("base", lambda s: F.lit(1)).alias("base"), voted("other", lambda s: F.when(s["kind"] == "card", -1).otherwise(0)).alias("other"))
 
 
+LABELERS = ("regex", "gazetteer", "context")
+LOOKS = ("size", "digits", "parts", "edge")
+SEEN = ("gazetteer", "context", *LOOKS)  # what the classifier sees
+VOTED = f"array<struct<start:int,order:int,end:int,kind:string,{','.join(f'{n}:int' for n in (*LABELERS, *LOOKS))}>>"
+
+
 @dataclass
-class Model:
-    """Class prior, reliabilities P(vote | class) of the labelers, and the classifier's weights."""
+class Votes:
+    """A kind's prior and the reliabilities P(vote | class) of its labelers."""
 
     prior: float
     reliability: dict[tuple[str, int, int], float]
-    bias: float
-    weights: dict[tuple[str, int], float]
 
     def probability(self, votes: dict[str, int]) -> float:
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.bias + sum(self.weights.get((n, v), 0.0) for n, v in votes.items())))))
+        """That a candidate is personal data, given who voted how (0: no vote)."""
+        yes, no = self.prior, 1 - self.prior
+        for n, v in votes.items():
+            if v:
+                yes, no = yes * self.reliability[n, v, 1], no * self.reliability[n, v, 0]
+        return yes / (yes + no)
 
 
-LABELERS = ("regex", "gazetteer", "context")
-
-
-def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS) -> Model:
-    """EM over counted vote patterns, then logistic regression on its posteriors.
+def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS) -> Votes:
+    """EM over counted vote patterns.
 
     The prior that a labeler is right seven times in ten is worth ten candidates, so the
     class names stay fixed and rare votes do not run off to 0 or 1.
     """
-    votes = (-1, 1)
-    pseudo = {(n, v, c): 7.0 if (v > 0) == bool(c) else 3.0 for n in LABELERS for v in votes for c in (0, 1)}
-    reliability = {k: x / 10 for k, x in pseudo.items()}
-    prior, posterior = 0.5, {}
+    pseudo = {(n, v, c): 7.0 if (v > 0) == bool(c) else 3.0 for n in LABELERS for v in (-1, 1) for c in (0, 1)}
+    model = Votes(0.5, {k: x / 10 for k, x in pseudo.items()})
+    size = sum(n for _, n in patterns)
     for _ in range(rounds):
-        for pattern, _n in patterns:
-            yes, no = prior, 1 - prior
-            for n, v in zip(LABELERS, pattern, strict=True):
-                if v:
-                    yes, no = yes * reliability[n, v, 1], no * reliability[n, v, 0]
-            posterior[pattern] = yes / (yes + no)
-        share = lambda p, c: posterior[p] if c else 1 - posterior[p]
-        prior = (5 + sum(n * posterior[p] for p, n in patterns)) / (10 + sum(n for _, n in patterns))
-        for j, name in enumerate(LABELERS):
-            for c in (0, 1):
-                own = {v: pseudo[name, v, c] + sum(n * share(p, c) for p, n in patterns if p[j] == v) for v in votes}
-                for v in votes:
-                    reliability[name, v, c] = own[v] / sum(own.values())
-    bias, weights = 0.0, {(n, v): 0.0 for n in LABELERS for v in votes}
-    size = sum(n for _, n in patterns) or 1
-    for _ in range(400):
-        slope_b, slope = 0.0, dict.fromkeys(weights, 0.0)
+        yes = {p: model.probability(dict(zip(LABELERS, p, strict=True))) for p, _ in patterns}
+        own = dict(pseudo)
         for p, n in patterns:
-            voted = [k for k in zip(LABELERS, p, strict=True) if k[1]]
-            z = bias + sum(weights[k] for k in voted)
-            error = n / size * (posterior[p] - 1 / (1 + math.exp(-z)))
+            for name, v in zip(LABELERS, p, strict=True):
+                if v:
+                    own[name, v, 1] += n * yes[p]
+                    own[name, v, 0] += n * (1 - yes[p])
+        model = Votes((5 + sum(n * yes[p] for p, n in patterns)) / (10 + size), {(name, v, c): x / (own[name, -1, c] + own[name, 1, c]) for (name, v, c), x in own.items()})
+    return model
+
+
+@dataclass
+class Classifier:
+    """Logistic weights of a kind's span features."""
+
+    bias: float
+    weights: dict[tuple[str, int], float]
+
+    def logit(self, seen: tuple[int, ...]) -> float:
+        return self.bias + sum(self.weights.get(k, 0.0) for k in zip(SEEN, seen, strict=True))
+
+
+def classifier(examples: list[tuple[tuple[int, ...], float, int]], rounds: int = 300) -> Classifier:
+    """Logistic regression on (features, target probability, count), by gradient steps with a slight pull to zero."""
+    merged: dict[tuple[int, ...], list[float]] = {}
+    for seen, target, n in examples:
+        held = merged.setdefault(seen, [0.0, 0.0])
+        held[0] += n * target
+        held[1] += n
+    model = Classifier(0.0, {k: 0.0 for seen in merged for k in zip(SEEN, seen, strict=True)})
+    size = sum(n for _, n in merged.values()) or 1.0
+    for _ in range(rounds):
+        slope_b, slope = 0.0, dict.fromkeys(model.weights, 0.0)
+        for seen, (yes, n) in merged.items():
+            error = (yes - n / (1 + math.exp(-max(-30.0, min(30.0, model.logit(seen)))))) / size
             slope_b += error
-            for k in voted:
+            for k in zip(SEEN, seen, strict=True):
                 slope[k] += error
-        bias += 2 * slope_b
-        weights = {k: w + 2 * (slope[k] - 1e-4 * w) for k, w in weights.items()}
-    return Model(prior, reliability, bias, weights)
+        model = Classifier(model.bias + slope_b, {k: w + slope[k] - 1e-4 * w for k, w in model.weights.items()})
+    return model
+
+
+def train(found: DataFrame) -> dict[str, Classifier]:
+    """A classifier per kind, from all candidates: their votes give the targets, their features the examples."""
+    every = found.select(F.explode(F.concat("base", "other")).alias("c"))
+    names = ("kind", *LABELERS, *LOOKS)
+    counted = every.groupBy(*(F.col(f"c.{n}").alias(n) for n in names)).count().collect()  # 4 x 27 x 192 rows at most
+    out = {}
+    for kind in KINDS:
+        rows = sorted(r for r in counted if r["kind"] == kind)
+        patterns: dict[tuple[int, ...], int] = {}
+        for r in rows:
+            votes = tuple(r[n] for n in LABELERS)
+            patterns[votes] = patterns.get(votes, 0) + r["count"]
+        model = fit(sorted(patterns.items()))
+        out[kind] = classifier([(tuple(r[n] for n in SEEN), model.probability({n: r[n] for n in LABELERS}), r["count"]) for r in rows])
+    return out
 
 
 def detect(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sure: float = SURE) -> DataFrame:
     """One row per document: id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, all_spans (array)."""
     found = checkpointed(candidates(docs, id_col=id_col, text_col=text_col))
-    every = found.select(F.explode(F.concat("base", "other")).alias("c"))
-    counted = every.groupBy(*(F.col(f"c.{n}").alias(n) for n in LABELERS)).count().collect()  # 27 patterns at most
-    model = fit(sorted((tuple(r[n] for n in LABELERS), r["count"]) for r in counted))
-    logit = lambda s: F.lit(model.bias) + sum((F.when(s[n] == v, w).otherwise(0.0) for (n, v), w in model.weights.items()), F.lit(0.0))
+    models = train(found)
+
+    def logit(s: Column) -> Column:
+        out = F.lit(0.0)
+        for kind, m in models.items():
+            own = sum((F.when(s[n] == v, w).otherwise(0.0) for (n, v), w in sorted(m.weights.items())), F.lit(m.bias))
+            out = F.when(s["kind"] == kind, own).otherwise(out)
+        return out
+
     least = math.log(sure / (1 - sure))
     out = found.withColumn("added", F.filter("other", lambda s: (logit(s) >= least) & (sum((F.abs(s[n]) for n in LABELERS), F.lit(0)) >= 2)))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("bigint")
@@ -212,10 +268,4 @@ def detect(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s
 
 def redacted(text: Column, spans: Column) -> Column:
     """The text with each span replaced by its kind in angle brackets; of overlapping spans the first counts."""
-    ordered = F.array_sort(spans)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    cut = lambda a, b: F.substring(text, a + 1, b - a)
-    step = lambda acc, s: F.when(s["start"] < acc["at"], F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))).otherwise(
-        F.struct(s["end"].alias("at"), F.concat(acc["out"], cut(acc["at"], s["start"]), F.lit("<"), F.upper(s["kind"]), F.lit(">")).alias("out")))
-    whole = F.aggregate(ordered, start, step, lambda acc: F.concat(acc["out"], cut(acc["at"], F.length(text))))
-    return F.when(F.size(spans) > 0, whole).otherwise(text)
+    return replaced(text, spans, lambda s: F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")))
