@@ -1,4 +1,5 @@
 import hashlib
+import time
 import zlib
 from fractions import Fraction
 
@@ -83,3 +84,55 @@ def test_probe(spark, odd):
     assert len(probed) == odd.count() and all(len(r.seek_offsets) == r.n_frames == r.table_frames and r.crc_broken == 0 for r in probed)
     strange = spark.createDataFrame([(1, None), (2, b""), (3, b"\xff" * 50)], "doc_id int, media binary")
     assert [(r.n_frames, r.feature) for r in m.probe_column(strange).collect()] == [(0, "none")] * 3
+
+
+def bits_crc(bits):
+    """The checksum, bit by bit."""
+    c = 0xFFFF
+    for b in bits:
+        c = (c << 1 & 0xFFFF) ^ (0x8005 if (c >> 15) ^ b else 0)
+    return c
+
+
+def as_bits(data):
+    return [b >> i & 1 for b in data for i in range(7, -1, -1)]
+
+
+@pytest.mark.parametrize(("head", "protected"), [
+    ((0xFF, 0xFE, 0x44, 0x00), 256),  # Layer I, 128 kbit/s at 48 kHz, stereo
+    ((0xFF, 0xFE, 0x44, 0xC0), 128),  # mono
+    ((0xFF, 0xFE, 0x44, 0x50), 8 * 8 + 24 * 4),  # joint stereo, subbands from 8 on share
+    ((0xFF, 0xFC, 0x84, 0xC0), 88 + 2 * 27),  # Layer II, 128 kbit/s at 48 kHz, mono: 27 subbands, all in use
+])
+def test_checksums_of_layers_one_and_two(head, protected):
+    head = bytes(head)
+    h = m.header(head, 0)
+    body = b"\xff" * 60
+    good = head + bits_crc(as_bits(head[2:]) + as_bits(body)[:protected]).to_bytes(2) + body
+    good = good.ljust(h.size, b"\0")
+    bad = bytearray(good)
+    bad[8] ^= 0x10
+    s = m.parse(good * 5 + bytes(bad) + good)
+    assert (s.checked, s.broken, len(s.offsets), s.first.layer) == (6, 1, 7, h.layer)
+
+
+def test_older_and_unsynchronised_tags():
+    text = lambda t: b"\x03" + t
+    old = b"TT2" + (6).to_bytes(3) + text(b"Title") + b"TP1" + (5).to_bytes(3) + text(b"Name")
+    assert m.parse(b"ID3\x02\0\0" + bytes([0, 0, 0, len(old)]) + old + frame(3) * 2).tags == {"TIT2": "Title", "TPE1": "Name"}
+    plain = b"TIT2" + (4).to_bytes(4) + b"\0\0" + b"\0\xff\xe0a"
+    sent = plain.replace(b"\xff", b"\xff\0")
+    s = m.parse(b"ID3\x03\0\x80" + bytes([0, 0, 0, len(sent)]) + sent + frame(3) * 2)
+    assert s.tags == {"TIT2": "\xff\xe0a"} and len(s.offsets) == 2
+
+
+def test_many_frames_of_changing_size_cost_in_proportion():
+    began = time.monotonic()
+    s = m.parse((frame(3) + frame(5)) * 70_000)  # an hour and a half
+    assert len(s.offsets) == s.checked == 140_000 and s.duration == Fraction(140_000 * 36, 1000) and s.sizes[:2].tolist() == [len(frame(3)), len(frame(5))]
+    assert time.monotonic() - began < 60  # comparing each run with all that follows takes several minutes
+
+
+def test_offsets_of_the_query_are_those_of_the_stream(odd):
+    for r in m.store_and_read(odd, with_media=True).collect():
+        assert len(r.frame_offsets) == r.payload_bytes // 192 and all(r.media[o : o + 4] == m._HEAD for o in r.frame_offsets[:50])

@@ -4,10 +4,12 @@ The writer makes silent MPEG-1 Layer III frames (32 kHz, 48 kbit/s, mono, with
 checksum: 216 bytes and 36 ms each) whose ancillary data hold 192 payload bytes
 each, after an ID3v2 tag and an Info frame with frame count, byte count and a
 table of contents. The parser takes any MPEG-1/2/2.5 stream of Layer I, II or
-III: it reads ID3v2 and ID3v1 tags, finds frame headers again after junk (a
-header counts if the next frame, the end or an ID3v1 tag follows it, the first
-one only if its checksum holds too; later broken checksums are counted), reads Xing, Info and VBRI tables, verifies CRC-16 checksums,
-and gives exact durations and the byte offset of every frame.
+III (not of free format): it reads ID3v2.2 to 2.4 (unsynchronised ones too) and
+ID3v1 tags, finds frame headers again after junk (a header counts if the next
+frame, the end or an ID3v1 tag follows it, the first one only if its checksum
+holds too; later broken checksums are counted), reads Xing, Info and VBRI
+tables, verifies CRC-16 checksums over what each layer protects, and gives exact
+durations and the byte offset of every frame.
 
 Defined results: a null or empty text is 192 spaces, as the shortest payload;
 a null or unparsable stream has no frames, no duration and an empty payload;
@@ -39,6 +41,8 @@ BITRATES = {
     (False, 3): (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160),
 }
 RATES = (44100, 48000, 32000)
+#: Allocation bits of each subband in Layer II, by table (A to D of MPEG-1, E of MPEG-2).
+ALLOCATION = {"A": (4,) * 11 + (3,) * 12 + (2,) * 4, "B": (4,) * 11 + (3,) * 12 + (2,) * 7, "C": (4,) * 2 + (3,) * 6, "D": (4,) * 2 + (3,) * 10, "E": (4,) * 4 + (3,) * 7 + (2,) * 19}
 
 
 def _table() -> np.ndarray:
@@ -55,10 +59,14 @@ _CRC = _table()
 _CRC_LIST = _CRC.tolist()
 
 
-def crc16(data: bytes) -> int:
-    c = 0xFFFF
-    for b in data:
+def crc16(data: bytes, bits: int = 0) -> int:
+    """Of the whole data, or of its first so many bits."""
+    c, bits = 0xFFFF, bits or 8 * len(data)
+    for b in data[: bits // 8]:
         c = ((c << 8) & 0xFFFF) ^ _CRC_LIST[(c >> 8) ^ b]
+    for i in range(bits % 8):
+        top = c >> 15 ^ data[bits // 8] >> 7 - i & 1
+        c = ((c << 1) & 0xFFFF) ^ (0x8005 if top else 0)
     return c
 
 
@@ -80,6 +88,8 @@ class Header:
     channels: int
     size: int
     samples: int
+    #: Subbands that have an allocation of their own for each channel.
+    bound: int
 
     @property
     def side(self) -> int:
@@ -101,7 +111,7 @@ def header(data: bytes, at: int) -> Header | None:
     rate = RATES[c >> 2 & 3] // {"1": 1, "2": 2, "2.5": 4}[version]
     pad, samples = c >> 1 & 1, {1: 384, 2: 1152, 3: 1152 if first else 576}[layer]
     size = (12 * kbps * 1000 // rate + pad) * 4 if layer == 1 else samples // 8 * kbps * 1000 // rate + pad
-    return Header(version, layer, not b & 1, kbps, rate, pad, 1 if d >> 6 == 3 else 2, size, samples)
+    return Header(version, layer, not b & 1, kbps, rate, pad, 1 if d >> 6 == 3 else 2, size, samples, 4 * (d >> 4 & 3) + 4 if d >> 6 == 1 else 32)
 
 
 @dataclass
@@ -125,12 +135,32 @@ class Stream:
         return int(self.offsets[min(max(i, 0), len(self.offsets) - 1)])
 
 
+def _protected_bits(h: Header, body: bytes) -> int | None:
+    """How many bits behind the checksum it covers: side information, or allocation bits (and scale factor choices in Layer II)."""
+    if h.layer == 3:
+        return 8 * h.side
+    if h.layer == 1:
+        return 4 * (h.channels * min(h.bound, 32) + 32 - min(h.bound, 32))
+    each = h.kbps // h.channels
+    table = "E" if h.version != "1" else "A" if (h.rate == 48000 and each >= 56) or 56 <= each <= 80 else "B" if h.rate != 48000 and each >= 96 else "C" if h.rate != 32000 and each <= 48 else "D"
+    value, size, at, chosen = int.from_bytes(body), 8 * len(body), 0, 0
+    for band, width in enumerate(ALLOCATION[table]):
+        own = h.channels if band < h.bound else 1
+        for _ in range(own):
+            if at + width > size:
+                return None
+            chosen += (value >> size - at - width & (1 << width) - 1 != 0) * (h.channels // own)
+            at += width
+    return at + 2 * chosen
+
+
 def _crc_holds(data: bytes, at: int, h: Header) -> bool | None:
-    """Layers I and II need decoded allocation bits for their range, so only Layer III is verified; None: no checksum."""
-    if not h.protected or h.layer != 3:
+    """Whether the frame's checksum holds; None: it has none."""
+    if not h.protected:
         return None
-    end = at + 6 + h.side
-    return end <= len(data) and crc16(data[at + 2 : at + 4] + data[at + 6 : end]) == int.from_bytes(data[at + 4 : at + 6])
+    body = data[at + 6 : at + min(h.size, 6 + 64)]
+    bits = _protected_bits(h, body)
+    return bits is not None and bits <= 8 * len(body) and crc16(data[at + 2 : at + 4] + body, 16 + bits) == int.from_bytes(data[at + 4 : at + 6])
 
 
 def _goes_on(data: bytes, at: int, h: Header, end: int) -> bool:
@@ -145,16 +175,22 @@ def _id3v2(data: bytes) -> tuple[dict[str, str], int]:
     if data[:3] != b"ID3" or len(data) < 10:
         return {}, 0
     synch = lambda b: b[0] << 21 | b[1] << 14 | b[2] << 7 | b[3]
-    end, at, tags = min(len(data), 10 + synch(data[6:10])), 10, {}
-    while at + 10 <= end and data[at]:
-        name = data[at : at + 4].decode("latin-1")
-        size = synch(data[at + 4 : at + 8]) if data[3] == 4 else int.from_bytes(data[at + 4 : at + 8])
-        raw = data[at + 10 : at + 10 + size]
+    end, tags, old = min(len(data), 10 + synch(data[6:10])), {}, data[3] == 2
+    own, at = data[10:end], 0
+    if data[5] & 0x80:  # a zero was put behind each 255
+        own = own.replace(b"\xff\0", b"\xff")
+    if data[5] & 0x40 and not old:  # an extended header
+        at = synch(own[:4]) if data[3] == 4 else 4 + int.from_bytes(own[:4])
+    head = 6 if old else 10
+    while at + head <= len(own) and own[at]:
+        name = own[at : at + (3 if old else 4)].decode("latin-1")
+        size = int.from_bytes(own[at + 3 : at + 6]) if old else synch(own[at + 4 : at + 8]) if data[3] == 4 else int.from_bytes(own[at + 4 : at + 8])
+        raw = own[at + head : at + head + size]
         if name[0] == "T" and raw:
             text = raw[1:].decode({0: "latin-1", 1: "utf-16", 2: "utf-16-be"}.get(raw[0], "utf-8"), "replace")
-            key, _, value = text.partition("\0") if name == "TXXX" else (name, "", text)
+            key, _, value = text.partition("\0") if name in ("TXXX", "TXX") else ({"TT2": "TIT2", "TP1": "TPE1", "TAL": "TALB"}.get(name, name), "", text)
             tags[key] = value.strip("\0")
-        at += 10 + size
+        at += head + size
     return tags, end
 
 
@@ -196,6 +232,7 @@ def _parse(data: bytes, unit: int, end: int) -> Stream:
     out = Stream()
     out.tags, at = _id3v2(data)
     view, offsets, sizes, bodies = np.frombuffer(data, np.uint8), [], [], []
+    samples: dict[int, int] = {}  # by rate
     while at < end:
         h = header(data, at)
         if h is None or not _goes_on(data, at, h, end) or (holds := _crc_holds(data, at, h)) is False and not offsets:
@@ -210,25 +247,34 @@ def _parse(data: bytes, unit: int, end: int) -> Stream:
             at += h.size
             continue
         out.first = out.first or h
-        # frames with this very header, one after another
-        n = (end - at) // h.size
+        # frames with this very header, one after another, looked for in steps that double
+        n, most = 1, (end - at) // h.size
+        while n < most:
+            to = min(2 * n, most)
+            rows = view[at + n * h.size : at + to * h.size].reshape(to - n, h.size)
+            same = (rows[:, :4] == view[at : at + 4]).all(axis=1)
+            if not same.all():
+                n += int(np.argmin(same))
+                break
+            n = to
         rows = view[at : at + n * h.size].reshape(n, h.size)
-        same = (rows[:, :4] == rows[0, :4]).all(axis=1)
-        n = n if same.all() else int(np.argmin(same))
-        rows = rows[:n]
         skip = 4 + 2 * h.protected + h.side
         if holds is not None:
-            good = crc16_rows(np.hstack([rows[:, 2:4], rows[:, 6:skip]])) == rows[:, 4].astype(np.uint16) * 256 + rows[:, 5]
+            if h.layer == 3:
+                good = crc16_rows(np.hstack([rows[:, 2:4], rows[:, 6:skip]])) == rows[:, 4].astype(np.uint16) * 256 + rows[:, 5]
+            else:
+                good = np.array([_crc_holds(data, at + i * h.size, h) for i in range(n)])
             out.checked += int(good.sum())
             out.broken += int((~good).sum())
         offsets.append(at + h.size * np.arange(n))
         sizes.append(np.full(n, h.size))
-        out.duration += Fraction(n * h.samples, h.rate)
+        samples[h.rate] = samples.get(h.rate, 0) + n * h.samples
         if unit:
             bodies.append(rows[:, skip : skip + unit].tobytes())
         at += n * h.size
     if offsets:
         out.offsets, out.sizes = np.concatenate(offsets), np.concatenate(sizes)
+    out.duration = sum((Fraction(n, rate) for rate, n in samples.items()), Fraction(0))
     out.body = b"".join(bodies)
     return out
 
@@ -286,14 +332,14 @@ def probe_column(media: DataFrame, *, id_col: str = "doc_id", media_col: str = "
 
 
 def store_and_read(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", with_media: bool = False) -> DataFrame:
-    """Store each text, read the stored bytes back, and describe payload and stream; with_media adds the streams."""
-    fields = [("n_bytes", "bigint"), ("payload_bytes", "bigint"), ("payload_sha256", "string"), ("tail_crc32", "bigint"), ("media_bytes", "bigint"), ("media_sha256", "string"), ("feature", "string"), ("duration_us", "bigint")] + [("media", "binary")] * with_media
+    """Store each text, read the stored bytes back, and describe payload and stream, with the offset of every frame; with_media adds the streams."""
+    fields = [("n_bytes", "bigint"), ("payload_bytes", "bigint"), ("payload_sha256", "string"), ("tail_crc32", "bigint"), ("media_bytes", "bigint"), ("media_sha256", "string"), ("feature", "string"), ("duration_us", "bigint"), ("frame_offsets", "array<bigint>")] + [("media", "binary")] * with_media
 
     def rows_of(texts: list[bytes]) -> Iterable[tuple]:
         for t in texts:
             media = write(t)
             s = parse(media, UNIT)
-            row = int(s.tags["payload-bytes"]), len(s.body), hashlib.sha256(s.body).hexdigest(), zlib.crc32(s.body[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature(s), int(s.duration * 1_000_000)
+            row = int(s.tags["payload-bytes"]), len(s.body), hashlib.sha256(s.body).hexdigest(), zlib.crc32(s.body[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature(s), int(s.duration * 1_000_000), s.offsets
             yield (*row, media) if with_media else row
 
     return map_texts(docs, id_col, text_col, fields, rows_of)
