@@ -1,4 +1,5 @@
 import random
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -47,3 +48,89 @@ def test_planted_lines_of_the_table_are_all_found(spark, sf_dir):
     docs = read(spark, sf_dir.replace("0.001", "0.01"), "documents")
     got = ls.scan_licenses(docs).join(docs.select("doc_id", "text"), "doc_id").collect()
     assert all((r.n_licenses > 0) == ("licen" in r.text.lower()) for r in got)
+
+
+def brute_align(a, b):
+    """Patience alignment as it is defined, by recursion."""
+    if not a or not b:
+        return []
+    if a[0] == b[0]:
+        return [(0, 0), *((i + 1, j + 1) for i, j in brute_align(a[1:], b[1:]))]
+    if a[-1] == b[-1]:
+        return [*brute_align(a[:-1], b[:-1]), (len(a) - 1, len(b) - 1)]
+    once = [(i, b.index(w)) for i, w in enumerate(a) if a.count(w) == b.count(w) == 1]
+    # the longest subsequence; of equally long ones each word takes the predecessor that comes first in b
+    best = []
+    for p in once:
+        before = [c for c in best if c[-1][1] < p[1]]
+        longest = max(map(len, before), default=0)
+        best.append([*min((c for c in before if len(c) == longest), key=lambda c: c[-1][1], default=[]), p])
+    anchors = min((c for c in best if len(c) == max(map(len, best))), key=lambda c: c[-1][1], default=[])
+    if not anchors:
+        return []
+    out = []
+    for (i, j), (i2, j2) in zip([(-1, -1), *anchors], [*anchors, (len(a), len(b))]):
+        out += [(x + i + 1, y + j + 1) for x, y in brute_align(a[i + 1 : i2], b[j + 1 : j2])]
+        out += [(i2, j2)] * (i2 < len(a))
+    return sorted(set(out))
+
+
+def brute_finds(words, templates, coverage, density):
+    """Every template from every word, both stretches, no bound that passes a start over."""
+    found = []
+    for name, own in sorted(templates.items()):
+        at = 0
+        while at < len(words):
+            best = ()
+            for width in (len(own) + max(3, len(own) // 4), int(-(-len(own) // density))):
+                pairs = brute_align(own, words[at : at + width])
+                if pairs and pairs[0][1] == 0 and len(pairs) >= len(own) * coverage and len(pairs) >= density * (pairs[-1][1] + 1):
+                    best = max(best, (len(pairs), -pairs[-1][1]))
+            if best:
+                found.append((name, at, at - best[1] + 1, best[0] / len(own), best[0]))
+            at = at - best[1] + 1 if best else at + 1
+    out = []
+    for name, start, end, share, _ in sorted(found, key=lambda f: (-f[4], -f[3], f[1], f[0])):
+        if all(end <= a or b <= start for _, a, b, _ in out):
+            out.append((name, start, end, share))
+    return sorted(out, key=lambda f: (f[1], f[0]))
+
+
+def test_finds_equal_brute_force():
+    rng = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    for _ in range(150):
+        templates = {f"t{i}": [rng.choice(letters) for _ in range(rng.randint(3, 14))] for i in range(3)}
+        words = []
+        for _ in range(rng.randint(1, 5)):
+            words += [rng.choice(letters) for _ in range(rng.randint(0, 8))]
+            own = list(rng.choice(list(templates.values())))
+            for _ in range(rng.randint(0, 3)):
+                at = rng.randrange(len(own) + 1)
+                if rng.random() < 0.5:
+                    own[at:at] = [rng.choice(letters)] * rng.randint(1, 6)
+                else:
+                    del own[at : at + 1]
+            words += own
+        scanner = ls.Scanner({n: " ".join(t) for n, t in templates.items()}, 0.75, 0.5)
+        assert scanner.scan(" ".join(words).encode()) == brute_finds(words, templates, 0.75, 0.5)
+
+
+def test_a_notice_with_other_text_inside_is_found():
+    mit = ls.TEMPLATES["MIT"].split()
+    own = len(ls.words(ls.TEMPLATES["MIT"].encode()))
+    for n in (10, 45, 80):
+        inside = [f"other{i}" for i in range(n)]
+        finds = ls.Scanner(ls.TEMPLATES).scan(" ".join(["before"] * 30 + mit[: len(mit) // 2] + inside + mit[len(mit) // 2 :] + ["after"]).encode())
+        assert finds == [("MIT", 30, 30 + own + n, 1.0)]
+    thin = " ".join(f"{w} x y" for w in mit)
+    assert not ls.Scanner(ls.TEMPLATES).scan(thin.encode())
+
+
+def test_long_texts_of_common_words_cost_in_proportion():
+    began = time.monotonic()
+    rng = random.Random(9)
+    common = "the of and this is to in or be with for work software license version public general under".split()
+    text = " ".join(rng.choice(common) for _ in range(200_000))
+    ls.Scanner(ls.TEMPLATES).scan(text.encode())
+    assert time.monotonic() - began < 60

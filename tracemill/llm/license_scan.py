@@ -1,13 +1,19 @@
 """License scans by patience alignment.
 
-A text's words are looked up in the templates' vocabulary. Where enough words of
-a template lie close together (a bound on the coverage, so nothing is missed by
-it), the stretch is aligned: common ends are matched first, then words that
-occur once in both sides anchor the alignment along their longest increasing
-subsequence, and the gaps between anchors are aligned in the same way. The
-coverage is the share of the template's words that are matched. After a find
-the search goes on behind it, so repeated notices are all found; of finds that
-overlap the one with more matched words (then the better coverage) stays.
+A text's words are looked up in the templates' vocabulary. From each word of a
+template two stretches are aligned, one a quarter longer than the template and
+one 1 / ``density`` times as long: common ends are matched first, then words
+that occur once in both sides anchor the alignment along their longest
+increasing subsequence, and the gaps between anchors are aligned in the same
+way. The coverage is the share of the template's words that are matched; of the
+two alignments the one with more matched words (then the shorter) stands. A
+notice whose words make less than ``density`` of the stretch that they span is
+none, by definition: words spread so thin are ordinary prose. Stretches that
+hold too few of the template's words, each counted as often as the template has
+it at most, cannot reach the coverage and are passed over, so nothing is missed
+by that. After a find the search goes on behind it, so repeated notices are all
+found; of finds that overlap the one with more matched words (then the better
+coverage) stays.
 
 Defined results: a null, empty or word-free text has no finds; templates
 without words are ignored; of equal finds the template that sorts first wins;
@@ -28,7 +34,7 @@ from pyspark.sql import functions as F
 
 from tracemill.llm.common import map_texts
 
-COVERAGE = 0.8
+COVERAGE, DENSITY = 0.8, 0.5
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -60,7 +66,7 @@ def words(text: bytes) -> list[bytes]:
 
 
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The longest subsequence of pairs (ordered by the first) that increases in the second, by patience sorting."""
+    """The longest subsequence of pairs (ordered by the first) that increases in the second, by patience sorting (of equally long ones, the one whose places come first)."""
     tops: list[int] = []
     cards: list[int] = []
     back = [-1] * len(pairs)
@@ -105,8 +111,8 @@ def align(a: list, b: list) -> list[tuple[int, int]]:
 
 
 class Scanner:
-    def __init__(self, templates: dict[str, str], coverage: float = COVERAGE):
-        self.coverage = coverage
+    def __init__(self, templates: dict[str, str], coverage: float = COVERAGE, density: float = DENSITY):
+        self.coverage, self.density = coverage, density
         self.vocabulary: dict[bytes, int] = {}
         self.templates = [(name, [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in ws]) for name, t in sorted(templates.items()) if (ws := words(t.encode()))]
         size = len(self.vocabulary)
@@ -145,30 +151,46 @@ class Scanner:
                 out.append((name, start, end, share))
         return sorted(out, key=lambda f: (f[1], f[0]))
 
+    def _starts(self, ids: np.ndarray, t: int, width: int, least: int) -> np.ndarray:
+        """Places from which ``width`` words hold enough of the template's words, each counted as often as the template has it at most."""
+        count = Counter(self.templates[t][1])
+        ends = np.minimum(np.arange(len(ids)) + width, len(ids))
+        plain = np.r_[0, np.cumsum(self.member[t][ids])]
+        rough = np.flatnonzero((plain[ends] - plain[:-1] >= least) & self.member[t][ids])
+        if not len(rough):
+            return rough
+        held = np.zeros(len(rough), np.int64)
+        for w, most in count.items():
+            at = np.flatnonzero(ids == w)
+            held += np.minimum(np.searchsorted(at, ends[rough]) - np.searchsorted(at, rough), most)
+        return rough[held >= least]
+
     def _find(self, ids: np.ndarray, t: int) -> list[tuple[str, int, int, float, int]]:
         name, own = self.templates[t]
         least = int(-(-len(own) * self.coverage // 1))
-        width = len(own) + max(3, len(own) // 4)
-        total = np.r_[0, np.cumsum(self.member[t][ids])]
-        ends = np.minimum(np.arange(len(ids)) + width, len(ids))
-        dense = np.flatnonzero((total[ends] - total[:-1] >= least) & self.member[t][ids])
+        near, wide = len(own) + max(3, len(own) // 4), int(-(-len(own) // self.density))
+        first = set(own[: len(own) - least + 1])  # an alignment that starts with a later word is too short
         out, behind = [], 0
-        for start in dense.tolist():
-            if start < behind:
+        for start in self._starts(ids, t, max(near, wide), least).tolist():
+            if start < behind or int(ids[start]) not in first:
                 continue
-            pairs = align(own, ids[start : start + width].tolist())
-            if len(pairs) >= least and pairs[0][1] == 0:
-                behind = start + pairs[-1][1] + 1
-                out.append((name, start, behind, len(pairs) / len(own), len(pairs)))
+            best: tuple = ()
+            for width in sorted({near, max(near, wide)}):
+                pairs = align(own, ids[start : start + width].tolist())
+                if len(pairs) >= least and pairs[0][1] == 0 and len(pairs) >= self.density * (pairs[-1][1] + 1):
+                    best = max(best, (len(pairs), -pairs[-1][1]))
+            if best:
+                behind = start - best[1] + 1
+                out.append((name, start, behind, best[0] / len(own), best[0]))
         return out
 
 
-def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
+def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, coverage: float = COVERAGE, density: float = DENSITY) -> DataFrame:
     """One row per document: id, n_licenses, license (of best coverage), coverage, finds (template, start, end in words, coverage)."""
     given = templates if templates is not None else TEMPLATES
 
     def rows_of(texts: list[bytes]) -> Iterable[tuple]:
-        scanner = Scanner(given, coverage)
+        scanner = Scanner(given, coverage, density)
         for t in texts:
             finds = scanner.scan(t)
             yield ([{"template": n, "start": a, "end": b, "coverage": round(c, 6)} for n, a, b, c in finds],)
