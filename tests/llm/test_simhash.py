@@ -82,12 +82,12 @@ def test_forest_search_equals_all_pairs(seed):
     assert got == want
 
 
-@pytest.mark.parametrize(("seed", "shard_rows"), [(1, 4096), (2, 16)])
-def test_links_and_components_equal_all_pairs(spark, seed, shard_rows):
+@pytest.mark.parametrize(("seed", "shard_rows", "task_edges", "n"), [(1, 8192, 1_000_000, 10**6), (2, 16, 5, 10**6), (3, 64, 1_000_000, 300), (4, 8192, 0, 10**8), (5, 8192, 20, 5000)])
+def test_links_and_components_equal_all_pairs(spark, seed, shard_rows, task_edges, n):
     fps = sorted(set(clusters(seed)) | {0, 1, 3})
     signed = [f - (f >> 63 << 64) for f in fps]
     nodes = spark.createDataFrame([(f,) for f in signed], "fp bigint")
-    labels = {r.fp % 2**64: r.label for r in simhash.components(simhash.links(nodes, 10**6, shard_rows=shard_rows)).collect()}
+    labels = {r.fp % 2**64: r.label for r in simhash.components(simhash.links(nodes, n, shard_rows=shard_rows), task_edges=task_edges).collect()}
     want = brute_components([(i, f) for i, f in enumerate(fps)])
     groups, mine = {}, {}
     for i, f in enumerate(fps):
@@ -120,3 +120,28 @@ def test_keep_one_decides_by_row(spark):
     rows = [(3, x, 1), (5, near, 2), (5, y, 3), (5, y, 4), (None, z, 5), (None, z, 6), (None, z.upper(), 7), (None, x, 8), (7, z, 9)]
     kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string, n int")).collect()
     assert sorted((str(r.doc_id), r.text.lower()) for r in kept) == sorted([("3", x), ("5", y), ("7", z), ("None", z), ("None", x)])
+
+
+@pytest.mark.parametrize("n", [0, 1, 2048, 10**5, 10**7, 10**9, 10**11])
+def test_shards_lose_no_link_and_hold_thousands(n):
+    masks = [m % 2**64 for m in simhash._masks(n, 4)]
+    rng = random.Random(n)
+    for _ in range(300):
+        differ = sum(1 << b for b in rng.sample(range(64), 4))
+        assert any(not m & differ for m in masks)
+    size = n / 2 ** min(m.bit_count() for m in masks)
+    assert size <= 4096 and (n <= 2048 or size > 1000)
+
+
+def test_a_tree_prunes(spark):
+    rng = random.Random(7)
+    fps = np.array([rng.getrandbits(64) for _ in range(2000)], np.uint64)
+    forest = simhash.BKForest(fps, np.zeros(2000, np.int64))
+    queries, node, seen = np.arange(2000), forest.root[np.arange(2000)], 0
+    while len(queries):  # the same walk, counting
+        seen += len(queries)
+        d = np.bitwise_count(fps[queries] ^ fps[node]).astype(np.int64)
+        low, high = forest.place[node * 65 + np.maximum(d - 4, 0)], forest.place[node * 65 + np.minimum(d + 4, 64) + 1]
+        node = np.concatenate([forest.child[a:b] for a, b in zip(low, high)]).astype(np.int64)
+        queries = np.repeat(queries, high - low)
+    assert seen < 0.5 * 2000 * 2000

@@ -3,14 +3,19 @@
 Fingerprints are linked when they differ in at most ``radius`` bits. The 64
 bits are cut into m blocks; two such fingerprints agree on at least m - radius
 of them, so for each choice of m - radius blocks the fingerprints that agree
-there form a shard, and every link lies within a shard. m grows with the
-number of fingerprints (shards stay small); no choice of m loses a link. Each
-shard becomes a BK-tree (children keyed by their integer Hamming distance to
-the parent) and each member follows only edges within the radius. A task holds
-the forest of many small shards at a time. A shard of more than ``shard_rows``
-fingerprints is cut into slices, and every pair of slices has a tree of its
-own, so a task holds two slices at most. Of a shard only a spanning star
-leaves the task, never its pairs.
+there (in the first bits of the choice, as many as leave a shard about
+``shard_nodes`` members) form a shard, and every link lies within a shard. m is
+radius + 1 as long as that leaves at most twice ``shard_nodes`` members, and
+grows beyond; no choice loses a link. Each shard becomes a BK-tree (children
+keyed by their integer Hamming distance to the parent) that is sent to the task
+which holds the shard's members, and each member follows only edges within the
+radius. All trees together hold every fingerprint several times, so they are
+not broadcast from the driver, which must not see them. A task holds the forest
+of a few shards at a time. A shard of more than ``shard_rows`` fingerprints is
+cut into slices, and every pair of slices has a tree of its own, so a task holds
+two slices at most. Of a shard only a spanning star leaves the task, never its
+pairs. Stars are contracted by joins until ``task_edges`` edges at most are
+left, which one task joins up.
 
 Defined results: a null, empty or word-free text has fingerprint zero, linked
 like any other; fewer words than a shingle make one shingle; equal rows give
@@ -34,10 +39,12 @@ from pyspark.sql import functions as F
 from tracemill.llm.common import LOWER_BYTES, checkpointed, map_texts
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
-#: Fingerprints of a shard (or slice of one) that one tree holds at most.
-SHARD_ROWS = 4096
-_KEY, _KEPT, _PLACE = "__tracemill_row", "__tracemill_kept", "__tracemill_place"  # names that no input has
-_PAIRS = 2_000_000  # query-node pairs that a search holds at a time
+#: Fingerprints of a shard, about, and what one tree (of a shard or a slice of one) holds at most.
+SHARD_NODES, SHARD_ROWS = 2048, 8192
+#: Edges that one task joins up, at most.
+TASK_EDGES = 1_000_000
+_KEY, _KEPT, _PLACE, _COPIES = "__tracemill_row", "__tracemill_kept", "__tracemill_place", "__tracemill_copies"  # names that no input has
+_PAIRS = 4_000_000  # query-node pairs that a search holds at a time
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -100,20 +107,26 @@ class BKForest:
         # of each (parent, distance) only the first member is the child; the others lie below it
         key = parent[child] * 65 + edge[child]
         order = np.argsort(key, kind="stable")
-        self.child, self.key = child[order], key[order]
+        self.child = child[order].astype(np.int32)
+        #: Of each node and distance, the place of its first child at that distance or beyond.
+        self.place = np.zeros(n * 65 + 1, np.int32)
+        np.cumsum(np.bincount(key, minlength=n * 65), out=self.place[1:])
 
     def within(self, queries: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs (query, node) of a shard within the radius, query's own node included, as arrays."""
-        q, node = queries, self.root[queries]
+        q, node = queries.astype(np.int32), self.root[queries].astype(np.int32)
         while len(q):
             d = np.bitwise_count(self.fps[q] ^ self.fps[node]).astype(np.int64)
             near = d <= radius
             yield q[near], node[near]
-            low = np.searchsorted(self.key, node * 65 + np.maximum(d - radius, 0), "left")
-            high = np.searchsorted(self.key, node * 65 + np.minimum(d + radius, 64), "right")
-            count = high - low
+            base = node.astype(np.int64) * 65
+            low = self.place[base + np.maximum(d - radius, 0)]
+            count = self.place[base + np.minimum(d + radius, 64) + 1] - low
+            some = count > 0
+            q, low, count = q[some], low[some], count[some]
+            ends = np.cumsum(count)
             q = np.repeat(q, count)
-            node = self.child[np.repeat(low - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(len(q))]
+            node = self.child[np.repeat(low - ends + count, count) + np.arange(len(q))]
 
 
 class Roots:
@@ -153,20 +166,24 @@ def stars(fps: np.ndarray, shard: np.ndarray, radius: int) -> tuple[np.ndarray,
     return fps[linked], fps[sets.up[linked]]
 
 
-def _masks(n: int, radius: int) -> list[int]:
+def _masks(n: int, radius: int, shard_nodes: int = SHARD_NODES) -> list[int]:
     """Bit masks of the block choices, for about n fingerprints."""
     m = radius + 1
-    while (m - radius) * 64 // m < math.log2(max(n, 2)) - 3:
+    while n >> (m - radius) * (64 // m) > 2 * shard_nodes and m < 32:
         m += 1
     ends = [64 * i // m for i in range(m + 1)]
-    blocks = [(1 << b) - (1 << a) for a, b in zip(ends, ends[1:])]
-    signed = lambda x: x - (x >> 63 << 64)
-    return [signed(sum(c)) for c in combinations(blocks, m - radius)]
+    bits = max(0, math.ceil(math.log2(max(n / shard_nodes, 1))))
+    out = []
+    for chosen in combinations(range(m), m - radius):
+        places = [b for c in chosen for b in range(ends[c], ends[c + 1])][:bits]
+        mask = sum(1 << b for b in places)
+        out.append(mask - (mask >> 63 << 64))
+    return out
 
 
-def links(nodes: DataFrame, n: int, *, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def links(nodes: DataFrame, n: int, *, radius: int = RADIUS, shard_nodes: int = SHARD_NODES, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(u, v) fingerprints that are linked, as stars within shards; nodes has each fingerprint once, as fp."""
-    choices = [F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(mask)).alias("part")) for i, mask in enumerate(_masks(n, radius))]
+    choices = [F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(mask)).alias("part")) for i, mask in enumerate(_masks(n, radius, shard_nodes))]
     keyed = nodes.select("fp", F.explode(F.array(*choices)).alias("c")).select("fp", F.xxhash64("c.i", "c.part").alias("shard"))
     large = checkpointed(keyed.groupBy("shard").count().filter(F.col("count") > shard_rows))
     if large.count():
@@ -198,17 +215,35 @@ def links(nodes: DataFrame, n: int, *, radius: int = RADIUS, shard_rows: int = S
     return keyed.select("shard", "fp").repartition("shard").sortWithinPartitions("shard", "fp").mapInArrow(run, "u bigint, v bigint")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _joined_up(edges: DataFrame) -> DataFrame:
+    """(a, b): the least fingerprint that is reachable, for each end of so few edges that one task holds them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [np.column_stack([b.column(0).to_numpy(), b.column(1).to_numpy()]) for b in batches]
+        ends = np.concatenate(rows) if rows else np.empty((0, 2), np.int64)
+        names, place = np.unique(ends, return_inverse=True)
+        place, sets = place.reshape(-1, 2), Roots(len(names))
+        sets.join(place[:, 0], place[:, 1])
+        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(names[sets.up])], names=["a", "b"])
+
+    return edges.select("u", "v").coalesce(1).mapInArrow(run, "a bigint, b bigint")
+
+
+def components(edges: DataFrame, *, task_edges: int = TASK_EDGES) -> DataFrame:
     """(fp, label) for each fingerprint with an edge: equal labels for those that are connected.
 
     Each round every fingerprint joins the least of itself and its neighbours, by
     a hash order that the round changes; the edges between those that are left go
     into the next round. In such an order the rest shrinks by a constant share.
+    The last ``task_edges`` edges are joined up in one task.
     """
     edges = checkpointed(edges.distinct())
     labels = checkpointed(edges.select(F.explode(F.array("u", "v")).alias("fp")).distinct().withColumn("label", F.col("fp")))
     turn = 0
-    while not edges.isEmpty():
+    while (left := edges.count()) > 0:
+        if left <= task_edges:
+            to = checkpointed(_joined_up(edges))
+            return checkpointed(labels.join(to, labels["label"] == to["a"], "left").select("fp", F.coalesce("b", "label").alias("label")))
         rank = lambda c: F.struct(F.xxhash64(F.lit(turn), F.col(c)).alias("h"), F.col(c).alias("x"))
         both = edges.select("u", rank("v").alias("r")).union(edges.select(F.col("v").alias("u"), rank("u").alias("r")))
         to = checkpointed(both.groupBy("u").agg(F.min("r").alias("r")).select(F.col("u").alias("a"), F.least(rank("u"), F.col("r"))["x"].alias("b")))
@@ -219,15 +254,15 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, shard_nodes: int = SHARD_NODES, shard_rows: int = SHARD_ROWS, task_edges: int = TASK_EDGES) -> DataFrame:
     """One row per document: id, fp (signed long), fingerprint (hex), component_id (least id that is reachable)."""
     rows = checkpointed(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle))
     nodes = checkpointed(rows.groupBy("fp").agg(F.min(id_col).alias("least")))
-    labels = components(links(nodes, nodes.count(), radius=radius, shard_rows=shard_rows))
+    labels = components(links(nodes, nodes.count(), radius=radius, shard_nodes=shard_nodes, shard_rows=shard_rows), task_edges=task_edges)
     grouped = nodes.join(labels, "fp").select("fp", "label", "least")
-    whole = grouped.groupBy("label").agg(F.min("least").alias("whole"))
+    # both right sides are written first, so that the joins read plain shuffles and the partition of a large component can be split
+    whole = checkpointed(grouped.groupBy("label").agg(F.min("least").alias("whole")))
     linked = grouped.join(whole, "label").select("fp", "whole")
-    # written first, so that the last join reads two shuffles and its skewed partitions can be split
     owner = checkpointed(nodes.join(linked, "fp", "left").select("fp", F.coalesce("whole", "least").alias("component_id")))
     return rows.join(owner, "fp").select(id_col, "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
@@ -241,7 +276,14 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     keyed = docs.withColumn(_KEY, F.struct(F.col(id_col).isNull().alias("unnamed"), F.col(id_col).alias("id"), digest.alias("digest")))
     # a key has one text and so one component, which makes the least key the component's own
     marked = near_duplicates(keyed, id_col=_KEY, text_col=text_col, **options)
-    kept = marked.groupBy("component_id", F.col(f"{_KEY}.unnamed").alias("unnamed")).agg(F.min(_KEY).alias(_KEPT)).select(_KEPT)
+    keys = marked.groupBy(_KEY).agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("copies"))
+    best = keys.groupBy("component_id", F.col(f"{_KEY}.unnamed").alias("unnamed")).agg(F.min(F.struct(_KEY, "copies")).alias("best"))
+    kept = checkpointed(best.select(F.col(f"best.{_KEY}").alias(_KEPT), F.col("best.copies").alias(_COPIES)))
+    # nothing is asked of the join's partitioning, so a key that very many rows share can be split
+    one = keyed.join(kept.filter(F.col(_COPIES) == 1), F.col(_KEY) == F.col(_KEPT), "left_semi").drop(_KEY)
+    several = kept.filter(F.col(_COPIES) > 1)
+    if several.isEmpty():
+        return one
     row = F.row_number().over(Window.partitionBy(_KEY).orderBy(F.xxhash64(*(c for c, t in docs.dtypes if "map<" not in t))))
-    once = keyed.join(kept, keyed[_KEY] == kept[_KEPT], "left_semi").withColumn(_PLACE, row)
-    return once.filter(F.col(_PLACE) == 1).drop(_PLACE, _KEY)
+    repeated = keyed.join(several, F.col(_KEY) == F.col(_KEPT), "left_semi").withColumn(_PLACE, row)
+    return one.unionByName(repeated.filter(F.col(_PLACE) == 1).drop(_PLACE, _KEY))
