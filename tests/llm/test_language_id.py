@@ -117,3 +117,24 @@ def test_a_model_over_the_bound_loses_nothing(spark, odd):
         for a, b in zip(joined, whole, strict=True):
             assert a[:3] == b[:3] and a[5:] == b[5:] and a[3] == pytest.approx(b[3], abs=1e-4)
             assert a[4] == pytest.approx(b[4], abs=1e-5) if b[4] is not None else a[4] is None
+
+
+def test_limits_are_learned_from_labelled_rows_alone(spark):
+    rng = random.Random(10)
+    de = "der die das und nicht einer schon haben werden".split()
+    rows = [(i, sentences(rng, de, 60), "de") for i in range(200)]
+    noise = [(1000 + i, "".join(rng.choice("derianst ") for _ in range(400)), None) for i in range(400)]
+    limit = lambda rows: {r.doc_id for r in li.identify(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).filter("rejected").collect()}
+    assert limit(rows + noise) == {i for i, _, _ in noise} | limit(rows)
+
+
+def test_sixty_languages_stay_within_the_table_and_none_is_lost(spark):
+    rng = random.Random(11)
+    rows = []
+    for k in range(60):
+        words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(12)]
+        rows += [(k * 10 + i, sentences(rng, words, 30), f"l{k:02d}") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    for bound in (li.MAX_NGRAMS, 2000):  # fitted on the driver; kept in tables, since 60 columns make too many cells
+        got = li.identify(docs, max_ngrams=bound).collect()
+        assert len(got) == len(rows) and all(r.lang_pred == f"l{r.doc_id // 10:02d}" for r in got if not r.held_out)

@@ -9,16 +9,17 @@ with one column of log-probabilities per language; a text's score under a
 language is its cross-entropy per character, over all its characters, and the
 lowest wins (ties: the first language by name).
 
-A model of at most ``max_ngrams`` distinct 4-grams in every language is fitted
-on the driver and broadcast. A larger one stays in Spark tables: discounts,
+A model of at most ``max_ngrams`` distinct 4-grams in every language, and of at
+most 8 * ``max_ngrams`` table cells (4-grams of all languages times languages),
+is fitted on the driver and broadcast. A larger one stays in Spark tables: discounts,
 totals and continuation counts come from all 4-grams, the most frequent 4-grams
-(``max_ngrams`` times the languages, at most) are broadcast with their
+(as many as give 8 * ``max_ngrams`` cells, at most) are broadcast with their
 probabilities, and a text's other 4-grams find theirs by joins. Nothing is pruned, so the two ways agree (to the
 2^-24 bits to which the second rounds each 4-gram); ``max_ngrams`` only bounds
 what the driver collects and the executors hold.
 
 Rejection is calibrated per language: the limit lies midway between the upper
-quartile of the training documents' own cross-entropies and the entropy of the
+quartile of the labelled training documents' own cross-entropies and the entropy of the
 language's single characters, which is what text without its structure costs.
 Short texts vary more, so ``slack`` / sqrt(characters) is added. A text over
 its limit, or without letters, is rejected.
@@ -52,7 +53,7 @@ _BOTH = "__tracemill_both"  # a name that no input has
 
 @lru_cache(maxsize=1)
 def _letters() -> np.ndarray:
-    """Of each code point, 16 bits of its lower-case letter, or 0."""
+    """Of each code point, 16 bits of its lower-case letter, or 0; letters beyond the first 65,536 code points share them with others."""
     out = np.zeros(0x110000, np.uint16)
     for cp in range(0x110000):
         c = chr(cp)
@@ -275,7 +276,7 @@ def join_model(counts: DataFrame, langs: list[str], max_ngrams: int) -> Joined:
     # the most frequent keys: the count they need comes from a histogram of counts
     total = grams[0].select("key", F.aggregate("of", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n"))
     share = total.groupBy("n").count().withColumn("upto", F.sum("count").over(Window.orderBy(F.col("n").desc())))
-    least = share.filter(F.col("upto") <= max_ngrams * len(langs)).agg(F.min("n")).first()[0]
+    least = share.filter(F.col("upto") <= 8 * max_ngrams // len(langs)).agg(F.min("n")).first()[0]
     hot = logs(total.filter(F.lit(False) if least is None else F.col("n") >= least).select("key")).toArrow()
     keys_at_hand = hot.column("key").to_numpy().view(np.uint64)
     order = np.argsort(keys_at_hand)
@@ -286,7 +287,7 @@ def join_model(counts: DataFrame, langs: list[str], max_ngrams: int) -> Joined:
 def train(labelled: DataFrame, *, lang_col: str = "lang", text_col: str = "text", max_ngrams: int = MAX_NGRAMS) -> Model | Joined:
     counts = checkpointed(count_ngrams(labelled, lang_col, text_col))
     size = counts.groupBy("lang").count().collect()  # a row per language
-    if any(r["count"] > max_ngrams for r in size):
+    if any(r["count"] > max_ngrams for r in size) or sum(r["count"] for r in size) * len(size) > 8 * max_ngrams:
         return join_model(counts, sorted(r["lang"] for r in size), max_ngrams)
     table = counts.toArrow()
     found = {}
@@ -371,14 +372,12 @@ def identify(docs: DataFrame, *, id_col: str = "doc_id", fold_col: str | None =
     """
     held_out = is_held_out(fold_col or id_col)
     model = train(docs.filter(~held_out & F.col(lang_col).isNotNull()), lang_col=lang_col, text_col=text_col, max_ngrams=max_ngrams)
-    rows = docs if fold_col is None else docs.withColumn(_BOTH, F.struct(F.col(id_col).alias("id"), F.col(fold_col).alias("fold")))
-    key = id_col if fold_col is None else _BOTH
-    scored = score_texts(rows, model, id_col=key, text_col=text_col)
-    if fold_col is None:
-        scored = checkpointed(scored.withColumn("held_out", held_out))
-    else:
-        scored = checkpointed(scored.withColumns({id_col: F.col(f"{_BOTH}.id"), "held_out": is_held_out(f"{_BOTH}.fold")}))
-    quartiles = scored.filter("not held_out and cross_entropy is not null").groupBy("lang_pred").agg(F.percentile_approx("cross_entropy", 0.75, 10000).alias("usual")).collect()  # a row per language
+    # what decides the limits goes through the scoring with the id: the fold, and whether the row has a label
+    both = F.struct(F.col(id_col).alias("id"), held_out.alias("held_out"), F.col(lang_col).isNotNull().alias("labelled"))
+    scored = score_texts(docs.withColumn(_BOTH, both), model, id_col=_BOTH, text_col=text_col)
+    scored = checkpointed(scored.withColumns({id_col: F.col(f"{_BOTH}.id"), "held_out": F.col(f"{_BOTH}.held_out")}))
+    learned = scored.filter(~F.col("held_out") & F.col(f"{_BOTH}.labelled") & F.col("cross_entropy").isNotNull())
+    quartiles = learned.groupBy("lang_pred").agg(F.percentile_approx("cross_entropy", 0.75, 10000).alias("usual")).collect()  # a row per language
     usual = {r["lang_pred"]: r["usual"] for r in quartiles}
     limit = F.lit(None).cast("double")
     for lang, entropy in zip(model.langs, model.entropy, strict=True):
