@@ -61,3 +61,28 @@ def test_spans_are_cut():
     text = "Keep this. Drop, THESE words! And keep é that."
     spans = [{"start": 2, "end": 5}]
     assert sa.cut_spans(text, spans) == "Keep this. ! And keep é that." and sa.cut_spans(None, spans) is None and sa.cut_spans(text, []) == text
+
+
+@pytest.mark.parametrize("block", [1_000_000, 20])
+def test_cleaned_documents_equal_brute_force(spark, odd, block):
+    rng = random.Random(6)
+    item = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
+    rows = []
+    for i in range(40):
+        words = [rng.choice("alpha beta gamma delta".split()) for _ in range(rng.choice([10, 200, 600]))]
+        at = rng.randrange(len(words))
+        rows.append((i, ", ".join([*words[:at], *(item.split() if i % 2 else item.split()[: i % 14]), *words[at:]]), i))
+    docs = spark.createDataFrame([*rows, (None, None, 1), (7, "", 2)], "doc_id bigint, text string, spans int")
+    items = [(1, item), (2, "short item of six words here"), (3, "alpha omega")]
+    got = {r["spans"]: (r.doc_id, r.text) for r in sa.cleaned(docs, item_table(spark, items), block_chars=block).filter("doc_id is not null and text <> ''").collect()}
+    for i, text, _ in rows:
+        n, hit, _ = brute(text, items)
+        assert (i in got) == (not hit or 20 * hit < n)
+        if i in got:
+            left = brute_words(text)
+            whole = [w for w in brute_words(item)]
+            places = [k for k in range(len(left) - 12) if any(left[k : k + 13] == whole[a : a + 13] for a in range(2))]
+            gone = {p for k in places for p in range(k, k + 13)}
+            assert brute_words(got[i][1]) == [w for k, w in enumerate(left) if k not in gone] and got[i][0] == i
+    assert sa.cleaned(docs, item_table(spark, items), block_chars=block).columns == docs.columns
+    assert sa.cleaned(odd, item_table(spark, [])).count() == odd.count()

@@ -5,7 +5,9 @@ streamed through it word by word while the longest match that ends at each
 word is tracked; wherever that match covers a whole window (13 consecutive
 item words, or all words of a shorter item), the words of the window are hit.
 Words that no item holds reset the automaton, so only runs of known words at
-least as long as the shortest window are walked; that is exact.
+least as long as the shortest window are walked; that is exact. ``cleaned``
+applies both limits: documents over the coverage limit go, and from the others
+the spans of at least ``least_words`` hit words are cut.
 
 Defined results: a null, empty or word-free text has no words and no hits; an
 item with a null or word-free text has no window; an item whose id is null
@@ -21,7 +23,7 @@ from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.llm.common import LOWER_BYTES, checkpointed, map_texts
@@ -29,6 +31,7 @@ from tracemill.llm.common import LOWER_BYTES, checkpointed, map_texts
 WINDOW = 13
 #: Items are taken in blocks of at most so many characters, each with an automaton of its own.
 BLOCK_CHARS = 1_000_000
+_ROW, _TEXT = "__tracemill_whole_row", "__tracemill_text"  # names that no input has
 _WORD_BYTES = bytes(LOWER_BYTES[c] if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 FIELDS = [("n_words", "bigint"), ("n_hit", "bigint"), ("longest", "bigint"), ("items", "array<string>"), ("spans", "array<struct<start:bigint,end:bigint>>")]
 
@@ -171,12 +174,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
     first, second = next(blocks, []), next(blocks, None)
     if second is None:
         return _scan(docs, first, id_col, text_col, window)
-    # several blocks: number the rows once, so that each block's rows can be joined again
-    numbered = checkpointed(docs.select(F.struct(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row")).alias("_key"), F.col(text_col).alias("_text")))
-    whole = _scan(numbered, first, "_key", "_text", window)
+    # several blocks: number the rows once, so that each block's findings can be put together by number
+    numbered = checkpointed(docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_key"), F.col(text_col).alias("_text")))
+    whole = _scan(numbered, first, "_row", "_text", window)
     for block in (second, *blocks):
-        whole = checkpointed(whole.unionByName(_scan(numbered, block, "_key", "_text", window)).transform(_merged))
-    return whole.select(F.col("_key.id").alias(id_col), *(n for n, _ in FIELDS))
+        whole = checkpointed(whole.unionByName(_scan(numbered, block, "_row", "_text", window)).transform(_merged))
+    return numbered.select("_row", "_key").join(whole, "_row").select(F.col("_key").alias(id_col), *(n for n, _ in FIELDS))
 
 
 def _scan(docs: DataFrame, block: list[tuple[str | None, bytes]], id_col: str, text_col: str, window: int) -> DataFrame:
@@ -190,8 +193,8 @@ def _scan(docs: DataFrame, block: list[tuple[str | None, bytes]], id_col: str, t
 
 
 def _merged(both: DataFrame) -> DataFrame:
-    """One row for each _key from the rows of two blocks: items and spans united."""
-    one = both.groupBy("_key").agg(
+    """One row for each _row from those of two blocks: items and spans united."""
+    one = both.groupBy("_row").agg(
         F.first("n_words").alias("n_words"), F.max("longest").alias("longest"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
         F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
@@ -203,7 +206,7 @@ def _merged(both: DataFrame) -> DataFrame:
         F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(last(out)["start"].alias("start"), F.greatest(last(out)["end"], s["end"]).alias("end")))),
     ).otherwise(F.concat(out, F.array(s))).cast(kind))
     one = one.withColumn("spans", union)
-    return one.withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])).select("_key", *(n for n, _ in FIELDS))
+    return one.withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])).select("_row", *(n for n, _ in FIELDS))
 
 
 def verdicts(scanned: DataFrame, *, share: int = 20) -> DataFrame:
@@ -233,5 +236,20 @@ def cut_spans(text: str | None, spans: list[dict]) -> str | None:
     return b"".join([*out, raw[kept:]]).decode("utf-8", "replace")
 
 
+def without_spans(text: Column, spans: Column) -> Column:
+    """``cut_spans`` of columns, in Arrow batches; texts without spans are not sent."""
+    cut = F.pandas_udf(lambda texts, found: texts.combine(found, lambda t, s: cut_spans(t, s if s is not None else [])), "string")
+    return F.when(F.size(spans) > 0, cut(F.when(F.size(spans) > 0, text), spans)).otherwise(text)
+
+
+def cleaned(docs: DataFrame, items: DataFrame, *, text_col: str = "text", least_words: int = WINDOW, share: int = 20, **options) -> DataFrame:
+    """The documents under the coverage limit, in the same columns, without the hit spans of ``least_words`` words or more. Nothing is shuffled where one block holds the items."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(_ROW))
+    found = verdicts(decontaminate(rows.withColumn(_TEXT, F.col(f"{_ROW}.`{text_col}`")), items, id_col=_ROW, text_col=_TEXT, **options), share=share)
+    kept = found.filter(~F.col("contaminated")).withColumn("spans", F.filter("spans", lambda s: s["end"] - s["start"] >= least_words))
+    clean = without_spans(F.col(f"{_ROW}.`{text_col}`"), F.col("spans"))
+    return kept.withColumn(_TEXT, clean).select(*(F.col(_TEXT).alias(c) if c == text_col else F.col(f"{_ROW}.`{c}`").alias(c) for c in docs.columns))
+
+
 def items_digest(items: Iterable[str]) -> str:
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
