@@ -145,3 +145,10 @@ def test_a_tree_prunes(spark):
         node = np.concatenate([forest.child[a:b] for a, b in zip(low, high)]).astype(np.int64)
         queries = np.repeat(queries, high - low)
     assert seen < 0.5 * 2000 * 2000
+
+
+def test_no_fingerprints_have_no_stars(spark):
+    none = np.empty(0, np.uint64)
+    assert [len(x) for x in simhash.stars(none, np.empty(0, np.int64), 4)] == [0, 0]
+    nodes = spark.createDataFrame([(1,), (2,)], "fp bigint")
+    assert simhash.links(nodes.repartition(3), 2).count() == 1

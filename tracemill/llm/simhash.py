@@ -149,6 +149,8 @@ class Roots:
 
 def stars(fps: np.ndarray, shard: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """(fingerprint, centre) for each fingerprint that has links within its shard; centres are the sets' first members."""
+    if not len(fps):
+        return fps, fps
     order = np.argsort(shard, kind="stable")
     fps, shard = fps[order], shard[order]
     sizes = np.diff(np.flatnonzero(np.r_[True, shard[1:] != shard[:-1], True]))
