@@ -101,6 +101,14 @@ def trace_facts(executions: DataFrame, case: str = "case_id") -> DataFrame:
     )
 
 
+def retrospective(cases: DataFrame) -> DataFrame:
+    """by category, what a changed protocol lets one say about old records: rows of category, requires_new_inference, execution_success, task_success."""
+    eligible = ~F.col("requires_new_inference")
+    return cases.groupBy("category").agg(
+        F.count(F.lit(1)).alias("cases"), F.count_if(~eligible).alias("requires_new_inference"), F.count_if(eligible).alias("eligible"),
+        F.count_if(eligible & F.col("execution_success")).alias("execution_success"), F.count_if(eligible & F.col("task_success").isNull()).alias("answer_review_pending"))
+
+
 # fixed values: state fields with their types and labels
 FACT_FIELDS = {"current_page": ("STRING", "最终页面"), "graphics_preset": ("STRING", "画质"), "battle_hud_visible": ("BOOLEAN", "HUD"), "black_screen": ("BOOLEAN", "黑屏")}
 

@@ -492,7 +492,7 @@ def _rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_REWARDS}, s AS (SELECT *, avg(r) OVER (PARTITION BY source) AS m, stddev_pop(r) OVER (PARTITION BY source) AS d FROM w)
 SELECT doc_id, source, round(m, 9) AS mean, round(d, 9) AS deviation, round(CASE WHEN d = 0 THEN 0 ELSE (r - m) / (d + 1e-8) END, 6) AS advantage FROM s""")
 def group_advantages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """advantages within groups, by population deviation."""
+    """Advantages within groups, by population deviation."""
     out = selection.advantages(_rewards(spark, sf_dir), "source", "r")
     return out.select("doc_id", "source", F.round("mean", 9).alias("mean"), F.round("deviation", 9).alias("deviation"), F.round("advantage", 6).alias("advantage"))
 
@@ -632,7 +632,7 @@ def txn_split_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_PROFILES}, n AS (SELECT *, CASE WHEN split = 'train' THEN 42 ELSE 16 END AS n FROM a)
 SELECT split, sum(n)::BIGINT AS cases, sum(n)::BIGINT AS passed, 0::BIGINT AS mismatched, 0::BIGINT AS violations, sum(n * calls)::BIGINT AS tool_calls FROM n GROUP BY split""")
 def txn_replay_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K2-K4, M8: the teacher's traces of all cases, replayed and judged; the closed form says what must come out."""
+    """The teacher's traces of all cases, replayed and judged; the closed form says what must come out."""
     cases = generators.transaction_cases(spark)
     judged = replay.audit(replay.teacher_traces(cases.repartition("case_id")))
     return judged.join(cases.select("case_id", "split"), "case_id").groupBy("split").agg(
@@ -656,7 +656,7 @@ count(*) FILTER (tool = 'view' AND target = case_id % 100) AS hit FROM log GROUP
 SELECT case_id::VARCHAR AS id, steps::BIGINT AS num_steps, calls::BIGINT AS tool_call_count, failed::BIGINT AS failed_tool_calls, round((calls - failed) / calls, 9) AS execution_success_rate,
 (least(v, 1) + least(c, 1) + least(p, 1))::BIGINT AS tool_true_positives, (calls - least(v, 1) - least(c, 1) - least(p, 1))::BIGINT AS tool_false_positives, least(hit, 1)::DOUBLE AS argument_accuracy, calls <= 60 + case_id % 20 AS task_success FROM n""")
 def case_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records scored under protocol 2.0."""
+    """Records scored under protocol 2.0; a call meets a spec by name and a subset of its arguments."""
     scored = scoring.score_records(_records(spark, sf_dir))
     return scored.select("id", "num_steps", "tool_call_count", "failed_tool_calls", F.round("execution_success_rate", 9).alias("execution_success_rate"), "tool_true_positives", "tool_false_positives", "argument_accuracy", "task_success")
 
@@ -665,7 +665,7 @@ def case_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT CASE WHEN grouping(c) = 0 THEN 'category' WHEN grouping(d) = 0 THEN 'difficulty' ELSE 'overall' END AS scope, coalesce(c, d, '') AS key, count(*)::BIGINT AS num_cases, round(avg(rate), 9) AS execution_success_rate,
 round(avg(task), 9) AS task_success_rate, sum(failed)::BIGINT AS total_failed_tool_calls FROM k GROUP BY GROUPING SETS ((), (c), (d))""")
 def record_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F1, F2, F4 over scored records: the whole path from JSON records to the summary."""
+    """F1, F2, F4, J18 over scored records: the whole path from JSON records to the summary."""
     out = aggregate.summary(scoring.score_records(_records(spark, sf_dir)), ("category", "difficulty"))
     return out.select("scope", "key", "num_cases", F.round("execution_success_rate", 9).alias("execution_success_rate"), F.round("task_success_rate", 9).alias("task_success_rate"), "total_failed_tool_calls")
 
@@ -693,7 +693,7 @@ pilot AS (SELECT k, ending, fault, page, CASE WHEN place <= 16 THEN 'train' WHEN
 @query(f"""WITH {_PILOT} SELECT split, count(*)::BIGINT AS cases, count(DISTINCT k)::BIGINT AS groups, count(*)::BIGINT AS passed, sum(calls)::BIGINT AS tool_calls, sum(fault)::BIGINT AS failed_calls, 1.0::DOUBLE AS tool_f1, 0::BIGINT AS faults
 FROM pilot, (SELECT unnest(['android', 'ios']) AS platform), (SELECT unnest([0, 1]) AS surface) GROUP BY split""")
 def pilot_oracle_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A13, O, F10, K1: the pilot's generated cases run by their own calls; under protocol 2.3 all must pass. The SQL counts calls and failures by rule."""
+    """A13, O, F10, K1, L1: the pilot's generated cases run by their own calls; under protocol 2.3 all must pass. The SQL counts calls and failures by rule."""
     made = studies.pilot_records(spark)
     scored = scoring.score_records(made).join(made.select("id", "split", "group_id"), "id")
     return scored.groupBy("split").agg(F.count(F.lit(1)).alias("cases"), F.countDistinct("group_id").alias("groups"), F.count_if("execution_success").alias("passed"), F.sum("tool_call_count").alias("tool_calls"), F.sum("failed_tool_calls").alias("failed_calls"), F.round(F.avg("tool_f1"), 9).alias("tool_f1"), F.count("fault").alias("faults"))
@@ -767,3 +767,6 @@ def challenge_oracle_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = [scoring.score_records(made(spark)).withColumn("protocol", F.lit(v)) for v, made in sets.items()]
     return scored[0].unionByName(scored[1]).groupBy("protocol", "category").agg(
         F.count(F.lit(1)).alias("cases"), F.count_if("execution_success").alias("passed"), F.sum("tool_call_count").alias("tool_calls"), F.sum("failed_tool_calls").alias("failed_calls"))
+
+
+from tracemill.plans import records  # noqa: E402, F401 - registers the queries over records, sources and audits

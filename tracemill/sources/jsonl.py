@@ -42,9 +42,14 @@ def _unique(df: DataFrame, key: str) -> Column:
 
 
 def cases(spark: SparkSession, path: str) -> DataFrame:
-    """A1: lines with id, query and the first violation; blank lines are skipped."""
+    """A1: the lines of a file, checked."""
+    return check_cases(lines(spark, path))
+
+
+def check_cases(numbered: DataFrame) -> DataFrame:
+    """A1 over file, line and text: id, query and the first violation of each line; blank lines are skipped."""
     text = F.col("text")
-    rows = lines(spark, path).filter(F.trim("text") != "").withColumns({"id": _text_at(text, "$.id"), "query": _text_at(text, "$.query")})
+    rows = numbered.filter(F.trim("text") != "").withColumns({"id": _text_at(text, "$.id"), "query": _text_at(text, "$.query")})
     rows = rows.withColumn("first", _unique(rows, "id"))
     rules = [
         ("not JSON", F.try_parse_json(text).isNotNull()), ("not an object", F.schema_of_variant(F.try_parse_json(text)).startswith("OBJECT")),
@@ -54,10 +59,15 @@ def cases(spark: SparkSession, path: str) -> DataFrame:
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:
-    """A2: result records with case, result, fingerprint and evaluator version, and the first violation of a line."""
+    """A2: the result records of a file, checked."""
+    return check_records(lines(spark, path))
+
+
+def check_records(numbered: DataFrame) -> DataFrame:
+    """A2 over file, line and text: case, result, fingerprint and evaluator version, and the first violation of a line."""
     text = F.col("text")
     part = lambda p: F.to_json(F.try_variant_get(F.try_parse_json(text), p, "variant"))
-    rows = lines(spark, path).filter(F.trim("text") != "").withColumns({
+    rows = numbered.filter(F.trim("text") != "").withColumns({
         "id": _text_at(text, "$.case.id"), "case": part("$.case"), "result": part("$.result"), "metrics": part("$.metrics"),
         "protocol": F.coalesce(_text_at(text, "$.case.protocol_version"), F.lit("2.0")), "evaluator": F.coalesce(_text_at(text, "$.evaluator_version"), F.lit("<legacy>")),
         "fingerprint": F.when(_kind(text, "$.run_metadata").isNull() | (_kind(text, "$.run_metadata") == "VOID"), "<legacy>").otherwise(_text_at(text, "$.run_metadata.fingerprint")),
@@ -73,6 +83,25 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     return _checked(rows, rules).drop("first")
 
 
+def study_records(checked: DataFrame, known: DataFrame, manifest: dict[str, str], protocol: str = "2.4") -> DataFrame:
+    """A3 over checked records: besides A2 a record must be a case that the study knows, unchanged, scored under its protocol, by
+    a run whose fingerprint is the digest of its own metadata and whose metadata name what the manifest (metadata field to value) says.
+
+    ``known`` has id and case (JSON text). More than one metadata text over all rows is for ``mixed`` to find, by fingerprint.
+    """
+    text = F.col("text")
+    meta = F.try_variant_get(F.try_parse_json(text), "$.run_metadata", "map<string,variant>")
+    own = F.to_json(F.map_filter(meta, lambda k, _: k != "fingerprint"))
+    computed = F.sha2(F.to_json(F.try_parse_json(own)).cast("binary"), 256)
+    rows = checked.join(known.select("id", F.to_json(F.try_parse_json("case")).alias("_known")), "id", "left")
+    rules = [
+        ("unknown case", F.col("_known").isNotNull()), ("changed case", F.to_json(F.try_parse_json("case")) == F.col("_known")), ("wrong protocol", F.col("evaluator") == protocol),
+        *((f"other {name}", _text_at(text, f"$.run_metadata.{name}") == value) for name, value in manifest.items()), ("bad fingerprint", F.col("fingerprint") == computed),
+    ]
+    found = _checked(rows.withColumnRenamed("violation", "_first"), rules)
+    return found.withColumn("violation", F.coalesce("_first", "violation")).drop("_first", "_known")
+
+
 def mixed(rows: DataFrame, columns: tuple[str, ...] = ("fingerprint", "evaluator", "protocol")) -> list[str]:
     """The columns that have more than one value; such files are not summed up."""
     found = rows.agg(*(F.count_distinct(c).alias(c) for c in columns)).first()
