@@ -16,9 +16,29 @@ def ranked(df: DataFrame, strata: list[str], order: list[Column], name: str = "r
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*strata).orderBy(*order)))
 
 
+def hash_ranked(df: DataFrame, strata: list[str], key: Column, name: str = "rank", size: str | None = None) -> DataFrame:
+    """Place within the stratum by hash of the key, from 1 (and the stratum's size, if it gets a name).
+
+    The first two hex digits of the hash cut each stratum into 256 ordered parts of about equal size. A task numbers one
+    part; counts per part, which are summed up before anything is shuffled, give what stands before it.
+    """
+    rows = df.withColumn("_digest", digest(key)).withColumn("_part", F.substring("_digest", 1, 2))
+    counts = rows.groupBy(*strata, "_part").agg(F.count(F.lit(1)).alias("_rows"))
+    whole = Window.partitionBy(*strata)
+    before = F.coalesce(F.sum("_rows").over(whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(*(F.col(c).alias(f"_{c}") for c in strata), F.col("_part").alias("_own"), before.alias("_before"), F.sum("_rows").over(whole).alias("_size"))
+    same = F.col("_part") == F.col("_own")
+    for c in strata:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    place = F.row_number().over(Window.partitionBy(*strata, "_part").orderBy("_digest", key.asc()))
+    out = rows.withColumn("_place", place).join(counts, same).withColumn(name, (F.col("_before") + F.col("_place")).cast("int"))
+    kept = [*df.columns, name] + ([size] if size else [])
+    return (out.withColumnRenamed("_size", size) if size else out).select(*kept)
+
+
 def hash_split(df: DataFrame, strata: list[str], key: Column, shares: list[tuple[str, float]]) -> DataFrame:
     """Rows of each stratum by hash rank, cut at cumulative shares; the last split takes the rest."""
-    with_rank = ranked(df, strata, [digest(key), key.asc()]).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*strata)))
+    with_rank = hash_ranked(df, strata, key, size="_n")
     split, upto = F.lit(shares[-1][0]), 0.0
     cuts = []
     for name, share in shares[:-1]:

@@ -447,7 +447,7 @@ def replay_mix_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT doc_id, lang, rank, ((rank - 1) % 3)::INT AS layout FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha256(doc_id::VARCHAR), doc_id)::INT AS rank FROM documents)""")
 def layout_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three layouts in turn by hash rank."""
-    rows = selection.ranked(table(spark, sf_dir, "documents").select("doc_id", "lang"), ["lang"], [selection.digest(F.col("doc_id")), F.col("doc_id")])
+    rows = selection.hash_ranked(table(spark, sf_dir, "documents").select("doc_id", "lang"), ["lang"], F.col("doc_id"))
     return rows.withColumn("layout", selection.layout(F.col("rank"), 3))
 
 

@@ -212,7 +212,10 @@ def newest_checkpoint(spark: SparkSession, root: str, required: list[str]) -> Da
 
 
 def manifest_drift(spark: SparkSession, root: str, manifest: DataFrame) -> DataFrame:
-    """Files of a manifest (path, sha256) that are missing or differ."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(F.regexp_replace("_metadata.file_path", r"^file:/+", "/").alias("full"), F.sha2("content", 256).alias("now"))
-    own = found.withColumn("path", F.expr(f"substring(full, {len(root.rstrip('/')) + 2})")).select("path", "now")
+    """Files of a manifest (path, sha256; of 2 GB at most each) that are missing or differ, on any file system."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    top = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(place).toString().rstrip("/")
+    plain = lambda c: F.regexp_replace(c, r"^([A-Za-z0-9+.-]+):/+", "$1:/")  # noqa: E731 - any scheme, however many slashes follow it
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(plain(F.col("_metadata.file_path")).alias("full"), F.sha2("content", 256).alias("now"))
+    own = found.withColumn("path", F.substring("full", F.length(plain(F.lit(top))) + 2, F.length("full"))).select("path", "now")
     return manifest.join(own, "path", "left").withColumn("reason", F.when(F.col("now").isNull(), "missing").when(F.col("now") != F.col("sha256"), "changed")).filter("reason is not null").select("path", "reason")

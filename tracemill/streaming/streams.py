@@ -1,8 +1,9 @@
 """Structured Streaming forms (K7, B1, G4, G12, G13): exactly-once appends and stateful audits of event streams.
 
 Each takes a streaming DataFrame and gives one (or starts a query), so the same
-code serves files, sockets or queues. State is kept per case; a case whose last
-event is older than the watermark is dropped.
+code serves files, sockets or queues. State is kept per case. It is kept for
+good unless a call names how long after a case's last event (by the watermark)
+it may be forgotten; a case that is forgotten counts as not blocked.
 """
 
 from __future__ import annotations
@@ -34,25 +35,24 @@ def append_new(stream: DataFrame, target: str, checkpoint: str, key: str) -> Str
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def blocked_writes(stream: DataFrame, *, blocks: str, frees: str, writes: str, case: str = "case_id", delay: str = "10 minutes") -> DataFrame:
-    """G12 over a stream: each write that comes while its case is blocked; events of a case must arrive in order within a batch's sort."""
+def blocked_writes(stream: DataFrame, *, blocks: str, frees: str, writes: str, case: str = "case_id", delay: str = "10 minutes", forget_ms: int | None = None) -> DataFrame:
+    """G12 over a stream, as the batch form decides it (with ``forget_ms``: for cases whose events are no further apart): each write that comes while its case is blocked; events of a case must arrive in order within a batch's sort."""
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         blocked = state.get[0] if state.exists else False
         events = pd.concat(list(parts)).sort_values(["ts", "event_id"])
-        hits = []
-        for e in events.itertuples():
-            if blocked and e.tool == writes:
-                hits.append((key[0], e.event_id, e.ts))
-            blocked = True if e.tool == blocks else False if e.tool == frees else blocked
-        state.update((blocked,))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(events["ts"].max().timestamp() * 1000)) + 86_400_000)
-        yield pd.DataFrame(hits, columns=["case_id", "event_id", "ts"])
+        after = events["tool"].map({blocks: True, frees: False}).astype("boolean").ffill().fillna(blocked)  # the state behind each event
+        before = after.shift(fill_value=blocked)
+        state.update((bool(after.iloc[-1]),))
+        if forget_ms is not None:
+            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(events["ts"].max().timestamp() * 1000)) + forget_ms)
+        hits = events[before.astype(bool) & (events["tool"] == writes)]
+        yield pd.DataFrame({"case_id": [key[0]] * len(hits), "event_id": hits["event_id"], "ts": hits["ts"]})
 
     own = stream.select(F.col(case).cast("bigint").alias("case_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"), "tool").withWatermark("ts", delay)
-    return own.groupBy("case_id").applyInPandasWithState(step, "case_id bigint, event_id bigint, ts timestamp", "blocked boolean", "append", GroupStateTimeout.EventTimeTimeout)
+    return own.groupBy("case_id").applyInPandasWithState(step, "case_id bigint, event_id bigint, ts timestamp", "blocked boolean", "append", GroupStateTimeout.NoTimeout if forget_ms is None else GroupStateTimeout.EventTimeTimeout)
 
 
 def unresolved(stream: DataFrame, *, opens: str, closes: str, case: str = "case_id") -> DataFrame:
