@@ -63,6 +63,8 @@ def shape(events) -> object:
 def receipts(events) -> object:
     """Receipts by operation id within a trace: the last committed one of each."""
     committed = F.filter(events, lambda e: F.get_json_object(e["result"], "$.result.status") == "committed")
-    pairs = F.transform(committed, lambda e: F.struct(F.get_json_object(e["result"], "$.result.operation_id").alias("key"), F.get_json_object(e["result"], "$.result").alias("value")))
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs) - i - 1, F.lit(0))), lambda q: q["key"] == p["key"]))
-    return F.map_from_entries(last)
+    pairs = F.transform(committed, lambda e, i: F.struct(F.get_json_object(e["result"], "$.result.operation_id").alias("key"), i.alias("place"), F.get_json_object(e["result"], "$.result").alias("value")))
+    # ordered by operation and place, the last of each operation is the one that another key follows
+    last = lambda ordered: F.filter(ordered, lambda p, i: ~F.get(ordered, i + 1)["key"].eqNullSafe(p["key"]))
+    kept = F.get(F.transform(F.array(F.array_sort(pairs)), last), F.lit(0))
+    return F.map_from_entries(F.transform(kept, lambda p: F.struct(p["key"].alias("key"), p["value"].alias("value"))))
