@@ -375,8 +375,9 @@ def identify(docs: DataFrame, *, id_col: str = "doc_id", fold_col: str | None =
     # what decides the limits goes through the scoring with the id: the fold, and whether the row has a label
     both = F.struct(F.col(id_col).alias("id"), held_out.alias("held_out"), F.col(lang_col).isNotNull().alias("labelled"))
     scored = score_texts(docs.withColumn(_BOTH, both), model, id_col=_BOTH, text_col=text_col)
-    scored = checkpointed(scored.withColumns({id_col: F.col(f"{_BOTH}.id"), "held_out": F.col(f"{_BOTH}.held_out")}))
-    learned = scored.filter(~F.col("held_out") & F.col(f"{_BOTH}.labelled") & F.col("cross_entropy").isNotNull())
+    found = ("lang_pred", "score", "cross_entropy", "n_symbols")
+    scored = checkpointed(scored.select(F.col(f"{_BOTH}.id").alias(id_col), *(F.col(f"{_BOTH}.{n}").alias(n) for n in ("held_out", "labelled")), *found))
+    learned = scored.filter(~F.col("held_out") & F.col("labelled") & F.col("cross_entropy").isNotNull())
     quartiles = learned.groupBy("lang_pred").agg(F.percentile_approx("cross_entropy", 0.75, 10000).alias("usual")).collect()  # a row per language
     usual = {r["lang_pred"]: r["usual"] for r in quartiles}
     limit = F.lit(None).cast("double")
