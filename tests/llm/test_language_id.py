@@ -138,3 +138,12 @@ def test_sixty_languages_stay_within_the_table_and_none_is_lost(spark):
     for bound in (li.MAX_NGRAMS, 2000):  # fitted on the driver; kept in tables, since 60 columns make too many cells
         got = li.identify(docs, max_ngrams=bound).collect()
         assert len(got) == len(rows) and all(r.lang_pred == f"l{r.doc_id // 10:02d}" for r in got if not r.held_out)
+
+
+def test_counts_that_a_task_emits_early_add_up(spark):
+    rng = random.Random(12)
+    text = "".join(rng.choices("abcdefghijkl ", k=1_200_000))
+    rows = [(lang, text[i * 1000 :]) for i, lang in enumerate(["aa", "bb", "aa", "aa"])]  # over two million 4-grams, so tasks merge in between
+    docs = spark.createDataFrame(rows, "lang string, text string").coalesce(1)
+    table = lambda df: {(r.lang, r.key): r.n for r in df.collect()}
+    assert table(li.count_ngrams(docs, "lang", "text", held_keys=100)) == table(li.count_ngrams(docs, "lang", "text"))

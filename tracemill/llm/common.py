@@ -57,10 +57,11 @@ def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
 
 
-def map_texts(df: DataFrame, id_col: str, text_col: str, fields: list[tuple[str, str]], rows_of: Callable[[list[bytes]], Iterable[tuple]], *, raw: bool = False) -> DataFrame:
+def map_texts(df: DataFrame, id_col: str, text_col: str, fields: list[tuple[str, str]], rows_of: Callable[[list[bytes]], Iterable[tuple]], *, raw: bool = False, most_bytes: int = BATCH_BYTES) -> DataFrame:
     """Apply ``rows_of`` (UTF-8 texts of a batch, null as empty, to one tuple each) beside the ids.
 
-    raw: the column is binary and stays so. Arrow batches pass through one by one, so a task holds one batch at a time.
+    raw: the column is binary and stays so. Arrow batches pass through one by one, in parts of about ``most_bytes``, so a
+    task holds one batch at a time; what gives more bytes than it takes asks for smaller parts.
     """
     source = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")) if raw else id_and_text(df, id_col, text_col)
     small_batches(df.sparkSession)
@@ -70,7 +71,7 @@ def map_texts(df: DataFrame, id_col: str, text_col: str, fields: list[tuple[str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most_bytes):
                 texts = [b or b"" for b in part.column(1).cast(pa.binary()).to_pylist()]
                 columns = list(zip(*rows_of(texts), strict=True)) or [()] * len(kinds)
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=out.names)
@@ -86,7 +87,7 @@ _ARROW = {
 }
 
 
-def slices(batch: pa.RecordBatch, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, most_bytes: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each part holds about ``most_bytes`` at most (a longer row stands alone)."""
     rows = batch.num_rows
     step = max(1, min(rows, int(rows * most_bytes / max(batch.nbytes, 1))))

@@ -45,6 +45,8 @@ from tracemill.llm.common import checkpointed, map_texts, slices, small_batches
 
 ORDER = 4
 MAX_NGRAMS = 1_000_000
+#: Distinct 4-grams that a counting task holds, about; and bytes of text whose other 4-grams are joined from one part of a batch.
+HELD_KEYS, PART_BYTES = 4_000_000, 1 << 20
 #: Two standard errors of a mean over characters whose costs spread by about two bits.
 SLACK = 4.0
 UND = "und"
@@ -100,8 +102,8 @@ def _tally(k: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.n
     return k[at], np.add.reduceat(n, at) if len(at) else n
 
 
-def count_ngrams(labelled: DataFrame, lang_col: str, text_col: str) -> DataFrame:
-    """(lang, key, n) over all rows."""
+def count_ngrams(labelled: DataFrame, lang_col: str, text_col: str, held_keys: int = HELD_KEYS) -> DataFrame:
+    """(lang, key, n) over all rows; a task that holds more than ``held_keys`` emits its counts so far and starts anew."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
@@ -118,6 +120,13 @@ def count_ngrams(labelled: DataFrame, lang_col: str, text_col: str) -> DataFrame
             waiting.clear()
             size = 0
 
+        def emitted() -> Iterator[pa.RecordBatch]:
+            for lang, (k, n) in held.items():
+                for at in range(0, len(k), 1 << 16):
+                    part = k[at : at + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array(part.view(np.int64)), pa.array(n[at : at + (1 << 16)].astype(np.int64))], names=["lang", "key", "n"])
+            held.clear()
+
         for batch in batches:
             for part in slices(batch, 4 << 20):
                 for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
@@ -126,11 +135,10 @@ def count_ngrams(labelled: DataFrame, lang_col: str, text_col: str) -> DataFrame
                         size += len(k)
                         if size > 2_000_000:
                             merge()
+                            if sum(len(k) for k, _ in held.values()) > held_keys:
+                                yield from emitted()
         merge()
-        for lang, (k, n) in held.items():
-            for at in range(0, len(k), 1 << 16):
-                part = k[at : at + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array(part.view(np.int64)), pa.array(n[at : at + (1 << 16)].astype(np.int64))], names=["lang", "key", "n"])
+        yield from emitted()
 
     small_batches(labelled.sparkSession)
     found = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "lang string, key bigint, n bigint")
@@ -334,7 +342,7 @@ def _part_scores(text: str, hot: np.ndarray, bits: np.ndarray) -> tuple[int, np.
 def _join_scores(docs: DataFrame, model: Joined, id_col: str, text_col: str) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast((model.hot, model.bits))
     rows_of = lambda texts: [_part_scores(t.decode("utf-8", "replace"), *sent.value) for t in texts]
-    held = map_texts(docs, id_col, text_col, [("n_symbols", "bigint"), ("done", "array<bigint>"), ("other", "array<bigint>"), ("times", "array<bigint>")], rows_of)
+    held = map_texts(docs, id_col, text_col, [("n_symbols", "bigint"), ("done", "array<bigint>"), ("other", "array<bigint>"), ("times", "array<bigint>")], rows_of, most_bytes=PART_BYTES)
     held = checkpointed(held.withColumn("row", F.monotonically_increasing_id()))
     other = held.select("row", F.explode(F.arrays_zip("other", "times")).alias("o")).select("row", F.col("o.other").alias("key"), F.col("o.times").alias("times"))
     found = other.join(model.logs(other.select("key").distinct()), "key")
