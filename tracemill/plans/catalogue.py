@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracemill.functions import jsonx, maths, text
-from tracemill.operators import aggregate, diagnostics, events, replay, scoring, selection, studies, trace
+from tracemill.operators import aggregate, diagnostics, events, replay, satisfiability, scoring, selection, studies, trace
 from tracemill.operators import tokens as token_ops
 from tracemill.sources import generators
 
@@ -699,6 +699,19 @@ def pilot_oracle_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.groupBy("split").agg(F.count(F.lit(1)).alias("cases"), F.countDistinct("group_id").alias("groups"), F.count_if("execution_success").alias("passed"), F.sum("tool_call_count").alias("tool_calls"), F.sum("failed_tool_calls").alias("failed_calls"), F.round(F.avg("tool_f1"), 9).alias("tool_f1"), F.count("fault").alias("faults"))
 
 
+@query(f"""WITH {_PILOT}, v AS (SELECT ending, (platform * 10 + 2 * (list_position(['home', 'settings', 'graphics', 'dungeon_select', 'multiplayer_dungeon'], page) - 1) + surface) % 4 AS variant
+  FROM pilot, (SELECT unnest([0, 1]) AS platform), (SELECT unnest([0, 1]) AS surface)),
+r AS (SELECT ending, variant, ending = 'battle' AND variant = 2 AS stuck, CASE WHEN stuck THEN 2 ELSE 0 END AS call, CASE WHEN variant = 2 AND NOT stuck THEN 1 ELSE 0 END AS fault, CASE WHEN stuck THEN 2 WHEN variant = 1 THEN 1 ELSE 0 END AS state, CASE WHEN variant = 3 THEN 3 ELSE 0 END AS result FROM v)
+SELECT ending, variant::VARCHAR AS variant, count(*)::BIGINT AS cases, count(*) FILTER (WHERE call + fault + state + result = 0)::BIGINT AS satisfiable, sum(call)::BIGINT AS refused_calls, sum(fault)::BIGINT AS unspent_faults, sum(state)::BIGINT AS missed_fields, sum(result)::BIGINT AS missed_results FROM r GROUP BY ending, variant""")
+def case_satisfiability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-gen, K1, K3: the pilot's cases, three quarters of them spoilt by rule, run by their own calls: what contradicts them. The SQL follows from the rules."""
+    made = studies.spoilt_cases(spark)
+    found = satisfiability.satisfiability(made.withColumn("key", F.struct("id", "ending", "variant")), id_col="key")
+    of = lambda kind: F.sum(F.size(F.filter("contradictions", lambda c: c.startswith(kind + ":")))).alias({"call": "refused_calls", "fault": "unspent_faults", "state": "missed_fields", "result": "missed_results"}[kind])
+    counts = (F.count(F.lit(1)).alias("cases"), F.count_if("satisfiable").alias("satisfiable"), *map(of, ("call", "fault", "state", "result")))
+    return found.select("key.*", "satisfiable", "contradictions").groupBy("ending", "variant").agg(*counts)
+
+
 @query("""SELECT p AS pattern, s AS split, n::BIGINT AS cases, (CASE p WHEN 'transient_once' THEN 1 WHEN 'transient_twice' THEN 2 WHEN 'policy_once' THEN 1 WHEN 'policy_twice' THEN 2 WHEN 'bad_arguments' THEN 1 WHEN 'mixed_policy_check' THEN 1 ELSE 0 END * n)::BIGINT AS tool_errors,
 CASE WHEN p LIKE '%policy%' THEN 'stop_mutations' WHEN p = 'bad_arguments' THEN 'repair_arguments' WHEN p LIKE 'transient%' THEN 'inspect_before_retry' ELSE 'no_retry_needed' END AS decision
 FROM (SELECT unnest(['clean', 'transient_once', 'transient_twice', 'policy_once', 'policy_twice', 'bad_arguments', 'negative_check', 'mixed_policy_check']) AS p), (VALUES ('train', 24), ('validation', 6), ('confirmation', 6)) v(s, n)""")
