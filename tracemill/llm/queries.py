@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import byte_bpe, language_id, license_scan, mpeg_audio, pii, secrets, sharding, simhash, suffix_automaton, url_filter
+from tracemill.llm import byte_bpe, hard_negatives, language_id, license_scan, mpeg_audio, pii, secrets, sharding, simhash, suffix_automaton, url_filter
 from tracemill.llm.common import UPPER, read
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -58,7 +58,12 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.detect(read(spark, sf_dir, "documents")).drop("all_spans")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_pii, op3_decontamination, op4_byte_bpe, op5_licenses, op6_media, op7_url_filter, op8_sharding, op9_language_id, op10_secrets)}
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label"))
+    return hard_negatives.mine(read(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_pii, op3_decontamination, op4_byte_bpe, op5_licenses, op6_media, op7_url_filter, op8_sharding, op9_language_id, op10_secrets, op13_hard_negatives)}
 
 
 def _url_sql() -> str:
@@ -102,4 +107,15 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)"""
 
 
-SQL: dict[str, str] = {"op3_decontamination": _decontamination_sql(), "op7_url_filter": _url_sql()}
+_HARD_NEGATIVES_SQL = """
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+      FROM e AS a JOIN e AS b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id))::INTEGER AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+QUALIFY rank <= 5"""
+
+SQL: dict[str, str] = {"op3_decontamination": _decontamination_sql(), "op7_url_filter": _url_sql(), "op13_hard_negatives": _HARD_NEGATIVES_SQL}
