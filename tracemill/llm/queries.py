@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import byte_bpe, hard_negatives, language_id, license_scan, mpeg_audio, pii, secrets, sharding, simhash, suffix_automaton, url_filter
+from tracemill.llm import byte_bpe, hard_negatives, language_id, license_scan, merkle, mpeg_audio, pii, secrets, sharding, simhash, suffix_automaton, url_filter
 from tracemill.llm.common import UPPER, read
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -58,12 +58,18 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.detect(read(spark, sf_dir, "documents")).drop("all_spans")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changed = [merkle.lowered(F.col("text")) if c == "text" else F.col(c) for c in merkle.COLUMNS]
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, merkle.leaf(changed))
+    return merkle.manifest(read(spark, sf_dir, "documents"), tampered=tampered)
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = F.when(F.col("vec_id") % 7 == 0, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label"))
     return hard_negatives.mine(read(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 100 == 0)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_pii, op3_decontamination, op4_byte_bpe, op5_licenses, op6_media, op7_url_filter, op8_sharding, op9_language_id, op10_secrets, op13_hard_negatives)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_pii, op3_decontamination, op4_byte_bpe, op5_licenses, op6_media, op7_url_filter, op8_sharding, op9_language_id, op10_secrets, op11_merkle_manifest, op13_hard_negatives)}
 
 
 def _url_sql() -> str:
@@ -118,4 +124,43 @@ SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, posit
 FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
 QUALIFY rank <= 5"""
 
-SQL: dict[str, str] = {"op3_decontamination": _decontamination_sql(), "op7_url_filter": _url_sql(), "op13_hard_negatives": _HARD_NEGATIVES_SQL}
+def _merkle_sql(levels: int = 8) -> str:
+    """Trees of up to 8 ** levels leaves, level by level; a level of one node stays as it is."""
+    field = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c}::VARCHAR END"
+    leaf = lambda text: "sha256(" + " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    step = "CASE WHEN b % 2 = 1 THEN xor(b // 2, 3988292384::UBIGINT) ELSE b // 2 END"
+    byte = f"list_reduce(list_prepend(xor(a, c), [z::UBIGINT FOR z IN range(8)]), lambda b, z: {step})"
+    crc = f"xor(list_reduce(list_prepend(4294967295::UBIGINT, [ord(c)::UBIGINT FOR c IN string_split(doc_id::VARCHAR, '')]), lambda a, c: {byte}), 4294967295::UBIGINT)"
+
+    def tree(name: str, group: str, base: str) -> str:
+        """CTEs name0, name1, ... of (group, rank, n, d, l, r): digest, and siblings to the left and right."""
+        out, beside = [], lambda rows: f"coalesce(string_agg(d, '') OVER (PARTITION BY {group}, rank // 8 ORDER BY rank ROWS BETWEEN {rows}), '')"
+        sides = f"{beside('UNBOUNDED PRECEDING AND 1 PRECEDING')} AS l, {beside('1 FOLLOWING AND UNBOUNDED FOLLOWING')} AS r"
+        for k in range(levels + 1):
+            nodes = base if k == 0 else f"SELECT {group}, rank // 8 AS rank, (any_value(n) + 7) // 8 AS n, CASE WHEN any_value(n) = 1 THEN any_value(d) ELSE sha256(string_agg(d, '' ORDER BY rank)) END AS d FROM {name}{k - 1} GROUP BY ALL"
+            out.append(f"{name}{k} AS (SELECT *, {sides} FROM ({nodes}))")
+        return ",\n".join(out)
+
+    def path(name: str, group: str, rank: str) -> tuple[str, str]:
+        joins = " ".join(f"JOIN {name}{k} ON {name}{k}.{group} = {group}_ AND {name}{k}.rank = {rank} // {8**k}" for k in range(levels))
+        return joins, " || ".join(f"{name}{k}.l || {name}{k}.r" for k in range(levels))
+
+    own, own_proof = path("a", "g", "rank_")
+    top, top_proof = path("b", "t", "place_")
+    rows = f"SELECT doc_id, coalesce('=' || lang, '') AS g_, row_number() OVER w - 1 AS rank_, count(*) OVER (PARTITION BY coalesce('=' || lang, '')) AS n_, {leaf('text')} AS leaf, CASE WHEN {crc} % 3 = 0 THEN {leaf(f"translate(text, '{UPPER}', '{UPPER.lower()}')")} ELSE {leaf('text')} END AS found FROM documents WINDOW w AS (PARTITION BY coalesce('=' || lang, '') ORDER BY doc_id NULLS FIRST, {leaf('text')})"
+    steps = [(n, k) for n in "ab" for k in range(levels)]
+    folded = ""
+    for i, (n, k) in enumerate(steps):
+        folded += f",\nf{i + 1} AS (SELECT * EXCLUDE (found), CASE WHEN n{n}{k} = 1 THEN found ELSE sha256(l{n}{k} || found || r{n}{k}) END AS found FROM f{i})"
+    sides = ", ".join(f"{n}{k}.n AS n{n}{k}, {n}{k}.l AS l{n}{k}, {n}{k}.r AS r{n}{k}" for n, k in steps)
+    return f"""
+WITH x AS ({rows}),
+{tree("a", "g", "SELECT g_ AS g, rank_ AS rank, n_ AS n, leaf AS d FROM x")},
+{tree("b", "t", f"SELECT 0 AS t, row_number() OVER (ORDER BY g) - 1 AS rank, count(*) OVER () AS n, d FROM a{levels}")},
+y AS (SELECT x.*, 0 AS t_, dense_rank() OVER (ORDER BY g_) - 1 AS place_ FROM x),
+f0 AS (SELECT doc_id, leaf, found, a{levels}.d AS subroot, b{levels}.d AS root, sha256({own_proof} || {top_proof}) AS proof_sha256, {sides}
+       FROM y {own} JOIN a{levels} ON a{levels}.g = g_ {top} CROSS JOIN b{levels}){folded}
+SELECT doc_id, leaf, subroot, root, proof_sha256, found AS folded_root, found = root AS verified FROM f{len(steps)}"""
+
+
+SQL: dict[str, str] = {"op3_decontamination": _decontamination_sql(), "op7_url_filter": _url_sql(), "op11_merkle_manifest": _merkle_sql(), "op13_hard_negatives": _HARD_NEGATIVES_SQL}
