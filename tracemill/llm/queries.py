@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import byte_bpe, hard_negatives, language_id, license_scan, merkle, mpeg_audio, pii, secrets, sharding, simhash, suffix_automaton, url_filter
-from tracemill.llm.common import UPPER, read
+from tracemill.llm import byte_bpe, hard_negatives, language_id, license_scan, merkle, mpeg_audio, pii, secrets, sharding, simhash, suffix_automaton, url_filter, warc
+from tracemill.llm.common import UPPER, read, shared_folder
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -64,12 +65,18 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(read(spark, sf_dir, "documents"), tampered=tampered)
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write(read(spark, sf_dir, "pages"), folder)
+    return warc.records(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = F.when(F.col("vec_id") % 7 == 0, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label"))
     return hard_negatives.mine(read(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 100 == 0)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_pii, op3_decontamination, op4_byte_bpe, op5_licenses, op6_media, op7_url_filter, op8_sharding, op9_language_id, op10_secrets, op11_merkle_manifest, op13_hard_negatives)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_pii, op3_decontamination, op4_byte_bpe, op5_licenses, op6_media, op7_url_filter, op8_sharding, op9_language_id, op10_secrets, op11_merkle_manifest, op12_warc, op13_hard_negatives)}
 
 
 def _url_sql() -> str:
@@ -163,4 +170,13 @@ f0 AS (SELECT doc_id, leaf, found, a{levels}.d AS subroot, b{levels}.d AS root,
 SELECT doc_id, leaf, subroot, root, proof_sha256, found AS folded_root, found = root AS verified FROM f{len(steps)}"""
 
 
-SQL: dict[str, str] = {"op3_decontamination": _decontamination_sql(), "op7_url_filter": _url_sql(), "op11_merkle_manifest": _merkle_sql(), "op13_hard_negatives": _HARD_NEGATIVES_SQL}
+_WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS first FROM p)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (((('0x' || substr(h, 1 + 5 * (i // 4), 5))::BIGINT >> (5 * (3 - i % 4))) & 31))::BIGINT, 1)), '') AS payload_digest,
+       CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to
+FROM f"""
+
+
+SQL: dict[str, str] = {"op3_decontamination": _decontamination_sql(), "op7_url_filter": _url_sql(), "op11_merkle_manifest": _merkle_sql(), "op12_warc": _WARC_SQL, "op13_hard_negatives": _HARD_NEGATIVES_SQL}
