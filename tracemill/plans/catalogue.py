@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracemill.functions import jsonx, maths, text
-from tracemill.operators import aggregate, diagnostics, events, replay, satisfiability, scoring, selection, studies, trace
+from tracemill.operators import aggregate, diagnostics, events, normalise, replay, satisfiability, scoring, selection, studies
 from tracemill.operators import tokens as token_ops
 from tracemill.sources import generators
 
@@ -278,22 +278,32 @@ def multiset_prf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("case.case_id", "case.step", "tp", "fp", "fn", *(F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")))
 
 
-@query()
+@query(f"""WITH RECURSIVE {LOG}, o AS (SELECT case_id, step, tool, row_number() OVER (PARTITION BY case_id, step ORDER BY idx) AS n, count(*) OVER (PARTITION BY case_id, step) AS size FROM log),
+t AS (SELECT DISTINCT case_id, step, 0::BIGINT AS n, 0 AS a, 0 AS b, 0 AS c, 0 AS d FROM o
+  UNION ALL SELECT case_id, step, n, a2, b2, c2, CASE WHEN tool = 'purchase' THEN c + 1 ELSE greatest(c2, d) END FROM (
+    SELECT t.case_id, t.step, o.n, o.tool, t.c, t.d, CASE WHEN tool = 'view' THEN 1 ELSE a END AS a2, CASE WHEN tool = 'click' THEN a + 1 ELSE greatest(a2, b) END AS b2, CASE WHEN tool = 'view' THEN b + 1 ELSE greatest(b2, c) END AS c2
+    FROM t JOIN o ON o.case_id = t.case_id AND o.step = t.step AND o.n = t.n + 1))
+SELECT case_id, step, d::BIGINT AS lcs, d / 4 AS score, d = 4 AS ordered FROM t JOIN (SELECT DISTINCT case_id, step, size FROM o) USING (case_id, step) WHERE n = size""")
 def tool_order_lcs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The longest common subsequence of each day's tools with a fixed sequence."""
     days = executions(spark, sf_dir).groupBy("case_id", "step").agg(F.array_sort(F.collect_list(F.struct("idx", "tool"))).alias("e")).withColumn("tools", F.transform("e", lambda x: x["tool"]))
     expected = F.array(*map(F.lit, ("view", "click", "view", "purchase")))
-    length = events.lcs_length(expected, F.col("tools"))
+    length = events.lcs_short(expected, F.col("tools"))
     return days.select("case_id", "step", length.cast("bigint").alias("lcs"), (length / 4).alias("score"), (length == 4).alias("ordered"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {LOG}, s AS (SELECT case_id, idx, tool || ':' || (target % 5) AS sig FROM log), c AS (SELECT case_id, sig, row_number() OVER (PARTITION BY case_id ORDER BY idx) AS n, count(*) OVER (PARTITION BY case_id) AS calls FROM s WHERE idx % 2 = 1),
+p AS (SELECT case_id, sig, list(place ORDER BY place) AS places FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY idx) AS place FROM s WHERE idx % 2 = 0) GROUP BY ALL),
+t AS (SELECT DISTINCT case_id, 0::BIGINT AS n, 0::BIGINT AS upto, []::INTEGER[] AS places FROM c
+  UNION ALL SELECT case_id, n, coalesce(hit, upto), list_append(places, hit::INTEGER) FROM (SELECT t.case_id, c.n, t.upto, t.places, list_min(list_filter(p.places, lambda x: x > t.upto)) AS hit
+    FROM t JOIN c ON c.case_id = t.case_id AND c.n = t.n + 1 LEFT JOIN p ON p.case_id = c.case_id AND p.sig = c.sig))
+SELECT case_id, n AS calls, places FROM t JOIN (SELECT DISTINCT case_id, calls FROM c) USING (case_id) WHERE n = calls""")
 def call_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each odd event (as a call) the place of its execution among the even ones, by a forward cursor."""
-    log = executions(spark, sf_dir).withColumn("sig", F.concat_ws(":", "tool", (F.col("target") % 5).cast("string")))
-    part = lambda odd: F.transform(F.array_sort(F.collect_list(F.when(F.col("idx") % 2 == odd, F.struct("idx", "sig")))), lambda x: x["sig"])
-    packed = log.groupBy("case_id").agg(part(1).alias("calls"), part(0).alias("executions"))
-    return packed.select("case_id", F.size("calls").cast("bigint").alias("calls"), events.align(F.col("calls"), F.col("executions")).alias("places"))
+    log = executions(spark, sf_dir).select("case_id", F.floor((F.col("idx") + 1) / 2).alias("idx"), (F.col("idx") % 2).alias("odd"), F.concat_ws(":", "tool", (F.col("target") % 5).cast("string")).alias("sig"))
+    found = events.aligned(log.filter("odd = 1"), log.filter("odd = 0"))
+    packed = found.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("idx", F.col("execution").cast("int").alias("place")))).alias("p"))
+    return packed.select("case_id", F.size("p").cast("bigint").alias("calls"), F.transform("p", lambda x: x["place"]).alias("places"))
 
 
 @query(f"""WITH {LOG}, a AS (SELECT case_id, min(idx) AS i FROM log WHERE tool = 'view' GROUP BY 1), b AS (SELECT l.case_id, min(idx) AS i FROM log l JOIN a ON a.case_id = l.case_id AND idx > a.i WHERE tool = 'click' GROUP BY 1),
@@ -674,7 +684,7 @@ def record_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def normalised_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records as attempt and execution events."""
     records = _records(spark, sf_dir).withColumn("id", F.get_json_object("case", "$.id"))
-    return trace.event_tables(records).select("case_id", "kind", "idx", "tool", "ok", "args_json")
+    return normalise.event_tables(records).select("case_id", "kind", "idx", "tool", "ok", "args_json")
 
 
 @query()
@@ -782,4 +792,4 @@ def challenge_oracle_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count(F.lit(1)).alias("cases"), F.count_if("execution_success").alias("passed"), F.sum("tool_call_count").alias("tool_calls"), F.sum("failed_tool_calls").alias("failed_calls"))
 
 
-from tracemill.plans import records  # noqa: E402, F401 - registers the queries over records, sources and audits
+from tracemill.plans import records, sequences  # noqa: E402, F401 - registers the queries over records, sources, audits and sequences
