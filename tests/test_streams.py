@@ -1,3 +1,5 @@
+import time
+
 from pyspark.sql import functions as F
 
 from tracemill.operators import events
@@ -32,3 +34,31 @@ def test_append_writes_each_record_once(spark, tmp_path):
         spark.createDataFrame([(i,) for i in ids], "id int").write.mode("append").parquet(source)
         streams.append_new(spark.readStream.schema("id int").parquet(source), target, str(tmp_path / "cp"), "id").awaitTermination()
     assert sorted(r.id for r in spark.read.parquet(target).collect()) == [1, 2, 3]
+
+
+def test_a_restarted_append_goes_on_where_it_was(spark, tmp_path):
+    source, target, cp = (str(tmp_path / x) for x in ("in", "out", "cp"))
+    feed = lambda ids: spark.createDataFrame([(i, f"t{i}") for i in ids], "id int, text string").write.mode("append").parquet(source)
+    run = lambda **kw: streams.append_new(spark.readStream.schema("id int, text string").parquet(source), target, cp, "id", **kw).awaitTermination()
+    done = spark.createDataFrame([(9,), (8,)], "id int")  # what an earlier log has
+    feed([1, 1, 9])
+    run(done=done)
+    feed([1, 2])
+    run(done=done)
+    run(done=done)
+    rows = spark.read.parquet(target)
+    assert sorted((r.id, r.text) for r in rows.collect()) == [(1, "t1"), (2, "t2")] and {"run", "batch"} <= set(rows.columns)
+    # a batch that is repeated overwrites its own folder
+    first = rows.filter("batch = 0").select("id", "text")
+    kept = first.collect()
+    spark.createDataFrame(kept, first.schema).write.mode("overwrite").parquet(f"{target}/run={rows.first()['run']}/batch=0")
+    assert spark.read.parquet(target).count() == 2
+
+
+def test_a_key_is_forgotten_after_its_time(spark, tmp_path):
+    source, target, cp = (str(tmp_path / x) for x in ("in", "out", "cp"))
+    for _ in range(2):
+        spark.createDataFrame([(1,)], "id int").write.mode("append").parquet(source)
+        streams.append_new(spark.readStream.schema("id int").parquet(source), target, cp, "id", ttl_ms=1).awaitTermination()
+        time.sleep(0.1)
+    assert spark.read.parquet(target).count() == 2

@@ -8,13 +8,15 @@ it may be forgotten; a case that is forgotten counts as not blocked.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from itertools import islice
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -22,17 +24,67 @@ def event_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path)
 
 
-def append_new(stream: DataFrame, target: str, checkpoint: str, key: str) -> StreamingQuery:
-    """K7, B1: append each record once, also if the source repeats it: within a batch by key, across batches by what the target has."""
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class FirstOnly(StatefulProcessor):
+    """Lets the first record of each key through; with a time to live, a key is forgotten so long after its record."""
+
+    def __init__(self, ttl_ms: int | None):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "seen boolean", self.ttl_ms)
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        if not self.seen.exists():
+            self.seen.update((True,))
+            yield from islice(rows, 1)
+
+    def handleInitialState(self, key: Any, initialState: Row, timerValues: Any) -> None:
+        self.seen.update((True,))
+
+    def close(self) -> None:
+        """Nothing is held."""
+
+
+def once(stream: DataFrame, key: str, *, ttl_ms: int | None = None, done: DataFrame | None = None) -> DataFrame:
+    """K7: the first record of every key, by keyed state; keys of ``done`` (which has the key column) count as seen from the start.
+
+    A batch looks at the state of its own keys only. Null keys are one key. Needs the RocksDB state store.
+    """
+    start = None if done is None else done.select(key).distinct().groupBy(key)
+    mode = "none" if ttl_ms is None else "processingTime"
+    return stream.groupBy(key).transformWithState(statefulProcessor=FirstOnly(ttl_ms), outputStructType=stream.schema, outputMode="Append", timeMode=mode, initialState=start)
+
+
+def append_new(stream: DataFrame, target: str, checkpoint: str, key: str, *, ttl_ms: int | None = None, done: DataFrame | None = None) -> StreamingQuery:
+    """K7, B1: append each record once, also if the source repeats it or the run is started again.
+
+    Which keys are done is state in RocksDB, so a batch costs what it holds, whatever the target holds. Each batch is a
+    folder of its own, named by the run (its checkpoint) and the batch's number, and a batch that is repeated after a
+    failure overwrites its folder with the same rows. The target has ``run`` and ``batch`` as partition columns.
+    """
+    spark = stream.sparkSession
+    run = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
+
     def write(batch: DataFrame, epoch: int) -> None:
-        new = batch.dropDuplicates([key])
-        spark = batch.sparkSession
-        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
-        if place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
-            new = new.join(spark.read.schema(batch.schema).parquet(target).select(key), key, "left_anti")
-        new.write.mode("append").parquet(target)
-
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        batch.write.mode("overwrite").parquet(f"{target}/run={run}/batch={epoch}")
+
+    # batches without data would go on for ever where keys are to be forgotten, and have nothing to add
+    own = {_STORE: _ROCKSDB, "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        return once(stream, key, ttl_ms=ttl_ms, done=done).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 def blocked_writes(stream: DataFrame, *, blocks: str, frees: str, writes: str, case: str = "case_id", delay: str = "10 minutes", forget_ms: int | None = None) -> DataFrame:
