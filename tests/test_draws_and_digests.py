@@ -66,3 +66,14 @@ def test_blocks_and_trees(spark, tmp_path):
     os.remove(tmp_path / "z")
     (tmp_path / "new").write_bytes(b"")
     assert {(r.path, r.reason) for r in tree_digest.drift(spark, str(tmp_path), old, block=10, fan=3).collect()} == {("b", "changed"), ("z", "missing"), ("new", "new")}
+
+
+def test_folder_manifest_query(spark, sf_dir):
+    from pathlib import Path
+
+    from tracemill.plans import catalogue
+
+    rows = catalogue.QUERIES["folder_manifest"](spark, sf_dir).collect()
+    files = {str(p.relative_to(sf_dir)): p.read_bytes() for p in Path(sf_dir).rglob("*") if p.is_file()}
+    assert {r.path: r.digest for r in rows} == {n: brute(d, 1 << 20, 1024) for n, d in files.items()}
+    assert {r.folder for r in rows} == {tree([hashlib.sha256(n.encode() + b"\0" + brute(d, 1 << 20, 1024).encode()).hexdigest() for n, d in sorted(files.items())], 1024)}

@@ -37,6 +37,19 @@ def strictly_equal(a: Column, b: Column) -> Column:
     return F.coalesce(canonical(a) == canonical(b), F.lit(False))
 
 
+def report_score(text: Column, target: Column, key: str = "decision") -> Column:
+    """O-ev, J2: struct<valid_json, exact_report, decision_correct> of a report against its target (JSON texts): a report with a repeated key is no JSON, and only objects are reports."""
+    own = F.try_parse_json(text)
+    whole = F.coalesce(F.startswith(F.schema_of_variant(own), F.lit("OBJECT")), F.lit(False))
+    there = lambda v: F.coalesce(F.to_json(F.try_variant_get(v, f"$.{key}", "variant")), F.lit("null"))  # noqa: E731 - an absent key counts as null
+    return F.struct(whole.alias("valid_json"), strictly_equal(text, target).alias("exact_report"), (whole & (there(own) == there(F.try_parse_json(target)))).alias("decision_correct"))
+
+
+def loosely_contains(container: Column, needle: Column) -> Column:
+    """D9 for JSON texts: the looser check of benchmark generators: whether the container's text has the needle's. It differs from D3: it sees keys, punctuation and parts of numbers."""
+    return F.coalesce(F.contains(container, needle), F.lit(False))
+
+
 def at_path(text: Column, path: str, kind: str) -> Column:
     """C10 with a constant path: the value there if it has exactly this kind (no boolean is taken from a number), else null."""
     value = F.try_parse_json(text)

@@ -190,9 +190,10 @@ def reviews(spark: SparkSession, path: str, known: DataFrame, source_sha256: str
     return _checked(joined, rules).drop("first", "_sha", "_protocol", "text")
 
 
-def documents(spark: SparkSession, path: str) -> DataFrame:
-    """Items of multi-line JSON arrays (a path, a list or a pattern), with their file's name; content as JSON text."""
-    raw = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("source"), "value")
+def documents(spark: SparkSession, path: str, *, whole_path: bool = False) -> DataFrame:
+    """Items of multi-line JSON arrays (a path, a list or a pattern), with their file's name (or whole path); content as JSON text."""
+    file = F.col("_metadata.file_path")
+    raw = spark.read.text(path, wholetext=True).select((file if whole_path else F.element_at(F.split(file, "/"), -1)).alias("source"), "value")
     return raw.select("source", F.explode(F.from_json("value", "array<variant>")).alias("v")).select("source", F.to_json("v").alias("content"))
 
 
