@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 
@@ -86,3 +87,22 @@ def test_cleaned_documents_equal_brute_force(spark, odd, block):
             assert brute_words(got[i][1]) == [w for k, w in enumerate(left) if k not in gone] and got[i][0] == i
     assert sa.cleaned(docs, item_table(spark, items), block_chars=block).columns == docs.columns
     assert sa.cleaned(odd, item_table(spark, [])).count() == odd.count()
+
+
+def test_spans_of_several_blocks_are_united_in_linear_time(spark):
+    rng = random.Random(8)
+    texts = [[sorted({rng.randrange(60) for _ in range(rng.randrange(12))}) for _ in range(3)] for _ in range(60)]
+    spans = lambda starts, n: [(a, a + 1 + n) for a in starts]
+    rows = [(i, 100, 0, 5, [f"i{b}"], spans(starts, b)) for i, parts in enumerate(texts) for b, starts in enumerate(parts)]
+    n = 20_000
+    rows += [(1000, 10 * n, 0, 1, [], [(4 * k, 4 * k + 2) for k in range(n)]), (1000, 10 * n, 0, 2, [], [(4 * k + 1, 4 * k + 3) for k in range(n)])]
+    frame = spark.createDataFrame(rows, "_row bigint, n_words bigint, n_hit bigint, longest bigint, items array<string>, spans array<struct<start:bigint,end:bigint>>")
+    began = time.time()
+    got = {r["_row"]: r for r in sa._merged(frame).collect()}
+    assert time.time() - began < 20
+    for i, parts in enumerate(texts):
+        inside = {p for b, starts in enumerate(parts) for a, z in spans(starts, b) for p in range(a, z)}
+        edges = {a for a, z in ((a, z) for b, starts in enumerate(parts) for a, z in spans(starts, b))}
+        assert got[i].n_hit == len(inside) and {p for s in got[i].spans for p in range(s.start, s.end)} == inside
+        assert all(a.end < b.start for a, b in zip(got[i].spans, got[i].spans[1:], strict=False)) and {s.start for s in got[i].spans} <= edges
+    assert got[1000].n_hit == 3 * n and len(got[1000].spans) == n and got[1000].longest == 2

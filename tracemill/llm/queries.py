@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import byte_bpe, hard_negatives, language_id, license_scan, merkle, mpeg_audio, pii, secrets, sharding, simhash, suffix_automaton, url_filter, warc
+from tracemill.llm import base_queries, byte_bpe, hard_negatives, language_id, license_scan, merkle, mpeg_audio, pii, secrets, sharding, simhash, suffix_automaton, url_filter, warc
 from tracemill.llm.common import UPPER, read, shared_folder
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -76,7 +76,7 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(read(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 100 == 0)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_pii, op3_decontamination, op4_byte_bpe, op5_licenses, op6_media, op7_url_filter, op8_sharding, op9_language_id, op10_secrets, op11_merkle_manifest, op12_warc, op13_hard_negatives)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_pii, op3_decontamination, op4_byte_bpe, op5_licenses, op6_media, op7_url_filter, op8_sharding, op9_language_id, op10_secrets, op11_merkle_manifest, op12_warc, op13_hard_negatives)} | base_queries.QUERIES
 
 
 def _url_sql() -> str:
@@ -179,4 +179,4 @@ SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
 FROM f"""
 
 
-SQL: dict[str, str] = {"op3_decontamination": _decontamination_sql(), "op7_url_filter": _url_sql(), "op11_merkle_manifest": _merkle_sql(), "op12_warc": _WARC_SQL, "op13_hard_negatives": _HARD_NEGATIVES_SQL}
+SQL: dict[str, str] = {"op3_decontamination": _decontamination_sql(), "op7_url_filter": _url_sql(), "op11_merkle_manifest": _merkle_sql(), "op12_warc": _WARC_SQL, "op13_hard_negatives": _HARD_NEGATIVES_SQL} | base_queries.SQL

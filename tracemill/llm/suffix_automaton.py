@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.llm.common import LOWER_BYTES, checkpointed, map_texts
+from tracemill.llm.spans import running_max
 
 WINDOW = 13
 #: Items are taken in blocks of at most so many characters, each with an automaton of its own.
@@ -199,12 +200,12 @@ def _merged(both: DataFrame) -> DataFrame:
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
         F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
     )
-    kind = "array<struct<start:bigint,end:bigint>>"
-    last = lambda out: F.element_at(out, -1)
-    union = F.aggregate("spans", F.array().cast(kind), lambda out, s: F.when(
-        (F.size(out) > 0) & (F.try_element_at(out, F.lit(-1))["end"] >= s["start"]),
-        F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(last(out)["start"].alias("start"), F.greatest(last(out)["end"], s["end"]).alias("end")))),
-    ).otherwise(F.concat(out, F.array(s))).cast(kind))
+    one = one.withColumn("_upto", running_max(F.transform("spans", lambda s: s["end"].cast("int"))))
+    # a span opens a stretch if it starts behind the end of all before it; the stretch ends where the next one's predecessors end
+    opens = F.filter(F.sequence(F.lit(0), F.size("spans") - 1), lambda i: (i == 0) | (F.get("spans", i)["start"] > F.coalesce(F.get("_upto", i - 1), F.lit(-1))))
+    one = one.withColumn("_opens", F.when(F.size("spans") > 0, opens).otherwise(F.array().cast("array<int>")))
+    end = lambda k: F.get("_upto", F.coalesce(F.get("_opens", k + 1), F.size("spans")) - 1)
+    union = F.transform("_opens", lambda i, k: F.struct(F.get("spans", i)["start"].alias("start"), end(k).cast("bigint").alias("end")))
     one = one.withColumn("spans", union)
     return one.withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])).select("_row", *(n for n, _ in FIELDS))
 
