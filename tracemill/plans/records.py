@@ -1,13 +1,14 @@
 """Queries over records, sources, token tables and audits, with their SQL.
 
 Driver tables stand in for agent data as in ``catalogue``: lines, answers and
-metadata are made from ids by arithmetic, in the query and in its SQL, and what
-the operators find in them is derived from the rows on both sides.
+metadata are made from the tables' texts, labels and events, in the query and in
+its SQL, and what the operators find in them is computed from the rows on both
+sides.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracemill.functions import jsonx, maths, text
@@ -67,12 +68,21 @@ def record_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked.select("line", "id", F.get_json_object("result", "$.n").alias("n"), "evaluator", "violation")
 
 
-@query(f"""WITH {_RECORDS} SELECT line, coalesce({_FIRST}, CASE WHEN line % 19 = 0 THEN 'unknown case' WHEN line % 23 = 0 THEN 'changed case' WHEN line % 5 <> 4 THEN 'wrong protocol' WHEN meta ->> '$.adapter' <> 'a1' THEN 'other adapter' WHEN line % 17 = 0 THEN 'bad fingerprint' END) AS violation FROM lines""")
+@query("""WITH r AS (SELECT d.doc_id, lang, source, length(text) AS n, contains(text, '@') AS marked, l.quality, l.toxic, l.doc_id IS NOT NULL AS known FROM documents d LEFT JOIN labels l USING (doc_id) WHERE text IS NOT NULL AND source IS NOT NULL AND lang IS NOT NULL),
+m AS (SELECT max(source) AS own FROM r)
+SELECT doc_id AS line, CASE WHEN n % 10 = 0 THEN 'no case or result' WHEN n % 10 = 1 THEN 'bad run metadata' WHEN NOT known THEN 'unknown case' WHEN toxic = 1 THEN 'changed case' WHEN quality <> 1 THEN 'wrong protocol' WHEN source <> own THEN 'other adapter' WHEN marked THEN 'bad fingerprint' END AS violation FROM r, m""")
 def study_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records of a study against its known cases, its protocol, its manifest and their own fingerprint."""
-    rows = _record_lines(spark, sf_dir)
-    known = rows.filter("line % 19 <> 0").select(F.concat(F.lit("d"), "line").alias("id"), F.when(F.col("line") % 23 == 0, F.replace("known_case", F.lit('"lang"'), F.lit('"tongue"'))).otherwise(F.col("known_case")).alias("case"))
-    return jsonl.study_records(jsonl.check_records(rows.drop("known_case")), known, {"adapter": "a1", "model": "m1"}).select("line", "violation")
+    """Records of a study against its known cases (labelled documents), its protocol (good ones have the study's), its manifest (the last source is its adapter) and their own fingerprint (texts with an @ have another one)."""
+    both = _docs(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id", "left").filter("text is not null and source is not null and lang is not null")
+    n = F.length("text") % 10
+    case = lambda tongue: F.format_string('{"id":"d%d","lang":"%s","protocol_version":"%s"}', "doc_id", tongue, F.when(F.coalesce("quality", F.lit(1)) == 1, "2.4").otherwise("2.3"))
+    meta = F.format_string('{"adapter":"%s","model":"m1"}', "source")
+    signed = F.format_string('{"adapter":"%s","fingerprint":"%s","model":"m1"}', "source", F.when(F.contains("text", F.lit("@")), "x").otherwise(F.sha2(meta.cast("binary"), 256)))
+    line = F.when(n == 0, F.format_string('{"case":%s}', case(F.col("lang")))).otherwise(F.format_string('{"case":%s,"result":{"n":%d},"evaluator_version":"%s","run_metadata":%s}', case(F.col("lang")), "doc_id", F.when(F.coalesce("quality", F.lit(1)) == 1, "2.4").otherwise("2.3"), F.when(n == 1, "{}").otherwise(signed)))
+    known = both.filter("toxic is not null").select(F.concat(F.lit("d"), "doc_id").alias("id"), case(F.when(F.col("toxic") == 1, "zz").otherwise(F.col("lang"))).alias("case"))
+    own = both.agg(F.max("source")).first()[0]
+    rows = both.select(F.lit("records").alias("file"), F.col("doc_id").alias("line"), line.alias("text"))
+    return jsonl.study_records(jsonl.check_records(rows), known, {"adapter": own or "", "model": "m1"}).select("line", "violation")
 
 
 # scoring
@@ -200,14 +210,16 @@ def stored_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 # JSON values and texts
 
 
-@query("""SELECT event_id, event_id % 6 IN (0, 2) AS equal, event_id % 6 = 4 AS broken FROM events""")
+@query(f"""WITH {LOG}, p AS (SELECT *, lag(target) OVER w AS k, lag(tool) OVER w AS t, lag(ok) OVER w AS o, lag(value) OVER w AS v FROM log WINDOW w AS (PARTITION BY case_id ORDER BY idx))
+SELECT event_id, v BETWEEN 5 AND 50 AND target = k AND tool = t AND ok = o AS equal, v < 5 AS broken FROM p WHERE k IS NOT NULL""")
 def strict_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JSON texts that are equal (keys in another order, 1 and 1.0) and that are not (booleans and numbers, lists in another order, repeated keys)."""
-    k, kind = F.get_json_object("props", "$.k"), F.col("event_id") % 6
-    a = F.concat(F.lit('{"k": '), k, F.lit(', "b": true, "l": [1, 2]}'))
-    forms = {0: '{"l":[1,2],"b":true,"k":%s}', 1: '{"k":%s,"b":1,"l":[1,2]}', 2: '{"k":%s.0,"b":true,"l":[1.0,2]}', 3: '{"k":%s,"b":true,"l":[2,1]}', 4: '{"k":%s,"k":1,"b":true,"l":[1,2]}', 5: '{"k":%s,"b":true}'}
-    b = F.coalesce(*(F.when(kind == n, F.format_string(f, k)) for n, f in forms.items()))
-    return table(spark, sf_dir, "events").select("event_id", jsonx.strictly_equal(a, b).alias("equal"), jsonx.canonical(b).isNull().alias("broken"))
+    """An event against the one before it as JSON: keys in another order and 1.0 for 1 do not matter, a number for a boolean (dear events) does, and a repeated key (cheap events) is no JSON."""
+    w = Window.partitionBy("case_id").orderBy("idx")
+    log = executions(spark, sf_dir).withColumns({n: F.lag(c).over(w) for n, c in (("k", "target"), ("t", "tool"), ("o", "ok"), ("v", "value"))}).filter("k IS NOT NULL")
+    a = F.format_string('{"k": %d, "of": {"tool": "%s", "l": [%d, 1]}, "ok": %s}', "target", "tool", "target", F.col("ok").cast("string"))
+    flag = F.when(F.col("v") > 50, F.col("o").cast("int").cast("string")).otherwise(F.col("o").cast("string"))
+    b = F.format_string('{"ok":%s,%s"of":{"l":[%d,1.0],"tool":"%s"},"k":%d.0}', flag, F.when(F.col("v") < 5, '"k":1,').otherwise(""), "k", "t", "k")
+    return log.select("event_id", jsonx.strictly_equal(a, b).alias("equal"), jsonx.canonical(b).isNull().alias("broken"))
 
 
 @query("""SELECT doc_id, rtrim(regexp_replace(text || CASE doc_id % 3 WHEN 0 THEN ' <|end|> <|end|>' WHEN 1 THEN '<|end|>' ELSE '' END, '(\\s*<\\|end\\|>)+\\s*$', '')) = rtrim(text) AS stripped FROM documents WHERE text IS NOT NULL""")
@@ -238,14 +250,15 @@ def policy_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ops.episode_weights(rows, "u", "conv_id").select("conv_id", "turn", F.round("weight", 12).alias("weight"))
 
 
-@query("""WITH b AS (SELECT doc_id, n_chars % 700 AS n, doc_id % 9 AS k FROM documents)
-SELECT doc_id, CASE WHEN n = 0 THEN 'empty' WHEN k = 1 THEN 'misaligned' WHEN k = 2 THEN 'not_finite' WHEN n > 512 THEN 'too_many_new' WHEN k * 1100 + n > 8192 THEN 'context_too_long' END AS fault FROM b""")
+@query("""WITH w AS (SELECT doc_id, text, list_filter(string_split(text, ' '), lambda x: x <> '') AS ws, list_filter(string_split(replace(text, chr(10), ' '), ' '), lambda x: x <> '') AS tokens FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, CASE WHEN len(ws) = 0 THEN 'empty' WHEN len(tokens) <> len(ws) THEN 'misaligned' WHEN len(list_filter(ws, lambda x: length(x) = 1)) > 0 THEN 'not_finite' WHEN len(ws) > 512 THEN 'too_many_new' WHEN length(text) + len(ws) > 8192 THEN 'context_too_long' END AS fault FROM w""")
 def behaviour_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M6: recorded turns that cannot be trained on: empty, misaligned, not finite, too long."""
-    n, k = (F.col("n_chars") % 700).cast("int"), (F.col("doc_id") % 9).cast("int")
-    odd = F.when(k == 2, float("nan")).otherwise(-0.5)
-    rows = _docs(spark, sf_dir).select("doc_id", F.array_repeat(F.lit(7), n).alias("generated_ids"), F.array_repeat(odd, n).alias("old_logprobs"), F.array_repeat(F.lit(0.1), n + (k == 1).cast("int")).alias("token_entropies"), F.array_repeat(F.lit(3), k * 1100).alias("prompt_ids"))
-    return token_ops.behaviour_faults(rows).select("doc_id", "fault")
+    """M6: texts as recorded turns: a token per word, log-probabilities of its length (none for one letter), entropies for the words of all lines, so that texts of several lines are misaligned; empty, not finite and too long ones."""
+    parts = lambda t: F.filter(F.split(t, " ", -1), lambda x: x != "")
+    log = lambda x: F.when(F.length(x) == 1, float("-inf")).otherwise(-F.log(F.length(x).cast("double")))
+    rows = _docs(spark, sf_dir).filter("text is not null").withColumns({"w": parts(F.col("text")), "t": parts(F.translate("text", "\n", " "))})
+    made = rows.select("doc_id", F.transform("w", F.length).alias("generated_ids"), F.transform("w", log).alias("old_logprobs"), F.transform("t", lambda x: F.length(x) / 10).alias("token_entropies"), F.transform(F.split("text", ""), F.ascii).alias("prompt_ids"))
+    return token_ops.behaviour_faults(made).select("doc_id", "fault")
 
 
 @query("""WITH e AS (SELECT doc_id, (n_chars % 40)::INT AS n, (doc_id % 6)::INT AS p, doc_id // 16 AS batch FROM documents), w AS (SELECT *, max(n) OVER (PARTITION BY batch) AS width FROM e)
@@ -272,21 +285,22 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 # audits
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN 'missing' WHEN doc_id % 10 = 4 THEN 'new' ELSE 'changed' END AS reason FROM documents WHERE doc_id % 10 IN (2, 3, 4)""")
+@query("""WITH now AS (SELECT doc_id, n_chars AS a FROM documents WHERE lang <> 'de'), then_ AS (SELECT doc_id, length(text) + toxic AS a FROM labels JOIN documents USING (doc_id))
+SELECT doc_id, CASE WHEN now.a IS NULL THEN 'missing' WHEN then_.a IS NULL THEN 'new' ELSE 'changed' END AS reason FROM now FULL JOIN then_ USING (doc_id) WHERE now.a IS DISTINCT FROM then_.a""")
 def plan_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Plans that differ from the frozen ones as JSON values; keys in another order do not count."""
-    own, turned = (F.format_string(f, "doc_id", F.col("n_chars")) for f in ('{"a":%d,"b":%d}', '{"b":%2$d, "a":%1$d}'))
-    ends = F.col("doc_id") % 10
-    now = _docs(spark, sf_dir).filter(ends != 3).select("doc_id", F.when(ends == 2, F.replace(own, F.lit('"b"'), F.lit('"c"'))).otherwise(own).alias("plan"))
-    return audits.drifted(now, _docs(spark, sf_dir).filter(ends != 4).select("doc_id", turned.alias("plan")), "doc_id", "plan")
+    """Plans that differ from the frozen ones as JSON values; keys in another order do not count. Plans are those of documents in any language but one, frozen ones those of labelled documents, with the length of their text, one more for toxic ones."""
+    docs, labels = _docs(spark, sf_dir), table(spark, sf_dir, "labels")
+    now = docs.filter("lang <> 'de'").select("doc_id", F.format_string('{"a":%d,"b":"%s"}', "n_chars", "source").alias("plan"))
+    frozen = labels.join(docs, "doc_id").select("doc_id", F.format_string('{"b":"%s", "a":%d}', "source", (F.length("text") + F.col("toxic")).cast("bigint")).alias("plan"))
+    return audits.drifted(now, frozen, "doc_id", "plan")
 
 
-@query("""SELECT doc_id AS id, 'q' || lang AS query FROM documents WHERE doc_id % 7 = 0""")
+@query("""SELECT conv_id AS id, a AS query FROM (SELECT conv_id, arg_min(text, turn) FILTER (role = 'user') AS a, arg_max(text, turn) FILTER (role = 'user') AS b FROM conversations GROUP BY 1) WHERE a <> b""")
 def changed_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Results whose query is no longer the case's."""
-    old = _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.concat(F.lit("q"), "lang").alias("query"))
-    now = old.withColumn("query", F.when(F.col("id") % 7 == 0, F.concat("query", F.lit("!"))).otherwise(F.col("query")))
-    return audits.requery(old, now).select("id", "query")
+    """Results whose query (a conversation's first of the user) is no longer the case's (the user's last)."""
+    user = F.when(F.col("role") == "user", F.col("turn"))
+    both = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("id")).agg(F.min_by("text", user).alias("old"), F.max_by("text", user).alias("now")).filter("old is not null")
+    return audits.requery(both.select("id", F.col("old").alias("query")), both.select("id", F.col("now").alias("query"))).select("id", "query")
 
 
 @query("""SELECT DISTINCT o_orderstatus AS status, o_orderpriority AS priority FROM orders""")
@@ -296,34 +310,38 @@ def comparable_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audits.comparable(runs, "meta", ["adapter"]).select("m.status", "m.priority")
 
 
-@query("""SELECT item_id AS id, CASE item_id WHEN 1 THEN 'pass' WHEN 2 THEN 'fail' WHEN 5 THEN 'uncertain' END AS verdict FROM benchmark""")
+@query("""SELECT lang AS id, CASE lang WHEN 'en' THEN 'pass' WHEN 'de' THEN 'fail' WHEN 'es' THEN 'uncertain' END AS verdict, count(*)::BIGINT AS n FROM documents GROUP BY ALL""")
 def decision_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdicts from a table of constants; an id without one stays open."""
-    return audits.decided(table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("id")), {"1": "pass", "2": "fail", "5": "uncertain"}).select(F.col("id").cast("bigint").alias("id"), "verdict")
+    """Verdicts from a table of constants over the documents' languages; an id without one stays open."""
+    rows = audits.decided(_docs(spark, sf_dir).select(F.col("lang").alias("id")), {"en": "pass", "de": "fail", "es": "uncertain"})
+    return rows.groupBy("id", "verdict").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""WITH a AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN [doc_id % 4] WHEN 1 THEN [doc_id % 4, doc_id % 4 + 1] WHEN 2 THEN [doc_id % 4, doc_id % 4] ELSE []::BIGINT[] END AS claims, doc_id % 3 AS seen FROM documents)
-SELECT doc_id, len(claims)::BIGINT AS claims, CASE WHEN len(claims) = 0 THEN 'unparsed_needs_review' WHEN len(list_distinct(claims)) > 1 THEN 'conflicting_claims_needs_review' WHEN claims[1] <> seen THEN 'mismatch_needs_review' ELSE 'matched_count_only' END AS status FROM a""")
+@query(f"""WITH {LOG}, c AS (SELECT case_id, count(*) FILTER (NOT ok) AS seen, count(*) FILTER (NOT ok AND step <= 15) AS early, arg_max(tool, idx) AS last FROM log GROUP BY 1),
+a AS (SELECT *, CASE last WHEN 'view' THEN [early] WHEN 'click' THEN [early, seen] WHEN 'purchase' THEN [seen, seen] ELSE []::BIGINT[] END AS claims FROM c)
+SELECT case_id, len(claims)::BIGINT AS claims, CASE WHEN len(claims) = 0 THEN 'unparsed_needs_review' WHEN len(list_distinct(claims)) > 1 THEN 'conflicting_claims_needs_review' WHEN claims[1] <> seen THEN 'mismatch_needs_review' ELSE 'matched_count_only' END AS status FROM a""")
 def failure_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Failure counts that answers state in clauses of their own, against what was observed."""
-    n, kind = F.col("doc_id") % 4, F.col("doc_id") % 5
-    one = F.concat(F.lit("完成。实际发生的失败次数：**"), n, F.lit("** 次；好"))
-    answer = F.when(kind == 0, one).when(kind == 1, F.concat(one, F.lit("\n- 实际工具失败"), n + 1, F.lit("次"))).when(kind == 2, F.concat(one, F.lit("\n- 实际工具失败 "), n, F.lit(" 次"))).when(kind == 3, F.concat(F.lit("共实际工具失败"), n, F.lit("次左右")))
-    found = _docs(spark, sf_dir).select("doc_id", audits.claim_status(answer, F.col("doc_id") % 3).alias("c"))
-    return found.select("doc_id", F.size("c.claims").cast("bigint").alias("claims"), F.col("c.status").alias("status"))
-
-
-@query("""WITH c AS (SELECT doc_id, doc_id % 2 = 0 AS log_tool, doc_id % 3 = 0 AS log_text, doc_id % 5 = 0 AS redundant, doc_id % 7 = 0 AS locked, doc_id % 4 AS f FROM documents),
-r AS (SELECT doc_id, unnest([CASE WHEN log_tool AND NOT log_text THEN 'mandatory_logs_not_explicit_in_prompt' END, CASE WHEN f = 1 THEN 'knowledge_before_action_order_not_enforced' END, CASE WHEN redundant THEN 'explicit_no_redundant_mutation_not_enforced' END,
-  CASE WHEN locked THEN 'explicit_read_only_not_enforced_throughout_trace' END, CASE WHEN f = 2 THEN 'build_tool_identity_required_despite_equivalent_state_tool' END]) AS risk FROM c)
+    """Failure counts that answers state in clauses of their own, against what the events show. What an answer states depends on the case's last tool: the failures of the month's first half, both counts, all failures twice, or nothing that is a clause."""
+    bad = ~F.col("ok")
+    counted = executions(spark, sf_dir).groupBy("case_id").agg(F.count_if(bad).alias("seen"), F.count_if(bad & (F.col("step") <= 15)).alias("early"), F.max_by("tool", "idx").alias("last"))
+    one = lambda n: F.concat(F.lit("完成。实际发生的失败次数：**"), n, F.lit("** 次；好"))
+    more = lambda n: F.concat(F.lit("\n- 实际工具失败 "), n, F.lit(" 次"))
+    early, seen, last = F.col("early"), F.col("seen"), F.col("last")
+    answer = F.when(last == "view", one(early)).when(last == "click", F.concat(one(early), more(seen))).when(last == "purchase", F.concat(one(seen), more(seen))).otherwise(F.concat(F.lit("共实际工具失败"), seen, F.lit("次左右")))
+    return counted.select("case_id", audits.claim_status(answer, seen).alias("c")).select("case_id", F.size("c.claims").cast("bigint").alias("claims"), F.col("c.status").alias("status"))
+
+
+@query("""WITH c AS (SELECT doc_id, contains(text, 'an') AS log_tool, contains(text, '@') AS log_text, contains(text, 'token') AS redundant, contains(text, ' 1') AS locked, lang FROM documents WHERE text IS NOT NULL),
+r AS (SELECT doc_id, unnest([CASE WHEN log_tool AND NOT log_text THEN 'mandatory_logs_not_explicit_in_prompt' END, CASE WHEN lang = 'en' THEN 'knowledge_before_action_order_not_enforced' END, CASE WHEN redundant THEN 'explicit_no_redundant_mutation_not_enforced' END,
+  CASE WHEN locked THEN 'explicit_read_only_not_enforced_throughout_trace' END, CASE WHEN lang = 'de' THEN 'build_tool_identity_required_despite_equivalent_state_tool' END]) AS risk FROM c)
 SELECT risk, count(*)::BIGINT AS n FROM r WHERE risk IS NOT NULL GROUP BY 1""")
 def contract_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """the gaps between a case's public text and its hidden rules, counted; a case may have several."""
-    d = F.col("doc_id")
-    asked = F.concat(F.lit("任务"), F.when(d % 3 == 0, "查询日志").otherwise(""), F.when(d % 5 == 0, "不做多余跳转").otherwise(""), F.when(d % 7 == 0, "不要改变界面").otherwise(""))
-    family = F.element_at(F.array(*map(F.lit, ("no_tool", "reproduce_black_screen", "build_info", "ui_state"))), (d % 4 + 1).cast("int"))
-    tools = F.when(d % 2 == 0, F.array(F.lit("query_logs"))).otherwise(F.array(F.lit("verify_state")))
-    return aggregate.histogram(_docs(spark, sf_dir), [], audits.contract_risks(asked, family, tools), "risk")
+    """the gaps between a case's public text and its hidden rules, counted; a case may have several. Texts that hold certain marks ask for what the rules name; the language is the family."""
+    has = lambda mark: F.contains("text", F.lit(mark))
+    asked = F.concat(F.lit("任务"), F.when(has("@"), "查询日志").otherwise(""), F.when(has("token"), "不做多余跳转").otherwise(""), F.when(has(" 1"), "不要改变界面").otherwise(""))
+    family = F.when(F.col("lang") == "en", "reproduce_black_screen").when(F.col("lang") == "de", "build_info").otherwise("ui_state")
+    tools = F.when(has("an"), F.array(F.lit("query_logs"))).otherwise(F.array(F.lit("verify_state")))
+    return aggregate.histogram(_docs(spark, sf_dir).filter("text is not null"), [], audits.contract_risks(asked, family, tools), "risk")
 
 
 @query(f"""WITH {LOG}, r AS (SELECT *, CASE tool WHEN 'view' THEN 'inspect_ui_state' WHEN 'click' THEN 'verify_state' WHEN 'purchase' THEN 'execute_action' ELSE 'query_logs' END AS t FROM log)
@@ -339,22 +357,23 @@ def trace_fact_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audits.trace_facts(made).withColumn("page", F.get_json_object("latest_state", "$.current_page")).drop("latest_state")
 
 
-@query("""SELECT doc_id AS id FROM documents WHERE doc_id % 5 <> 0 AND doc_id % 3 = 0""")
+@query("""SELECT doc_id AS id FROM labels JOIN documents USING (doc_id) WHERE n_chars = length(text) + toxic AND quality = 1""")
 def inherited_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reviews that a rerun may keep, because its result is exactly the reviewed one."""
-    old = _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.format_string('{"a":%d,"b":"%s"}', "doc_id", "lang").alias("result"))
-    new = _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.format_string('{"b":"%2$s","a":%1$d}', F.when(F.col("doc_id") % 5 == 0, -1).otherwise(F.col("doc_id")), "lang").alias("result"))
-    return audits.inherited(old, new, old.filter("id % 3 = 0").select("id"))
+    """Reviews (of good documents) that a rerun may keep, because its result is exactly the reviewed one: a document's length and source, the length one more for toxic ones."""
+    docs, labels = _docs(spark, sf_dir), table(spark, sf_dir, "labels")
+    old = docs.select(F.col("doc_id").alias("id"), F.format_string('{"a":%d,"b":"%s"}', "n_chars", "source").alias("result"))
+    new = docs.join(labels, "doc_id", "left").select(F.col("doc_id").alias("id"), F.format_string('{"b":"%s","a":%d}', "source", (F.length("text") + F.coalesce("toxic", F.lit(0))).cast("bigint")).alias("result"))
+    return audits.inherited(old, new, labels.filter("quality = 1").select(F.col("doc_id").alias("id")))
 
 
-@query("""WITH c AS (SELECT doc_id, doc_id % 3 AS f, doc_id % 2 = 0 AS hinted FROM documents)
-SELECT doc_id AS id, CASE WHEN hinted THEN '报告用事件编号 ' || CASE f WHEN 1 THEN 'INC-102' ELSE 'INC-101' END || '核对' ELSE '报告' END AS query, hinted AS requires_new_inference, CASE WHEN doc_id % 4 = 0 AND f = 2 THEN 1 ELSE 0 END::INT AS rules,
-CASE WHEN doc_id % 4 = 0 AND f <> 2 THEN 'recovery family without contract' END AS fault FROM c""")
+@query("""WITH c AS (SELECT doc_id, lang, contains(text, 'tion') AS hinted, quality = 1 AS recovers FROM documents JOIN labels USING (doc_id))
+SELECT doc_id AS id, CASE WHEN hinted THEN '报告用事件编号 ' || CASE lang WHEN 'fr' THEN 'INC-102' ELSE 'INC-101' END || '核对' ELSE '报告' END AS query, hinted AS requires_new_inference, CASE WHEN recovers AND lang = 'en' THEN 1 ELSE 0 END::INT AS rules,
+CASE WHEN recovers AND lang <> 'en' THEN 'recovery family without contract' END AS fault FROM c""")
 def case_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cases revised for later protocols: named incidents, new inference where the query has changed, process rules, faults of families without one."""
-    d = F.col("doc_id")
-    family = F.element_at(F.array(F.lit("no_tool"), F.lit("knowledge_hud"), F.lit("recovery_action")), (d % 3 + 1).cast("int"))
-    cases = _docs(spark, sf_dir).select(d.alias("id"), family.alias("scenario_family"), F.when(d % 2 == 0, "报告用事件编号核对").otherwise("报告").alias("query"), (d % 4 == 0).alias("requires_recovery"))
+    """Cases revised for later protocols: named incidents, new inference where the query has changed, process rules, faults of families without one. Labelled documents are the cases: the language is the family, good ones ask for recovery, and a syllable of the text hints at an incident."""
+    family = F.when(F.col("lang") == "fr", "knowledge_hud").when(F.col("lang") == "en", "recovery_action").otherwise("no_tool")
+    both = _docs(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id")
+    cases = both.select(F.col("doc_id").alias("id"), family.alias("scenario_family"), F.when(F.contains("text", F.lit("tion")), "报告用事件编号核对").otherwise("报告").alias("query"), (F.col("quality") == 1).alias("requires_recovery"))
     return audits.process_contracts(audits.revised_queries(cases)).select("id", "query", "requires_new_inference", F.size("process_constraints").alias("rules"), "fault")
 
 

@@ -37,8 +37,9 @@ def _checked(rows: DataFrame, rules: list[tuple[str, Column]]) -> DataFrame:
 
 
 def _unique(df: DataFrame, key: str) -> Column:
-    """Whether no earlier line has the same key."""
-    return F.col(key).isNull() | (F.row_number().over(Window.partitionBy(key).orderBy("file", "line")) == 1)
+    """Whether no earlier line has the same key; lines without one are groups of their own, so that they don't meet in one task."""
+    own = F.coalesce(F.concat(F.lit("k"), F.col(key)), F.concat_ws(":", F.lit("n"), "file", F.col("line").cast("string")))
+    return F.row_number().over(Window.partitionBy(own).orderBy("file", "line")) == 1
 
 
 def cases(spark: SparkSession, path: str) -> DataFrame:
