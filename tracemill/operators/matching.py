@@ -151,19 +151,41 @@ def matched(specs: DataFrame, calls: DataFrame, case: str = "case_id") -> DataFr
     counted = lambda rows, n: rows.groupBy("_case", "name", "key").agg(F.count(F.lit(1)).alias(n))
     exact = counted(pick(named, True), "s").join(counted(pick(made, True), "c"), ["_case", "name", "key"]).groupBy("_case").agg(F.sum(F.least("s", "c")).alias("m"))
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        value = lambda t: _loads(t)
-        m = most_matches([(e, value(a)) for e, a in zip(left.column("exact").to_pylist(), left.column("arguments").to_pylist(), strict=True)], [value(a) for a in right.column("arguments").to_pylist()])
-        return pa.table({"_case": left.column("_case").slice(0, 1), "m": pa.array([m], pa.int64())}) if left.num_rows else left.select(["_case"]).append_column("m", pa.array([], pa.int64()))
-
     kind = specs.schema[case].dataType.simpleString()
-    rest = pick(named, False).groupBy("_case", "name").cogroup(pick(made, False).groupBy("_case", "name")).applyInArrow(run, f"_case {kind}, m bigint")
+    tagged = lambda rows, n, exact: rows.select("_case", "name", F.lit(n).alias("kind"), exact.alias("exact"), "arguments")
+    both = tagged(pick(named, False), 0, F.col("exact")).unionByName(tagged(pick(made, False), 1, F.lit(False)))
+    # by a hash of the keys: for the keys themselves Spark may leave the shuffle out and count on both halves being dealt alike
+    rest = both.repartition(F.xxhash64("_case", "name")).sortWithinPartitions("_case", "name", "kind").mapInArrow(_streamed, f"_case {kind}, m bigint")
     found = exact.unionByName(rest).groupBy("_case").agg(F.sum("m").alias("matches"))
     totals = wanted.groupBy("_case").agg(F.count(F.lit(1)).alias("specs"))
     out = totals.join(found, "_case", "left").withColumn("matches", F.coalesce("matches", F.lit(0)).cast("bigint"))
     return out.select(F.col("_case").alias(case), "specs", "matches", (F.col("matches") / F.col("specs")).alias("accuracy"))
 
 
+def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Matches of each (case, name) of a sorted partition; one group is held at a time, however small the groups are."""
+    now: tuple | None = None
+    specs: list = []
+    made: list = []
+    kind = None
+    for batch in batches:
+        kind = batch.schema.field(0).type
+        cases, sizes = [], []
+        for of, name, which, exact, arguments in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (of, name) != now:
+                if specs and made:
+                    cases.append(now[0])
+                    sizes.append(most_matches(specs, made))
+                now, specs, made = (of, name), [], []
+            if which:
+                made.append(_loads(arguments))
+            else:
+                specs.append((exact, _loads(arguments)))
+        yield pa.RecordBatch.from_arrays([pa.array(cases, kind), pa.array(sizes, pa.int64())], names=["_case", "m"])
+    if specs and made:
+        yield pa.RecordBatch.from_arrays([pa.array([now[0]], kind), pa.array([most_matches(specs, made)], pa.int64())], names=["_case", "m"])
+
+
 def _loads(text: str) -> Any:
     try:
         return json.loads(text)
