@@ -50,8 +50,8 @@ from tracemill.llm.common import checkpointed, remove, slices, small_batches
 SHARD_BYTES, LEAST_SHARDS, LEAST_SHARD_BYTES, FILE_BYTES, LEAST_REVISIT = 4 << 30, 256, 64 << 10, 1 << 30, 0
 #: What a record's headers take, about; it counts in a shard's size.
 HEADER_BYTES = 700
-#: Tasks that read archives, at most; with fewer files there is a task for each, about.
-READ_TASKS = 20_000
+#: Compressed bytes of archives that a task reads, about.
+READ_BYTES = 64 << 20
 DATE = "2024-01-01T00:00:00Z"
 MANIFEST = "file string, shard int, sequence int, records bigint, responses bigint, revisits bigint, payload_bytes bigint, file_bytes bigint, sha256 string"
 RECORD = "page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, digests_hold boolean, file string, offset bigint, length bigint"
@@ -288,5 +288,7 @@ def records(spark: SparkSession, folder: str, *, payloads: bool = False) -> Data
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), arrow.types, strict=True)], names=arrow.names)
 
-    listed = manifest(spark, folder).select("file", "sha256")
-    return listed.repartition(min(max(listed.count(), 1), READ_TASKS), "file").mapInArrow(run, schema)
+    listed = manifest(spark, folder)
+    whole = listed.agg(F.count(F.lit(1)).alias("files"), F.sum("file_bytes").alias("bytes")).first()
+    tasks = min(max(whole["files"], 1), max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(whole["bytes"] or 0) // READ_BYTES)))
+    return listed.select("file", "sha256").repartition(tasks, "file").mapInArrow(run, schema)
