@@ -792,4 +792,4 @@ def challenge_oracle_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count(F.lit(1)).alias("cases"), F.count_if("execution_success").alias("passed"), F.sum("tool_call_count").alias("tool_calls"), F.sum("failed_tool_calls").alias("failed_calls"))
 
 
-from tracemill.plans import files, records, sequences  # noqa: E402, F401 - registers the queries over files, records, sources, audits and sequences
+from tracemill.plans import files, records, sequences, traces  # noqa: E402, F401 - registers the queries over files, records, sources, audits, sequences and traces

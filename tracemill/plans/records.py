@@ -90,7 +90,11 @@ def study_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _trajectories(spark: SparkSession, sf_dir: str, case: Column, payload: Column, error: Column, **result: Column) -> DataFrame:
     """A record per user with one step a day: what ran, its payload or its error, and the case that ``case`` makes from case_id."""
-    log = executions(spark, sf_dir)
+    return trajectories(executions(spark, sf_dir), case, payload, error, **result)
+
+
+def trajectories(log: DataFrame, case: Column, payload: Column, error: Column, **result: Column) -> DataFrame:
+    """As above, over a log of case_id, idx, step, tool, target and ok."""
     call = F.struct(F.col("tool").alias("name"), F.struct(F.col("target").alias("k")).alias("arguments"))
     envelope = F.concat(F.lit('{"ok":'), F.col("ok").cast("string"), F.lit(","), F.when(F.col("ok"), F.concat(F.lit('"result":'), payload)).otherwise(error), F.lit("}"))
     entry = F.concat(F.lit('{"tool_call":'), F.to_json(call), F.lit(',"result":'), envelope, F.lit("}"))
