@@ -33,6 +33,19 @@ def query(sql: str | None = None) -> Callable:
     return register
 
 
+#: Checks of the generated case sets, by name. They read no table, so they are no queries of the engine; tests run them against their SQL.
+STUDIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+STUDY_SQL: dict[str, str] = {}
+
+
+def study(sql: str) -> Callable:
+    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        STUDIES[f.__name__], STUDY_SQL[f.__name__] = f, sql
+        return f
+
+    return register
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -608,7 +621,7 @@ def clause_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.size(text.clauses(F.col("text"))).cast("bigint").alias("clauses"))
 
 
-@query("""WITH g AS (SELECT c.v AS c, t.v AS t, u.v AS u, d.v AS d, p.v AS p FROM (SELECT unnest([0, 1]) AS v) c, (SELECT unnest(generate_series(0, 3)) AS v) t, (SELECT unnest([0, 1]) AS v) u, (SELECT unnest(generate_series(0, 2)) AS v) d, (SELECT unnest([0, 1]) AS v) p)
+@study("""WITH g AS (SELECT c.v AS c, t.v AS t, u.v AS u, d.v AS d, p.v AS p FROM (SELECT unnest([0, 1]) AS v) c, (SELECT unnest(generate_series(0, 3)) AS v) t, (SELECT unnest([0, 1]) AS v) u, (SELECT unnest(generate_series(0, 2)) AS v) d, (SELECT unnest([0, 1]) AS v) p)
 SELECT c::INT AS concurrent, t::INT AS transient, u::INT AS timeout, d::INT AS delay, p::INT AS passes, (1 + 4 * (c + t) + 3 + u + 1 + (d + 1) + (1 - p) + 1)::BIGINT AS calls, (c + t + u)::BIGINT AS tool_errors, (1 - p)::BIGINT AS check_failures,
 CASE WHEN p = 1 THEN 'applied' ELSE 'rolled_back' END AS outcome, (1 + c + 1 + (1 - p))::BIGINT AS revision FROM g""")
 def txn_oracle_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -625,7 +638,7 @@ k AS (SELECT *, CASE WHEN timeout = 'true' AND concurrent = 'true' THEN 'confirm
 a AS (SELECT split, group_id, calls, passes FROM k UNION ALL SELECT * FROM (VALUES ('train', 'p1', 2, 'blocked'), ('confirmation_ood', 'p2', 5, 'blocked')) v(split, group_id, calls, passes))""".replace("FLAG", "(SELECT unnest(['false', 'true']) AS v)")
 
 
-@query(f"""WITH {_PROFILES}, n AS (SELECT *, CASE WHEN split = 'train' THEN 42 ELSE 16 END AS n FROM a)
+@study(f"""WITH {_PROFILES}, n AS (SELECT *, CASE WHEN split = 'train' THEN 42 ELSE 16 END AS n FROM a)
 SELECT split, sum(n)::BIGINT AS cases, count(*)::BIGINT AS groups, sum(n * (calls + 1))::BIGINT AS examples, min(calls)::BIGINT AS min_calls, max(calls)::BIGINT AS max_calls,
 sum(n) FILTER (passes = 'true')::BIGINT AS applied, sum(n) FILTER (passes = 'false')::BIGINT AS rolled_back, coalesce(sum(n) FILTER (passes = 'blocked'), 0)::BIGINT AS blocked FROM n GROUP BY split""")
 def txn_split_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -639,7 +652,7 @@ def txn_split_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
         count("applied").alias("applied"), count("rolled_back").alias("rolled_back"), count("blocked").alias("blocked"))
 
 
-@query(f"""WITH {_PROFILES}, n AS (SELECT *, CASE WHEN split = 'train' THEN 42 ELSE 16 END AS n FROM a)
+@study(f"""WITH {_PROFILES}, n AS (SELECT *, CASE WHEN split = 'train' THEN 42 ELSE 16 END AS n FROM a)
 SELECT split, sum(n)::BIGINT AS cases, sum(n)::BIGINT AS passed, 0::BIGINT AS mismatched, 0::BIGINT AS violations, sum(n * calls)::BIGINT AS tool_calls FROM n GROUP BY split""")
 def txn_replay_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The teacher's traces of all cases, replayed and judged; the closed form says what must come out."""
@@ -700,7 +713,7 @@ pages AS (SELECT * FROM (VALUES ('home', 2), ('settings', 1), ('graphics', 0), (
 pilot AS (SELECT k, ending, fault, page, CASE WHEN place <= 16 THEN 'train' WHEN place <= 20 THEN 'validation' ELSE 'confirmation' END AS split, 1 + way + 3 + 2 * fault + 1 + CASE ending WHEN 'battle' THEN 3 ELSE 0 END + 2 AS calls FROM pg, pages)"""
 
 
-@query(f"""WITH {_PILOT} SELECT split, count(*)::BIGINT AS cases, count(DISTINCT k)::BIGINT AS groups, count(*)::BIGINT AS passed, sum(calls)::BIGINT AS tool_calls, sum(fault)::BIGINT AS failed_calls, 1.0::DOUBLE AS tool_f1, 0::BIGINT AS faults
+@study(f"""WITH {_PILOT} SELECT split, count(*)::BIGINT AS cases, count(DISTINCT k)::BIGINT AS groups, count(*)::BIGINT AS passed, sum(calls)::BIGINT AS tool_calls, sum(fault)::BIGINT AS failed_calls, 1.0::DOUBLE AS tool_f1, 0::BIGINT AS faults
 FROM pilot, (SELECT unnest(['android', 'ios']) AS platform), (SELECT unnest([0, 1]) AS surface) GROUP BY split""")
 def pilot_oracle_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A13, O, F10, K1, L1: the pilot's generated cases run by their own calls; under protocol 2.3 all must pass. The SQL counts calls and failures by rule."""
@@ -709,7 +722,7 @@ def pilot_oracle_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.groupBy("split").agg(F.count(F.lit(1)).alias("cases"), F.countDistinct("group_id").alias("groups"), F.count_if("execution_success").alias("passed"), F.sum("tool_call_count").alias("tool_calls"), F.sum("failed_tool_calls").alias("failed_calls"), F.round(F.avg("tool_f1"), 9).alias("tool_f1"), F.count("fault").alias("faults"))
 
 
-@query(f"""WITH {_PILOT}, v AS (SELECT ending, (platform * 10 + 2 * (list_position(['home', 'settings', 'graphics', 'dungeon_select', 'multiplayer_dungeon'], page) - 1) + surface) % 4 AS variant
+@study(f"""WITH {_PILOT}, v AS (SELECT ending, (platform * 10 + 2 * (list_position(['home', 'settings', 'graphics', 'dungeon_select', 'multiplayer_dungeon'], page) - 1) + surface) % 4 AS variant
   FROM pilot, (SELECT unnest([0, 1]) AS platform), (SELECT unnest([0, 1]) AS surface)),
 r AS (SELECT ending, variant, ending = 'battle' AND variant = 2 AS stuck, CASE WHEN stuck THEN 2 ELSE 0 END AS call, CASE WHEN variant = 2 AND NOT stuck THEN 1 ELSE 0 END AS fault, CASE WHEN stuck THEN 2 WHEN variant = 1 THEN 1 ELSE 0 END AS state, CASE WHEN variant = 3 THEN 3 ELSE 0 END AS result FROM v)
 SELECT ending, variant::VARCHAR AS variant, count(*)::BIGINT AS cases, count(*) FILTER (WHERE call + fault + state + result = 0)::BIGINT AS satisfiable, sum(call)::BIGINT AS refused_calls, sum(fault)::BIGINT AS unspent_faults, sum(state)::BIGINT AS missed_fields, sum(result)::BIGINT AS missed_results FROM r GROUP BY ending, variant""")
@@ -722,7 +735,7 @@ def case_satisfiability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("key.*", "satisfiable", "contradictions").groupBy("ending", "variant").agg(*counts)
 
 
-@query("""SELECT p AS pattern, s AS split, n::BIGINT AS cases, (CASE p WHEN 'transient_once' THEN 1 WHEN 'transient_twice' THEN 2 WHEN 'policy_once' THEN 1 WHEN 'policy_twice' THEN 2 WHEN 'bad_arguments' THEN 1 WHEN 'mixed_policy_check' THEN 1 ELSE 0 END * n)::BIGINT AS tool_errors,
+@study("""SELECT p AS pattern, s AS split, n::BIGINT AS cases, (CASE p WHEN 'transient_once' THEN 1 WHEN 'transient_twice' THEN 2 WHEN 'policy_once' THEN 1 WHEN 'policy_twice' THEN 2 WHEN 'bad_arguments' THEN 1 WHEN 'mixed_policy_check' THEN 1 ELSE 0 END * n)::BIGINT AS tool_errors,
 CASE WHEN p LIKE '%policy%' THEN 'stop_mutations' WHEN p = 'bad_arguments' THEN 'repair_arguments' WHEN p LIKE 'transient%' THEN 'inspect_before_retry' ELSE 'no_retry_needed' END AS decision
 FROM (SELECT unnest(['clean', 'transient_once', 'transient_twice', 'policy_once', 'policy_twice', 'bad_arguments', 'negative_check', 'mixed_policy_check']) AS p), (VALUES ('train', 24), ('validation', 6), ('confirmation', 6)) v(s, n)""")
 def evidence_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -732,7 +745,7 @@ def evidence_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cases.groupBy("pattern", "split").agg(F.count(F.lit(1)).alias("cases"), F.sum(target("tool_errors").cast("bigint")).alias("tool_errors"), F.max(target("decision")).alias("decision"))
 
 
-@query("""WITH RECURSIVE conf AS (SELECT list('{"cache_enabled":' || c || ',"quality":"' || q || '"}') AS l FROM (SELECT unnest(['low', 'standard', 'high']) AS q), (SELECT unnest(['false', 'true']) AS c)),
+@study("""WITH RECURSIVE conf AS (SELECT list('{"cache_enabled":' || c || ',"quality":"' || q || '"}') AS l FROM (SELECT unnest(['low', 'standard', 'high']) AS q), (SELECT unnest(['false', 'true']) AS c)),
 pool AS (SELECT list({k: a || ',' || b || ',' || r, a: a, b: b, r: r}) AS l FROM (SELECT unnest(l) AS a FROM conf), (SELECT unnest(l) AS b FROM conf), (SELECT unnest([11, 23, 37, 53, 71, 89, 101, 127]) AS r) WHERE a <> b),
 g AS (SELECT i, CASE WHEN i < 12 THEN 'train' WHEN i < 16 THEN 'id' ELSE 'ood' END AS split FROM range(20) t(i)),
 n AS (SELECT i, split, left(sha256('repaired-v1:' || split || ':' || i), 16) AS gid FROM g),
@@ -749,7 +762,7 @@ def repaired_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diagnostics.repaired_cases(spark).select("case_id", "split", at("initial_config").alias("initial"), "desired", *(at(c).cast("bigint").alias(c) for c in ("revision", "check_delay", "transient_commits")))
 
 
-@query("""WITH g AS (SELECT f AS family, r, t, f || '_r' || r || '_t' || t AS gid, row_number() OVER (PARTITION BY f ORDER BY sha256('20260916:' || f || ':(' || r || ', ' || t || ')')) AS place
+@study("""WITH g AS (SELECT f AS family, r, t, f || '_r' || r || '_t' || t AS gid, row_number() OVER (PARTITION BY f ORDER BY sha256('20260916:' || f || ':(' || r || ', ' || t || ')')) AS place
   FROM (SELECT unnest(['clean', 'transient', 'arguments', 'policy']) AS f), (SELECT unnest([1, 2, 3]) AS r), (SELECT unnest([0, 1, 2, 3]) AS t)),
 v AS (SELECT *, row_number() OVER (PARTITION BY gid ORDER BY sha256('20260916:' || gid || ':' || v)) - 1 AS nth FROM g, (SELECT unnest([0, 1, 2, 3, 4, 5]) AS v))
 SELECT 'audit2_' || gid || '_' || v || '_' || s AS id, family, CASE WHEN place <= 8 THEN 'train' WHEN place <= 10 THEN 'validation' ELSE 'confirmation' END AS split, s AS style, s = ['json', 'records', 'table'][nth % 3 + 1] AS in_mixed_arm,
@@ -763,7 +776,7 @@ def ablation_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cases.select("id", "family", "split", "style", (F.col("style") == F.col("mixed_style")).alias("in_mixed_arm"), entries.cast("bigint").alias("entries"))
 
 
-@query("""SELECT a AS arm, p AS pattern, 3::BIGINT AS cases, locked <> (a = 'current_policy_flip') AS read_only,
+@study("""SELECT a AS arm, p AS pattern, 3::BIGINT AS cases, locked <> (a = 'current_policy_flip') AS read_only,
   (CASE WHEN p LIKE '%_once' OR p IN ('bad_arguments', 'mixed_policy_check') THEN 1 WHEN p LIKE '%_twice' THEN 2 ELSE 0 END * 3)::BIGINT AS tool_errors,
   CASE WHEN locked <> (a = 'current_policy_flip') THEN 'stop_mutations' WHEN p = 'bad_arguments' THEN 'repair_arguments' WHEN p LIKE 'transient%' THEN 'inspect_before_retry' ELSE 'no_retry_needed' END AS decision
 FROM (SELECT unnest(['original', 'surface', 'extended_history', 'current_policy_flip']) AS a), (SELECT p, p LIKE '%policy%' AS locked FROM (SELECT unnest(['clean', 'transient_once', 'transient_twice', 'policy_once', 'policy_twice', 'bad_arguments', 'negative_check', 'mixed_policy_check']) AS p))""")
@@ -774,7 +787,7 @@ def stress_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cases.groupBy("arm", "pattern").agg(F.count(F.lit(1)).alias("cases"), F.bool_and(at("read_only").cast("boolean")).alias("read_only"), F.sum(at("target.tool_errors").cast("bigint")).alias("tool_errors"), F.max(at("target.decision")).alias("decision"))
 
 
-@query(f"""WITH {_PILOT}, legs AS (SELECT ending, CASE ending WHEN 'battle' THEN 3 ELSE 0 END AS more FROM (SELECT unnest(['home', 'battle']) AS ending)),
+@study(f"""WITH {_PILOT}, legs AS (SELECT ending, CASE ending WHEN 'battle' THEN 3 ELSE 0 END AS more FROM (SELECT unnest(['home', 'battle']) AS ending)),
 kept AS (SELECT * FROM pilot WHERE split = 'confirmation'),
 made AS (
   SELECT '2.3' AS protocol, 'expression' AS category, calls, fault AS failed FROM kept, (SELECT unnest(['control', 'rewrite']) AS variant)
