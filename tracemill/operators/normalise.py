@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 _MARKER = r"(?i)</?tool_call(?=\s|>|$)"
 _CALLS, _RESULTS, _OWN = ("parsed_tool_calls", "tool_calls", "calls"), ("tool_results", "results"), ("tool_call", "call")
 _FALSE = ('""', "0", "0.0", "false", "null", "[]", "{}")
-_EVENT = "struct<kind:string,step:int,valid:boolean,tool:string,args_json:string,ok:boolean,error_type:string,error:string,payload_json:string,marker:boolean>"
+_EVENT = "struct<kind:string,step:int,valid:boolean,tool:string,args_json:string,ok:boolean,error_type:string,error:string,payload_json:string,marker:boolean,flagged:boolean>"
 _CALL = "struct<name:string,args:string>"
 
 
@@ -46,7 +46,7 @@ def _is_object(value: Column) -> Column:
 
 def _text(value: Column) -> Column:
     """The value if it is a string, else null."""
-    return F.when(F.startswith(F.to_json(value), F.lit('"')), F.try_variant_get(value, "$", "string"))
+    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
 
 
 def _loaded(value: Column) -> Column:
@@ -62,13 +62,22 @@ def _marked(value: Column) -> Column:
     return F.coalesce(F.regexp_like(_text(value), F.lit(_MARKER)), F.lit(False))
 
 
+def _loaded_call(value: Column) -> Column:
+    """As ``_loaded``, but what has a call's keys is an object and is not written out to see whether it is a string."""
+    return F.when(at(value, *_OWN, "name", "tool").isNotNull(), value).otherwise(_loaded(value))
+
+
 def call_of(item: Column) -> Column:
     """(name, args) of a call, bare or wrapped, its arguments parsed if they are JSON text; null for anything else."""
+    def parsed(arguments: Column) -> Column:
+        own = lambda j: F.when(F.startswith(j, F.lit('"')), F.coalesce(F.to_json(F.try_parse_json(F.try_variant_get(arguments, "$", "string"))), j)).otherwise(j)
+        return F.coalesce(let(F.to_json(arguments), own), F.lit("{}"))
+
     def named(body: Column) -> Column:
-        name, arguments = _text(at(body, "name", "tool")), at(body, "arguments", "args")
-        return F.when(F.length(name) > 0, F.struct(name.alias("name"), F.coalesce(F.to_json(_loaded(arguments)), F.lit("{}")).alias("args")))
+        name = _text(at(body, "name", "tool"))
+        return F.when(F.length(name) > 0, F.struct(name.alias("name"), parsed(at(body, "arguments", "args")).alias("args")))
 
-    return let(_loaded(item), lambda x: let(_loaded(F.coalesce(at(x, *_OWN), x)), named)).cast(_CALL)
+    return let(_loaded_call(item), lambda x: let(F.when(at(x, *_OWN).isNotNull(), _loaded_call(at(x, *_OWN))).otherwise(x), named)).cast(_CALL)
 
 
 def _attempt(items: Column, step: Column) -> Column:
@@ -106,13 +115,11 @@ def _results_of(step: Column) -> Column:
     return F.when(found.isNotNull(), listed(_listed(found))).when(call.isNotNull() & result.isNotNull(), own).otherwise(none)
 
 
-def _attempts_of(step: Column, n: Column) -> Column:
-    """Attempts of a step; a marker without calls is one invalid attempt, executed calls stand in for missing ones."""
-    def of(items: Column) -> Column:
-        ran = F.filter(F.transform(_results_of(step), lambda r: r["named"]), lambda c: ~_is_null(c))
-        return F.when(F.size(items) > 0, _attempt(items, n)).when(_is_object(step) & _marked(at(step, "model_output")), _marker_attempt(n)).otherwise(_attempt(ran, n))
-
-    return let(_calls_of(step), of).cast(_ATTEMPTS)
+def _attempts_of(s: Column, n: Column) -> Column:
+    """Attempts of a step (step, own attempts, results); a marker without calls is one invalid attempt, executed calls stand in for missing ones."""
+    ran = F.filter(F.transform(s["results"], lambda r: r["named"]), lambda c: ~_is_null(c))
+    marked = _marked(at(s["step"], "model_output"))  # only an object has one
+    return F.when(F.size(s["own"]) > 0, s["own"]).when(marked, _marker_attempt(n).cast(_ATTEMPTS)).otherwise(_attempt(ran, n).cast(_ATTEMPTS))
 
 
 def _ok(e: Column) -> Column:
@@ -120,7 +127,8 @@ def _ok(e: Column) -> Column:
     truth = lambda c: ~F.coalesce(F.to_json(c), F.lit("null")).isin(*_FALSE)
     success = F.to_json(at(e, "success"))
     inner = F.when(at(e, "ok").isNotNull(), F.to_json(at(e, "ok")) == "true").when(~_is_null(at(e, "error")) | truth(at(e, "error_type")), False).when(success.isin("true", "false"), success == "true").otherwise(True)
-    return F.when(_is_object(e), inner).otherwise(~_is_null(e))
+    told = at(e, "ok", "error", "error_type", "success").isNotNull()  # then it is an object; any other object is good, as any value is
+    return F.when(told, inner).otherwise(~_is_null(e))
 
 
 def _said(e: Column, *keys: str) -> Column:
@@ -141,7 +149,7 @@ def _executions_of(results: Column, calls: Column, n: Column, bare: bool) -> Col
             e = r["envelope"]
             return F.struct(
                 F.lit("execution").alias("kind"), n.cast("int").alias("step"), F.lit(None).cast("boolean").alias("valid"), c["name"].alias("tool"), c["args"].alias("args_json"), _ok(e).alias("ok"),
-                _said(e, "error_type").alias("error_type"), _said(e, "error", "message").alias("error"), F.when(~_is_null(payload), F.to_json(payload)).alias("payload_json"), F.lit(False).alias("marker"))
+                _said(e, "error_type").alias("error_type"), _said(e, "error", "message").alias("error"), F.when(~_is_null(payload), F.to_json(payload)).alias("payload_json"), F.lit(False).alias("marker"), (F.to_json(at(e, "invalid_transition")) == "true").alias("flagged"))
 
         return let(call, event)
 
@@ -159,8 +167,9 @@ def event_tables(records: DataFrame, id_col: str = "id", result_col: str = "resu
     rows = records.select(F.col(id_col).cast("string").alias("case_id"), F.try_parse_json(F.col(result_col).cast("string")).alias("_v"))
     steps = F.when(_is_object(v), F.coalesce(F.try_variant_get(v, "$.trajectory", "array<variant>"), F.array().cast("array<variant>"))).otherwise(F.array().cast("array<variant>"))
     rows = rows.withColumn("_steps", F.filter(steps, lambda s: s.isNotNull()))
-    per_step = F.transform("_steps", lambda s, n: F.struct(_attempts_of(s, n).alias("tried"), _valid_calls(_attempt(_calls_of(s), n)).alias("made"), _results_of(s).alias("results")))
-    rows = rows.withColumn("_per", per_step).withColumn("_tried", F.flatten(F.transform("_per", lambda p: p["tried"])))
+    own = F.transform("_steps", lambda s, n: F.struct(s.alias("step"), _attempt(_calls_of(s), n).cast(_ATTEMPTS).alias("own"), _results_of(s).alias("results")))
+    per_step = F.transform("_own", lambda s, n: F.struct(_attempts_of(s, n).alias("tried"), _valid_calls(s["own"]).alias("made"), s["results"].alias("results")))
+    rows = rows.withColumn("_own", own).withColumn("_per", per_step).withColumn("_tried", F.flatten(F.transform("_per", lambda p: p["tried"])))
     top = _attempt(_listed(at(v, "parsed_tool_calls", "tool_calls")), F.lit(0)).cast(_ATTEMPTS)
     lone = F.when(_marked(at(v, "model_output")), _marker_attempt(F.lit(0)).cast(_ATTEMPTS)).otherwise(F.array().cast(_ATTEMPTS))
     rows = rows.withColumn("_tried", F.when((F.size("_tried") > 0) | ~_is_object(v), F.col("_tried")).otherwise(let(top, lambda t: F.when(F.size(t) > 0, t).otherwise(lone))))
@@ -172,7 +181,7 @@ def event_tables(records: DataFrame, id_col: str = "id", result_col: str = "resu
     none = lambda t: F.lit(None).cast(t)
     tried = F.transform("_tried", lambda a: F.struct(
         F.lit("attempt").alias("kind"), a["step"].alias("step"), a["valid"].alias("valid"), a["call"]["name"].alias("tool"), a["call"]["args"].alias("args_json"), none("boolean").alias("ok"),
-        none("string").alias("error_type"), none("string").alias("error"), none("string").alias("payload_json"), a["marker"].alias("marker"))).cast(f"array<{_EVENT}>")
+        none("string").alias("error_type"), none("string").alias("error"), none("string").alias("payload_json"), a["marker"].alias("marker"), none("boolean").alias("flagged"))).cast(f"array<{_EVENT}>")
     numbered = lambda c: F.transform(c, lambda e, i: F.struct(i.cast("bigint").alias("idx"), e.alias("e")))
     out = rows.select("case_id", F.explode(F.concat(numbered(tried), numbered(F.col("_ran")))).alias("x")).select("case_id", "x.idx", "x.e.*")
-    return out.select("case_id", "kind", "idx", F.col("step").cast("bigint").alias("step"), "valid", "tool", "args_json", "ok", "error_type", "error", "payload_json", "marker")
+    return out.select("case_id", "kind", "idx", F.col("step").cast("bigint").alias("step"), "valid", "tool", "args_json", "ok", "error_type", "error", "payload_json", "marker", "flagged")

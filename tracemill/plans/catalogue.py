@@ -662,7 +662,7 @@ def txn_replay_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count(F.lit(1)).alias("cases"), F.count_if("task_success").alias("passed"), F.count_if(F.col("mismatch_at").isNotNull()).alias("mismatched"), F.sum("policy_violations").alias("violations"), F.sum("tool_calls").alias("tool_calls"))
 
 
-def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def case_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A record per user: the events as a trajectory by day, the case asking for tools, calls and a final value."""
     log = executions(spark, sf_dir)
     call = F.struct(F.col("tool").alias("name"), F.struct(F.col("target").alias("k")).alias("arguments"))
@@ -680,7 +680,7 @@ SELECT case_id::VARCHAR AS id, steps::BIGINT AS num_steps, calls::BIGINT AS tool
 (least(v, 1) + least(c, 1) + least(p, 1))::BIGINT AS tool_true_positives, (calls - least(v, 1) - least(c, 1) - least(p, 1))::BIGINT AS tool_false_positives, least(hit, 1)::DOUBLE AS argument_accuracy, calls <= 60 + case_id % 20 AS task_success FROM n""")
 def case_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records scored under protocol 2.0; a call meets a spec by name and a subset of its arguments."""
-    scored = scoring.score_records(_records(spark, sf_dir))
+    scored = scoring.score_records(case_records(spark, sf_dir))
     return scored.select("id", "num_steps", "tool_call_count", "failed_tool_calls", F.round("execution_success_rate", 9).alias("execution_success_rate"), "tool_true_positives", "tool_false_positives", "argument_accuracy", "task_success")
 
 
@@ -689,21 +689,21 @@ SELECT CASE WHEN grouping(c) = 0 THEN 'category' WHEN grouping(d) = 0 THEN 'diff
 round(avg(task), 9) AS task_success_rate, sum(failed)::BIGINT AS total_failed_tool_calls FROM k GROUP BY GROUPING SETS ((), (c), (d))""")
 def record_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F1, F2, F4, J18 over scored records: the whole path from JSON records to the summary."""
-    out = aggregate.summary(scoring.score_records(_records(spark, sf_dir)), ("category", "difficulty"))
+    out = aggregate.summary(scoring.score_records(case_records(spark, sf_dir)), ("category", "difficulty"))
     return out.select("scope", "key", "num_cases", F.round("execution_success_rate", 9).alias("execution_success_rate"), F.round("task_success_rate", 9).alias("task_success_rate"), "total_failed_tool_calls")
 
 
 @query(f"""WITH {LOG} SELECT case_id::VARCHAR AS case_id, kind, idx::BIGINT - 1 AS idx, tool, CASE WHEN kind = 'execution' THEN ok END AS ok, '{{"k":' || target || '}}' AS args_json FROM log, (SELECT unnest(['attempt', 'execution']) AS kind)""")
 def normalised_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records as attempt and execution events."""
-    records = _records(spark, sf_dir).withColumn("id", F.get_json_object("case", "$.id"))
+    records = case_records(spark, sf_dir).withColumn("id", F.get_json_object("case", "$.id"))
     return normalise.event_tables(records).select("case_id", "kind", "idx", "tool", "ok", "args_json")
 
 
 @query()
 def spec_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Argument accuracy of each case."""
-    return scoring.score_records(_records(spark, sf_dir)).select("id", "argument_matches", "argument_total", "argument_accuracy", "repeated_tool_calls", "retry_calls", "tool_order_score")
+    return scoring.score_records(case_records(spark, sf_dir)).select("id", "argument_matches", "argument_total", "argument_accuracy", "repeated_tool_calls", "retry_calls", "tool_order_score")
 
 
 _PILOT = """q AS (SELECT unnest(['low', 'standard', 'high']) AS q),

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.operators import counters, events, matching, skeletons
-from tracemill.plans.catalogue import LOG, executions, query, tool
+from tracemill.operators import counters, events, matching, normalise, score_columns, skeletons
+from tracemill.plans.catalogue import LOG, case_records, executions, query, tool
 
 _SKELETONS = f"""{LOG}, a AS (SELECT case_id, step, idx, tool, target % 4 AS k, value > 30 AS big, 't' || (target % 3) AS tag FROM log),
 f AS (SELECT *, min(idx) OVER (PARTITION BY case_id, step, k) AS fk, min(idx) OVER (PARTITION BY case_id, step, big) AS fb, min(idx) OVER (PARTITION BY case_id, step, tag) AS ft FROM a),
@@ -73,3 +73,14 @@ def tool_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.filter(F.size("both") > 0).select(
         "case_id", "step", counters.total(F.col("both")).alias("shared"), counters.total(counters.union(own, old)).alias("either"), counters.total(F.col("excess")).alias("extra"),
         counters.total(counters.excess(old, own)).alias("missing"), F.array_join(counters.keys(F.col("both")), ",").alias("both"), counters.rendered(F.col("excess")).alias("excess"))
+
+
+@query(f"""WITH {LOG}, n AS (SELECT case_id, count(*) AS calls, count(*) FILTER (NOT ok) AS failed, least(count(*) FILTER (tool = 'view'), 1) + least(count(*) FILTER (tool = 'click'), 1) + least(count(*) FILTER (tool = 'purchase'), 1) AS tp FROM log GROUP BY 1)
+SELECT case_id::VARCHAR AS case_id, calls::BIGINT AS tool_attempt_count, calls::BIGINT AS tool_call_count, calls::BIGINT AS tool_execution_count, failed::BIGINT AS failed_tool_calls, round((calls - failed) / calls, 9) AS execution_success_rate, tp::BIGINT AS tool_true_positives, (calls - tp)::BIGINT AS tool_false_positives, (3 - tp)::BIGINT AS tool_false_negatives,
+round(CASE WHEN tp = 0 THEN 0 ELSE 2 * (tp / calls) * (tp / 3) / (tp / calls + tp / 3) END, 9) AS tool_f1, 0::BIGINT AS expected_failed_calls, failed::BIGINT AS unexpected_failed_calls FROM n""")
+def execution_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, rates and multiset scores of records, from JSON to metrics without Python."""
+    rows = case_records(spark, sf_dir).withColumn("case_id", F.get_json_object("case", "$.id"))
+    found = score_columns.execution_metrics(normalise.event_tables(rows, "case_id"), rows.select("case_id", "case"))
+    rates = ("execution_success_rate", "tool_f1")
+    return found.select("case_id", "tool_attempt_count", "tool_call_count", "tool_execution_count", "failed_tool_calls", "tool_true_positives", "tool_false_positives", "tool_false_negatives", "expected_failed_calls", "unexpected_failed_calls", *(F.round(r, 9).alias(r) for r in rates))
