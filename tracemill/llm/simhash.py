@@ -13,7 +13,8 @@ radius. All trees together hold every fingerprint several times, so they are
 not broadcast from the driver, which must not see them. A task holds the forest
 of a few shards at a time. A shard of more than ``shard_rows`` fingerprints is
 cut into slices, and every pair of slices has a tree of its own, so a task holds
-two slices at most. Of a shard only a spanning star leaves the task, never its
+two slices at most; n fingerprints of one shard cost (n / shard_rows)^2 / 2 trees
+in all, so tasks are bounded but their number is not linear. Of a shard only a spanning star leaves the task, never its
 pairs. Stars are contracted by joins until ``task_edges`` edges at most are
 left, which one task joins up.
 
