@@ -68,7 +68,7 @@ def appended_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(target).groupBy("case_id", "tool").agg(F.count(F.lit(1)).alias("kept"))
 
 
-@query("""SELECT conv_id::VARCHAR AS id, count(*)::BIGINT AS messages, CASE WHEN arg_min(role, turn) <> 'user' OR arg_min(text, turn) IS NULL THEN 'other prompt' WHEN conv_id % 7 = 0 THEN 'other split' END AS violation FROM conversations GROUP BY conv_id""")
+@query("""SELECT conv_id::VARCHAR AS id, count(*)::BIGINT AS messages, CASE WHEN conv_id % 7 = 0 THEN 'other split' WHEN arg_min(role, turn) <> 'user' THEN 'other prompt' END AS violation FROM conversations GROUP BY conv_id""")
 def trajectory_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A5: conversations written as training trajectories and read with the first rule that each breaks: empty, of another split, with another first message. Every seventh is of another split; the first message must be the user's."""
     turn = F.sort_array(F.collect_list(F.struct("turn", "role", F.col("text").alias("content"))))

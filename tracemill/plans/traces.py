@@ -128,11 +128,11 @@ def contract_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("id", "execution_success", F.array_join("violations", ",").alias("violations"))
 
 
-@query(f"""WITH {LOG}, n AS (SELECT case_id, arg_max(target % 3, idx) FILTER (tool IN ('view', 'purchase')) AS page, max(idx) FILTER (tool IN ('purchase', 'error')) AS attempt, max(idx) FILTER (tool = 'click') AS logs, max(idx) FILTER (tool = 'purchase') AS changed, max(idx) FILTER (tool IN ('view', 'purchase')) AS seen FROM log GROUP BY 1),
-v AS (SELECT case_id, coalesce(page = case_id % 3, false) AS same, logs IS NOT NULL AND logs > coalesce(attempt, -1) AS read_last FROM n)
-SELECT case_id::VARCHAR AS id, same AS final_state_match, same AND (read_last OR case_id % 2 = 1) AS execution_success, array_to_string(list_filter([CASE WHEN NOT same THEN 'final_state_observation_missing_or_mismatched' END, CASE WHEN case_id % 2 = 0 AND NOT read_last THEN 'logs_not_read_after_last_application_attempt' END], lambda x: x IS NOT NULL), ',') AS violations FROM v""")
+@query(f"""WITH {LOG}, n AS (SELECT case_id, arg_max(target % 3, idx) FILTER (tool IN ('view', 'purchase')) AS page, arg_max(target % 3, idx) FILTER (tool IN ('view', 'purchase', 'signup')) AS last_page, max(idx) FILTER (tool IN ('purchase', 'error')) AS attempt, max(idx) FILTER (tool = 'click') AS logs FROM log GROUP BY 1),
+v AS (SELECT case_id, coalesce(page = case_id % 3, false) AS same, coalesce(last_page = case_id % 3, false) AS final, logs IS NOT NULL AND logs > coalesce(attempt, -1) AS read_last FROM n)
+SELECT case_id::VARCHAR AS id, final AS final_state_match, final AND same AND (read_last OR case_id % 2 = 1) AS execution_success, array_to_string(list_filter([CASE WHEN NOT same THEN 'final_state_observation_missing_or_mismatched' END, CASE WHEN case_id % 2 = 0 AND NOT read_last THEN 'logs_not_read_after_last_application_attempt' END], lambda x: x IS NOT NULL), ',') AS violations FROM v""")
 def observation_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O-2.4, G4, G5: records under the observation contract: the final page must have been seen since the last change, and in even cases a log must be read after the last attempt, failed ones included."""
+    """O-2.4, G4, G5: records under the observation contract: the final page (of any return that has one) must have been seen by a tool that shows the state since the last change, and in even cases a log must be read after the last attempt, failed ones included."""
     c, k = F.col("case_id"), F.col("target")
     contract = '{"read_only":false,"no_navigation":false,"no_set_graphics":false,"knowledge_before_mutation":false,"build_evidence":false,"ordered_calls":[]}'
     case = F.format_string(
