@@ -41,3 +41,17 @@ def test_supervised_turns(spark):
     assert sorted(map(tuple, got)) == [(1, 1, 3, 0), (1, 2, 3, 2), (2, 0, 0, 1), (2, 2, 3, 1)]
     with pytest.raises(Exception, match="no column when"):
         spark.sql("SELECT * FROM supervised(TABLE(turns_to_try), 'c', 'when')").collect()
+
+
+def test_callbacks(spark):
+    from pyspark.sql import functions as F
+
+    from tracemill.operators import callbacks
+
+    texts = ['<tool_call>{"name":"a","arguments":{"k":1}}</tool_call> <tool_call>{"tool":"b"}</tool_call>', "<tool_call>{bad</tool_call>", "none", None, '<tool_call> {"name":"c","args":[1]} </tool_call>', "<tool_call>[1]</tool_call>"]
+    turns = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    calls = callbacks.generated(turns, lambda t: F.concat(t, F.lit("!")))
+    assert sorted((r.id, r.place, r.valid, r.name, r.arguments) for r in calls.collect()) == [(0, 0, True, "a", '{"k":1}'), (0, 1, True, "b", "{}"), (1, 0, False, None, None), (4, 0, True, "c", "[1]"), (5, 0, True, None, "{}")]
+    envelope = lambda name, arguments: F.struct((name == "a").alias("ok"), arguments.alias("result"), F.when(name.isNull(), "unknown_tool").alias("error_type"), F.lit(None).cast("string").alias("error"))
+    got = {(r.id, r.place): (r.ok, r.result, r.error_type) for r in callbacks.executed(calls, envelope).collect()}
+    assert got == {(0, 0): (True, '{"k":1}', None), (0, 1): (False, "{}", None), (1, 0): (False, None, "invalid_call"), (4, 0): (False, "[1]", None), (5, 0): (None, "{}", "unknown_tool")}

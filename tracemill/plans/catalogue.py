@@ -700,9 +700,17 @@ def normalised_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalise.event_tables(records).select("case_id", "kind", "idx", "tool", "ok", "args_json")
 
 
-@query()
+@query(f"""WITH RECURSIVE {LOG}, w AS (SELECT case_id, tool, target, idx, step, row_number() OVER s - 1 AS n, lag(idx) OVER s AS lidx, lag(step) OVER s AS lstep, lag(ok) OVER s AS lok,
+  last_value(CASE WHEN NOT ok THEN idx END IGNORE NULLS) OVER p AS fidx, last_value(CASE WHEN NOT ok THEN step END IGNORE NULLS) OVER p AS fstep FROM log
+  WINDOW s AS (PARTITION BY case_id, tool, target ORDER BY idx), p AS (PARTITION BY case_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+r AS (SELECT case_id, count(*) FILTER (n > 0 AND NOT lok AND step > lstep) AS retries, count(*) FILTER (n > 0 AND CASE WHEN NOT lok THEN step <= lstep OR n > 1 ELSE NOT coalesce(fidx > lidx AND step > fstep, false) END) AS repeats,
+  least(count(*) FILTER (tool = 'view' AND target = case_id % 100), 1) AS hit, count(*) AS size FROM w GROUP BY 1),
+t AS (SELECT DISTINCT case_id, 0::BIGINT AS n, 0 AS a, 0 AS b, 0 AS c FROM log
+  UNION ALL SELECT case_id, n, a2, b2, CASE WHEN tool = 'view' THEN b + 1 ELSE greatest(b2, c) END FROM (SELECT t.case_id, l.idx AS n, l.tool, t.b, t.c, CASE WHEN tool = 'view' THEN 1 ELSE a END AS a2, CASE WHEN tool = 'click' THEN a + 1 ELSE greatest(a2, b) END AS b2
+    FROM t JOIN log l ON l.case_id = t.case_id AND l.idx = t.n + 1))
+SELECT case_id::VARCHAR AS id, hit::BIGINT AS argument_matches, 1::BIGINT AS argument_total, hit::DOUBLE AS argument_accuracy, repeats::BIGINT AS repeated_tool_calls, retries::BIGINT AS retry_calls, c / 3 AS tool_order_score FROM t JOIN r USING (case_id) WHERE n = size""")
 def spec_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Argument accuracy of each case."""
+    """Argument accuracy, repeats, retries and order of each case, from its record."""
     return scoring.score_records(case_records(spark, sf_dir)).select("id", "argument_matches", "argument_total", "argument_accuracy", "repeated_tool_calls", "retry_calls", "tool_order_score")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tracemill.functions import jsonx, registry
 from tracemill.functions.registry import Argument, Tool
-from tracemill.operators import draws, tree_digest
+from tracemill.operators import callbacks, draws, tree_digest
 from tracemill.plans.catalogue import LOG, executions, query, table
 from tracemill.sources import jsonl, line_source, sinks
 from tracemill.sources.shared import new_folder
@@ -143,6 +143,16 @@ def folder_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.withColumn("folder", F.lit(tree_digest.folder_digest(files)))
 
 
+@query(f"""WITH t AS (SELECT conv_id % {PARTS} AS part, '{{"id":"' || conv_id || '-' || turn || '","query":"' || role || '"}}' || chr(10) AS line, conv_id, turn FROM conversations)
+SELECT part, sum(strlen(line))::BIGINT AS size, sha256(string_agg(line, '' ORDER BY conv_id, turn)) AS digest, NULL::VARCHAR AS reason FROM t GROUP BY part""")
+def written_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files written from conversations, their sizes and digests as read block by block, and what a manifest of them says of the folder (nothing has drifted). The SQL holds for files of one block of 64 MB."""
+    folder = _written(table(spark, sf_dir, "conversations"), F.col("conv_id") % PARTS, ["conv_id", "turn"], _turn(), new_folder(spark, "digests"))
+    files = tree_digest.kept(tree_digest.file_digests(spark, folder))
+    drift = tree_digest.drift(spark, folder, files)
+    return files.join(drift, "path", "left").select(F.regexp_extract("path", r"^part=(\d+)/", 1).cast("bigint").alias("part"), "size", "digest", "reason")
+
+
 # tools and generators in SQL, draws, reports
 
 
@@ -201,3 +211,22 @@ def loose_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The generators' looser check on texts: a digit of the properties, and a key with the start of its number."""
     whole = F.floor("value").cast("bigint")
     return table(spark, sf_dir, "events").select("event_id", jsonx.loosely_contains(F.col("props"), (whole % 10).cast("string")).alias("digit"), jsonx.loosely_contains(F.col("props"), F.concat(F.lit('"k": '), whole.cast("string"))).alias("start"))
+
+
+@query("""WITH c AS (SELECT conv_id, turn, role, text, length(text) - length(replace(text, ',', '')) AS commas FROM conversations WHERE role = 'user'),
+m AS (SELECT *, unnest([0, 1]) AS place FROM c)
+SELECT conv_id, turn, place::BIGINT AS place, place = 0 OR commas < 2 AS valid, CASE WHEN place = 0 THEN 'measure' WHEN commas < 2 THEN 'look' END AS name, place = 0 OR commas = 0 AS ok,
+CASE WHEN place = 0 THEN commas + 1 WHEN commas = 0 THEN NULL END::VARCHAR AS length, CASE WHEN place = 0 OR commas = 0 THEN NULL WHEN commas = 1 THEN 'invalid_arguments' ELSE 'invalid_call' END AS error_type FROM m""")
+def generated_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The user's turns through two callbacks: one generates two tool calls from the text (the second one broken where there are several commas), the other executes them as SQL functions."""
+    registry.install(spark, TOOLS)
+    commas = lambda t: F.length(t) - F.length(F.replace(t, F.lit(","), F.lit("")))
+
+    def generate(t: Column) -> Column:
+        first = F.concat(F.lit('I see. <tool_call>{"name":"measure","arguments":{"text":"'), F.repeat(F.lit("x"), commas(t) + 1), F.lit('"}}</tool_call>'))
+        second = F.when(commas(t) == 0, '{"tool":"look","args":{"role":"user"}}').when(commas(t) == 1, '{"name":"look","arguments":{"role":"none"}}').otherwise('{"name":"look"')
+        return F.concat(first, F.lit(" and then <tool_call> "), second, F.lit(" </tool_call>"))
+
+    turns = table(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", "turn", "text")
+    done = callbacks.executed(callbacks.generated(turns, generate), lambda name, arguments: F.call_function("call_tool", name, arguments))
+    return done.select("conv_id", "turn", "place", "valid", "name", "ok", F.when(F.col("name") == "measure", F.col("result")).alias("length"), "error_type")
