@@ -262,16 +262,16 @@ def arm_self_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.arm_pairs(lines, "context", "l_returnflag", F.col("l_quantity"), ("A", "R"))
 
 
-_STALE = """now AS (SELECT doc_id, sha256(text) AS d FROM documents), then_ AS (SELECT doc_id + CASE WHEN doc_id % 50 = 0 THEN 1000000 ELSE 0 END AS doc_id, sha256(CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END) AS d FROM documents)"""
+_STALE = """now AS (SELECT doc_id, sha256(text) AS d FROM documents), then_ AS (SELECT doc_id + CASE WHEN quality = 0 AND lang = 'de' THEN 1000000 ELSE 0 END AS doc_id, sha256(CASE WHEN toxic = 1 THEN text || '!' ELSE text END) AS d FROM labels JOIN documents USING (doc_id))"""
 
 
 @query(f"WITH {_STALE} SELECT t.doc_id, CASE WHEN n.d IS NULL THEN 'unknown' ELSE 'stale' END AS reason FROM then_ t LEFT JOIN now n USING (doc_id) WHERE n.d IS NULL OR n.d <> t.d")
 def stale_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reviews whose record is unknown or has changed."""
+    """Reviews (labels) whose record is unknown or has changed: bad documents of one language have moved, toxic ones have another text."""
     docs = table(spark, sf_dir, "documents")
     digest = lambda c: F.sha2(c.cast("binary"), 256).alias("digest")
-    moved = F.col("doc_id") + F.when(F.col("doc_id") % 50 == 0, 1000000).otherwise(0)
-    reviews = docs.select(moved.alias("doc_id"), digest(F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))))
+    moved = F.col("doc_id") + F.when((F.col("quality") == 0) & (F.col("lang") == "de"), 1000000).otherwise(0)
+    reviews = table(spark, sf_dir, "labels").join(docs, "doc_id").select(moved.alias("doc_id"), digest(F.when(F.col("toxic") == 1, F.concat("text", F.lit("!"))).otherwise(F.col("text"))))
     return selection.stale(reviews, docs.select("doc_id", digest(F.col("text"))), "doc_id", "digest").select("doc_id", "reason")
 
 

@@ -198,16 +198,16 @@ def retrospective_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audits.retrospective(scored)
 
 
-@query("""WITH r AS (SELECT doc_id, doc_id % 4 AS k, lang, CASE doc_id % 4 WHEN 0 THEN 0.25 WHEN 1 THEN 1.0 WHEN 2 THEN 0.5 END AS rate, CASE doc_id % 4 WHEN 0 THEN doc_id % 2 = 0 WHEN 2 THEN true END AS ok FROM documents)
+@query("""WITH r AS (SELECT lang, CASE WHEN quality = 1 THEN 0.25 * (toxic + 1) WHEN quality IS NOT NULL THEN 0.5 WHEN source IS NOT NULL AND lang = 'en' THEN 1.0 END AS rate, CASE WHEN quality = 1 THEN toxic = 0 WHEN quality IS NOT NULL THEN n_chars > 500 END AS ok FROM documents LEFT JOIN labels USING (doc_id))
 SELECT coalesce(lang, 'unknown') AS category, count(*)::BIGINT AS n, count(rate)::BIGINT AS rated, round(sum(rate), 6) AS rates, count(*) FILTER (ok)::BIGINT AS passed FROM r GROUP BY 1""")
 def stored_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records with stored metrics, with a result to be scored, as flat metrics of their own, and with neither."""
-    d = F.col("doc_id")
-    case = F.concat(F.lit('"case":{"category":"'), F.col("lang"), F.lit('"}'))
-    record = F.when(d % 4 == 0, F.concat(F.lit("{"), case, F.lit(',"metrics":{"execution_success_rate":0.25,"task_success":'), (d % 2 == 0).cast("string"), F.lit("}}")))
-    record = record.when(d % 4 == 1, F.concat(F.lit("{"), case, F.lit(',"result":{"trajectory":[]}}')))
-    record = record.when(d % 4 == 2, F.concat(F.lit('{"category":"'), F.col("lang"), F.lit('","execution_success_rate":0.5,"task_success":true}'))).otherwise(F.concat(F.lit("{"), case, F.lit("}")))
-    rows = scoring.metric_rows(_docs(spark, sf_dir).select(record.alias("record")))
+    """Records with stored metrics (good documents), as flat metrics of their own (other labelled ones), with a result to be scored (the rest in one language), and with neither."""
+    both = _docs(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    case = F.format_string('"case":{"category":"%s"}', "lang")
+    stored = F.format_string('{%s,"metrics":{"execution_success_rate":%s,"task_success":%s}}', case, (0.25 * (F.col("toxic") + 1)).cast("string"), (F.col("toxic") == 0).cast("string"))
+    flat = F.format_string('{"category":"%s","execution_success_rate":0.5,"task_success":%s}', "lang", (F.col("n_chars") > 500).cast("string"))
+    record = F.when(F.col("quality") == 1, stored).when(F.col("quality").isNotNull(), flat).when(F.col("source").isNotNull() & (F.col("lang") == "en"), F.format_string('{%s,"result":{"trajectory":[]}}', case)).otherwise(F.format_string("{%s}", case))
+    rows = scoring.metric_rows(both.select(record.alias("record")))
     return rows.groupBy(aggregate.group_key("category").alias("category")).agg(F.count(F.lit(1)).alias("n"), F.count("execution_success_rate").alias("rated"), F.round(F.sum("execution_success_rate"), 6).alias("rates"), F.count_if("task_success").alias("passed"))
 
 
