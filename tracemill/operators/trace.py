@@ -11,6 +11,7 @@ import json
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from typing import Any
 
 import pyarrow as pa
@@ -27,7 +28,7 @@ class Call:
     name: str
     arguments: Any
 
-    @property
+    @cached_property
     def signature(self) -> tuple[str, str]:
         return self.name, dumps(self.arguments)
 
