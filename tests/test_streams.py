@@ -62,3 +62,13 @@ def test_a_key_is_forgotten_after_its_time(spark, tmp_path):
         streams.append_new(spark.readStream.schema("id int").parquet(source), target, cp, "id", ttl_ms=1).awaitTermination()
         time.sleep(0.1)
     assert spark.read.parquet(target).count() == 2
+
+
+def test_appends_for_good_run_no_python(spark, tmp_path):
+    source = str(tmp_path / "in")
+    spark.createDataFrame([(1,), (None,), (1,), (None,)], "id int").write.parquet(source)
+    stream = spark.readStream.schema("id int").parquet(source)
+    plan = lambda rows: rows._jdf.queryExecution().analyzed().toString()
+    assert "TransformWithState" not in plan(streams.once(stream, "id")) and "TransformWithState" in plan(streams.once(stream, "id", ttl_ms=1))
+    streams.append_new(stream, str(tmp_path / "out"), str(tmp_path / "cp"), "id").awaitTermination()
+    assert sorted(r.id or 0 for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [0, 1]

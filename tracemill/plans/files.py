@@ -62,7 +62,7 @@ def pending_after_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
 def appended_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K7, B1: a stream of events appended once per key (user, type and properties), by state; what the target holds, counted."""
     target, checkpoint = new_folder(spark, "appended"), new_folder(spark, "append-state")
-    key = F.concat_ws("|", "user_id", "event_type", "props").alias("key")
+    key = F.struct("user_id", "event_type", "props").alias("key")
     stream = streams.event_stream(spark, f"{sf_dir}/events.parque[t]", table(spark, sf_dir, "events").schema).select(key, F.col("user_id").alias("case_id"), F.col("event_type").alias("tool"))
     streams.append_new(stream, target, checkpoint, "key").awaitTermination()
     return spark.read.parquet(target).groupBy("case_id", "tool").agg(F.count(F.lit(1)).alias("kept"))

@@ -52,8 +52,12 @@ class FirstOnly(StatefulProcessor):
 def once(stream: DataFrame, key: str, *, ttl_ms: int | None = None, done: DataFrame | None = None) -> DataFrame:
     """K7: the first record of every key, by keyed state; keys of ``done`` (which has the key column) count as seen from the start.
 
-    A batch looks at the state of its own keys only. Null keys are one key. Needs the RocksDB state store.
+    A batch looks at the state of its own keys only. Null keys are one key. Needs the RocksDB state store where keys are
+    done or forgotten; else it is Spark's own deduplication, without Python. The two keep their state in other forms, so a
+    checkpoint goes on only with the form it was begun with.
     """
+    if ttl_ms is None and done is None:
+        return stream.dropDuplicates([key])
     start = None if done is None else done.select(key).distinct().groupBy(key)
     mode = "none" if ttl_ms is None else "processingTime"
     return stream.groupBy(key).transformWithState(statefulProcessor=FirstOnly(ttl_ms), outputStructType=stream.schema, outputMode="Append", timeMode=mode, initialState=start)
