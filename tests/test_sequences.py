@@ -212,6 +212,20 @@ def test_matched_table(spark):
     assert {(r.case_id, r.specs, r.matches, r.accuracy) for r in got.collect()} == {("a", 6, 3, 0.5), ("b", 1, 0, 0.0), ("c", 1, 1, 1.0)}
 
 
+def test_matching_joins_nothing_and_keeps_cases_apart(spark):
+    rng = random.Random(9)
+    cases = [*range(40), None]
+    specs = [(rng.choice(cases), rng.choice(["x", "y", None]), rng.choice([True, True, False, None]), rng.choice(['{"k":1}', '{"k":1.0}', '{"k":2}', "{}", None, "{bad"])) for _ in range(300)]
+    calls = [(rng.choice(cases), rng.choice(["x", "y", None]), rng.choice(['{"k":1}', '{"k":2,"l":0}', "{}", None, "{bad"])) for _ in range(300)]
+    found = matching.matched(spark.createDataFrame(specs, "case_id int, name string, exact boolean, arguments string"), spark.createDataFrame(calls, "case_id int, name string, arguments string"))
+    want = {}
+    for case in {s[0] for s in specs}:
+        m = sum(matching.most_matches([(bool(e), matching._loads(a or "{}")) for c, n, e, a in specs if (c, n) == (case, name)], [matching._loads(a or "{}") for c, n, a in calls if (c, n) == (case, name)]) for name in "xy")
+        want[case] = (sum(s[0] == case for s in specs), 0 if case is None else m)
+    assert {r.case_id: (r.specs, r.matches) for r in found.collect()} == want
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 # counters
 
 

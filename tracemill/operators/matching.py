@@ -2,7 +2,7 @@
 
 A spec and a call can only match if their names agree, so every (case, name) is
 a matching of its own. Where all of its specs want exact arguments, the largest
-matching is the intersection of two multisets, which is a join of counts. Other
+matching is the intersection of two multisets, which is counted by key. Other
 groups go to tasks: an inverted index over paths and values gives each spec the
 set of calls that it fits as a bit set, and Hopcroft-Karp augments along all
 shortest paths of a layered graph at once, layer by layer of bit sets.
@@ -16,7 +16,7 @@ from collections.abc import Hashable, Iterator
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemill.functions.jsonx import canonical
@@ -141,25 +141,21 @@ def matched(specs: DataFrame, calls: DataFrame, case: str = "case_id") -> DataFr
 
     A spec without a name matches nothing. What does not parse is a string value. Cases without specs have no row.
     """
-    text = F.coalesce(F.col("arguments"), F.lit("{}"))
-    key = F.coalesce(canonical(text), F.to_json(F.array(text)))
-    wanted = specs.select(F.col(case).alias("_case"), "name", F.coalesce("exact", F.lit(False)).alias("exact"), text.alias("arguments"), key.alias("key"))
-    made = calls.filter("name IS NOT NULL").select(F.col(case).alias("_case"), "name", text.alias("arguments"), key.alias("key"))
-    named = wanted.filter("name IS NOT NULL")
-    loose = named.groupBy("_case", "name").agg(F.bool_and("exact").alias("all_exact"))
-    pick = lambda rows, exact: rows.join(loose.filter("all_exact" if exact else "NOT all_exact").select("_case", "name"), ["_case", "name"], "left_semi")
-    counted = lambda rows, n: rows.groupBy("_case", "name", "key").agg(F.count(F.lit(1)).alias(n))
-    exact = counted(pick(named, True), "s").join(counted(pick(made, True), "c"), ["_case", "name", "key"]).groupBy("_case").agg(F.sum(F.least("s", "c")).alias("m"))
-
     kind = specs.schema[case].dataType.simpleString()
-    tagged = lambda rows, n, exact: rows.select("_case", "name", F.lit(n).alias("kind"), exact.alias("exact"), "arguments")
-    both = tagged(pick(named, False), 0, F.col("exact")).unionByName(tagged(pick(made, False), 1, F.lit(False)))
-    # by a hash of the keys: for the keys themselves Spark may leave the shuffle out and count on both halves being dealt alike
-    rest = both.repartition(F.xxhash64("_case", "name")).sortWithinPartitions("_case", "name", "kind").mapInArrow(_streamed, f"_case {kind}, m bigint")
-    found = exact.unionByName(rest).groupBy("_case").agg(F.sum("m").alias("matches"))
-    totals = wanted.groupBy("_case").agg(F.count(F.lit(1)).alias("specs"))
-    out = totals.join(found, "_case", "left").withColumn("matches", F.coalesce("matches", F.lit(0)).cast("bigint"))
-    return out.select(F.col("_case").alias(case), "specs", "matches", (F.col("matches") / F.col("specs")).alias("accuracy"))
+    text = F.coalesce(F.col("arguments"), F.lit("{}")).alias("arguments")
+    wanted = specs.select(F.col(case).alias("_case"), "name", F.lit(0).alias("kind"), F.coalesce("exact", F.lit(False)).alias("exact"), text)
+    made = calls.select(F.col(case).alias("_case"), "name", F.lit(1).alias("kind"), F.lit(None).cast("boolean").alias("exact"), text)
+    # one shuffle and one sort for both ways: by a hash of the keys, as for the keys themselves Spark may leave the shuffle out and count on both halves being dealt alike
+    dealt = wanted.unionByName(made).filter("_case IS NOT NULL AND name IS NOT NULL").withColumn("_at", F.xxhash64("_case", "name")).repartition("_at")
+    groups = dealt.withColumn("all_exact", F.bool_and("exact").over(Window.partitionBy("_at", "_case", "name")))
+    key = F.coalesce(canonical(F.col("arguments")), F.to_json(F.array("arguments"))).alias("key")
+    alike = groups.filter("all_exact").select("_at", "_case", "name", "kind", key).groupBy("_at", "_case", "name", "key").agg(F.count_if(F.col("kind") == 0).alias("s"), F.count_if(F.col("kind") == 1).alias("c"))
+    none, of = F.lit(0).cast("bigint").alias("specs"), ("_case", "specs", "m")
+    exact = alike.select("_case", none, F.least("s", "c").alias("m"))
+    rest = groups.filter("NOT all_exact").sortWithinPartitions("_at", "_case", "name").select("_case", "name", "kind", "exact", "arguments").mapInArrow(_streamed, f"_case {kind}, m bigint").select("_case", none, "m")
+    each = wanted.select("_case", F.lit(1).cast("bigint").alias("specs"), F.lit(0).cast("bigint").alias("m"))
+    found = each.unionByName(exact.select(*of)).unionByName(rest.select(*of)).groupBy("_case").agg(F.sum("specs").alias("specs"), F.sum("m").alias("matches"))
+    return found.select(F.col("_case").alias(case), "specs", "matches", (F.col("matches") / F.col("specs")).alias("accuracy"))
 
 
 def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
