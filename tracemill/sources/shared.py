@@ -28,3 +28,12 @@ def kept(df: DataFrame) -> DataFrame:
     """Compute now and cut the lineage, in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+#: Most bytes of an Arrow batch of records.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's limit of an Arrow batch, for good, since plans read it when they run; records are large, and each task holds two batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
